@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.components import address_groups
 from auditloom.llm.copies import collapse_copies
+from auditloom.llm.neardup import page_classes, page_pairs
 from auditloom.llm.percentiles import exact_percentiles, page_parts
 from auditloom.sources.tables import table
 
@@ -87,9 +88,20 @@ SELECT kind, key, metric, percentile, v AS value, n, CAST(0 AS BIGINT) AS rank_e
 FROM r, p WHERE rn = (n * percentile + 99) // 100
 """
 
+def p5_found(spark, d):
+    return page_pairs(table(spark, d, "page_cache"))
+
+
+def p5_classes(spark, d):
+    """One row for each page: its near-duplicate class, equal pages and links to other texts."""
+    return page_classes(table(spark, d, "page_cache"))
+
+
 QUERIES = {
     "p2_found": (p2_found, _P2 + "SELECT DISTINCT first_page_id, page_id FROM g WHERE page_id > first_page_id"),
     "p2_copies": (p2_copies, _P2 + "SELECT DISTINCT page_id, CAST(copies AS BIGINT) AS copies FROM g WHERE page_id = first_page_id"),
     "p3_found": (p3_found, P3_SQL),
     "p4_percentiles": (p4_percentiles, P4_SQL),
+    "p5_found": (p5_found, None),
+    "p5_classes": (p5_classes, None),
 }
