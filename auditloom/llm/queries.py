@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from auditloom.llm import queries_algorithm
+from auditloom.llm import queries_algorithm, queries_text
 
-QUERIES = {**queries_algorithm.QUERIES}
+QUERIES = {**queries_algorithm.QUERIES, **queries_text.QUERIES}
