@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from auditloom.llm.mainbody import main_blocks
+from auditloom.llm.residue import residue_pages
 from auditloom.sources.tables import table
 
 
@@ -10,6 +11,17 @@ def p6_found(spark, d):
     return main_blocks(table(spark, d, "page_cache"))
 
 
+def p7_found(spark, d):
+    return residue_pages(table(spark, d, "page_cache")).select("url")
+
+
+def p7_reasons(spark, d):
+    """The pages of ``p7_found`` with the kind of residue."""
+    return residue_pages(table(spark, d, "page_cache"))
+
+
 QUERIES = {
     "p6_found": (p6_found, None),
+    "p7_found": (p7_found, None),
+    "p7_reasons": (p7_reasons, None),
 }
