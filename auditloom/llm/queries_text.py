@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from auditloom.llm.encoding import misread_documents
 from auditloom.llm.mainbody import main_blocks
 from auditloom.llm.residue import residue_pages
 from auditloom.sources.tables import table
@@ -20,8 +21,19 @@ def p7_reasons(spark, d):
     return residue_pages(table(spark, d, "page_cache"))
 
 
+def p10_found(spark, d):
+    return misread_documents(table(spark, d, "documents")).selectExpr("id as doc_id").distinct()
+
+
+def p10_restored(spark, d):
+    """The documents of ``p10_found`` with the encodings found and the text restored where it can be."""
+    return misread_documents(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p6_found": (p6_found, None),
     "p7_found": (p7_found, None),
     "p7_reasons": (p7_reasons, None),
+    "p10_found": (p10_found, None),
+    "p10_restored": (p10_restored, None),
 }
