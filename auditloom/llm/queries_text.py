@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from auditloom.llm.encoding import misread_documents
 from auditloom.llm.mainbody import main_blocks
+from auditloom.llm.mixing import mix_documents, mix_shares
+from auditloom.llm.packing import pack, packing_report
 from auditloom.llm.residue import residue_pages
+from auditloom.llm.tokens import with_tokens
+from auditloom.runtime import cut_lineage
 from auditloom.sources.tables import table
 
 
@@ -21,6 +25,27 @@ def p7_reasons(spark, d):
     return residue_pages(table(spark, d, "page_cache"))
 
 
+def p8_containers(spark, d):
+    """Every piece of every text, for each spec, and the container it is packed into."""
+    sizes = with_tokens(table(spark, d, "documents"), "text", ["doc_id"]).withColumnRenamed("doc_id", "id")
+    return pack(cut_lineage(sizes), table(spark, d, "pack_specs")).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark, d):
+    """How full the containers of each spec are."""
+    return packing_report(p8_containers(spark, d), table(spark, d, "pack_specs"))
+
+
+def p9_mixes(spark, d):
+    """The documents of each mix and how often each is used."""
+    return mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    """Target and actual share of each source in each mix."""
+    return mix_shares(p9_mixes(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark, d):
     return misread_documents(table(spark, d, "documents")).selectExpr("id as doc_id").distinct()
 
@@ -34,6 +59,10 @@ QUERIES = {
     "p6_found": (p6_found, None),
     "p7_found": (p7_found, None),
     "p7_reasons": (p7_reasons, None),
+    "p8_containers": (p8_containers, None),
+    "p8_report": (p8_report, None),
+    "p9_mixes": (p9_mixes, None),
+    "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_restored": (p10_restored, None),
 }
