@@ -14,6 +14,11 @@ STOP_WORDS = (
 FIELD_WEIGHTS = {"title": 3.0, "h1": 2.5, "meta_description": 2.0, "headings": 1.5, "body": 1.0}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: a column used inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and apostrophes in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z']+"), F.lit(0))
@@ -31,14 +36,12 @@ def is_content_word(token: Column) -> Column:
 
 def phrases(text: Column) -> Column:
     """All one- to three-word phrases of adjoining content words, repeats kept."""
-    words = tokens(text)
-
-    def grams(n: int) -> Column:
+    def grams(words: Column, n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
         cut = F.transform(starts, lambda i: F.slice(words, i, F.lit(n)))
         return F.transform(F.filter(cut, lambda g: F.forall(g, is_content_word)), lambda g: F.array_join(g, " "))
 
-    return F.concat(grams(1), grams(2), grams(3))
+    return let(tokens(text), lambda w: F.concat(grams(w, 1), grams(w, 2), grams(w, 3)))
 
 
 def page_keywords(fields: DataFrame, key: str = "url", top: int = 8) -> DataFrame:
@@ -83,10 +86,11 @@ def content_hash(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` lower-case words; a shorter text is one run, an empty one none."""
-    clean = F.lower(collapse_space(F.coalesce(text, F.lit(""))))
-    words = F.split(clean, " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-    return F.when(clean == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(runs))
+    def runs(words: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+        return F.when(words[0] == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(cut))
+
+    return let(F.split(F.lower(collapse_space(F.coalesce(text, F.lit("")))), " "), runs)
 
 
 def syllables(word: Column) -> Column:
