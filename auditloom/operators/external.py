@@ -317,7 +317,8 @@ def accessibility_summary(results: DataFrame) -> DataFrame:
     """``(url, score, counts, issues)`` from violations, an array of structs with id, impact and nodes_count."""
     v = F.filter("violations", lambda x: x["impact"].isin(list(PENALTY)))
     lost = F.aggregate(v, F.lit(0), lambda s, x: s + F.when(x["impact"] == "critical", 10).when(x["impact"] == "serious", 7).when(x["impact"] == "moderate", 3).otherwise(1))
-    counts = F.map_from_arrays(F.array(*[F.lit(k) for k in PENALTY]), F.array(*[F.size(F.filter(v, lambda x, k=k: x["impact"] == k)) for k in PENALTY]))
+    of = lambda impact: F.size(F.filter(v, lambda x: x["impact"] == impact))
+    counts = F.map_from_arrays(F.array(*[F.lit(k) for k in PENALTY]), F.array(*[of(k) for k in PENALTY]))
     issues = F.transform(F.filter("violations", lambda x: ~x["id"].isin(REPORTED)), lambda x: F.struct(
         F.when(x["impact"].isin("critical", "serious"), "warning").otherwise("info").alias("severity"),
         F.concat(F.lit("A11Y_"), F.upper(F.replace(x["id"], F.lit("-"), F.lit("_")))).alias("code"), F.lit("axe").alias("source"),
