@@ -1,16 +1,18 @@
 """Near-duplicate pages by the generalised pigeonhole principle over their word-run sets.
 
 A page is a bit vector with one bit for each possible run of words. A Jaccard similarity of at least t
-between sets of sizes a and b means a Hamming distance of at most (1 - t) / (1 + t) * (a + b). The bits
-are grouped into bands of correlated ones (rare runs; runs that recur together, as a site's frame does)
-and each band is split into partitions. With thresholds of 0 (equal) or -1 (not probed) whose sum leaves
-the pigeonhole bound intact, two near pages agree on some probed partition. How many partitions each
-band gets, and which are probed, follows from dynamic programming on estimated candidate counts.
-
-Partitions that many pages share (empty ones too) are skipped by pages that have no more of them than
-the slack; a page with more probes all of its own. If two near pages agree on more partitions than the
-slack, either one that isn't shared by many is among them, or both probe all. So no pair is lost.
-Candidates are verified on the exact sets. Equal sets are collapsed before and expanded at the end.
+between sets of sizes a and b means a Hamming distance of at most (1 - t) / (1 + t) * (a + b). Correlated
+bits, those that recur on much of the collection as a large site's frame does, form a band of their own
+and the others another; each band is split into partitions. With thresholds of 0 (equal) or -1 (not
+probed) that leave the pigeonhole bound intact, two near pages agree on some probed partition. Dynamic
+programming on estimated candidate counts allots the partitions to the bands.
+
+How often each partition value occurs is then counted in a sketch. Values that are empty or shared by
+many pages get the threshold -1 on pages that have no more of them than the slack; a page with more
+probes all of its own. Two near pages agree on more partitions than the slack, so on at least the slack
+plus one, less the lower of their numbers of such values, among those probed: pairs that agree on fewer
+are dropped and no near pair is lost. Candidates are verified on the exact sets. Equal sets are collapsed
+before and expanded at the end.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from auditloom.llm.html import latest_pages, page_html, visible_words
 from auditloom.runtime import cut_lineage, spread
 
 RUN = 5
-#: Counters of the document-frequency sketch (two rows of bytes) and the frequencies from which a run
-#: counts as common, and a partition as shared by many.
-SKETCH_BITS, COMMON, MANY = 22, 24, 48
+#: Counters of a frequency sketch (two rows of 16 bits each), the share of all sets (and their number)
+#: from which a run counts as correlated, and the pages from which a partition value is shared by many.
+SKETCH_BITS, COMMON_SHARE, COMMON_LEAST, MANY = 21, 0.02, 64, 48
 FAN_IN = 16
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,19 +98,21 @@ def _slots(runs: np.ndarray) -> np.ndarray:
 _SKETCH = "block int, node int, data binary"
 
 
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """A count-min sketch (bytes, saturating) of how many sets hold each run: two rows of fixed size."""
-    size, block = 2 << SKETCH_BITS, 1 << 20
+def frequency_sketch(values: DataFrame) -> np.ndarray:
+    """A count-min sketch (saturating) over all values of a column of BIGINT arrays: two rows of fixed size."""
+    size, block = 2 << SKETCH_BITS, 1 << 19
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(size, np.uint8)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.column(0).slice(i, 256).flatten().to_numpy()
-                slots, n = np.unique(_slots(part), return_counts=True)
-                counts[slots] = np.minimum(counts[slots].astype(np.int64) + n, 255)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.column(0).slice(i, 512).flatten().to_numpy()
+                counts += np.bincount(_slots(part).ravel(), minlength=size) if len(part) > size // 16 else 0
+                if len(part) <= size // 16:
+                    np.add.at(counts, _slots(part).ravel(), 1)
+        counts = np.minimum(counts, 65535).astype(np.uint16)
         node = TaskContext.get().partitionId()
         for b in range(size // block):
             one = counts[b * block : (b + 1) * block]
@@ -118,17 +122,18 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(block, np.int64)
         for data in t["data"].to_pylist():
-            total = np.minimum(total + np.frombuffer(zlib.decompress(data), np.uint8), 255)
-        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "node": pa.array([t["node"][0].as_py() // FAN_IN], pa.int32()), "data": [zlib.compress(total.astype(np.uint8), 1)]})
+            total += np.frombuffer(zlib.decompress(data), np.uint16)
+        total = np.minimum(total, 65535).astype(np.uint16)
+        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "node": pa.array([t["node"][0].as_py() // FAN_IN], pa.int32()), "data": [zlib.compress(total, 1)]})
 
-    nodes = sets.rdd.getNumPartitions()
-    level = sets.select("runs").mapInArrow(build, _SKETCH)
+    nodes = values.rdd.getNumPartitions()
+    level = values.mapInArrow(build, _SKETCH)
     while nodes > 1:
         level = level.groupBy("block", F.expr(f"node div {FAN_IN}").alias("g")).applyInArrow(lambda key, t: add(t), _SKETCH)
         nodes = -(-nodes // FAN_IN)
-    out = np.zeros(size, np.uint8)
+    out = np.zeros(size, np.uint16)
     for row in level.toLocalIterator():
-        out[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.data), np.uint8)
+        out[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.data), np.uint16)
     return out
 
 
@@ -149,28 +154,40 @@ class Scheme:
         """The largest Hamming distance of a near pair whose larger set is in class ``k``."""
         return math.floor((1 - self.t) / (1 + self.t) * 2 * self.tops[k] + 1e-9)
 
+    def slack(self, k: int, role: str) -> int:
+        """Partitions beyond the bound, so many may go unprobed."""
+        return 2 + self.distance(k) // (12 if role == "rich" else 4)
+
+    def budget(self, k: int, role: str) -> int:
+        """Partitions of a class: its distance allows all but one plus the slack to differ."""
+        return self.distance(k) + 1 + self.slack(k, role)
+
     def rich(self, k: int) -> int:
-        """Rare runs from which a page needs no common ones to fill its partitions."""
-        return 3 * (self.distance(k) + 1 + self.slack(k))
+        """Uncorrelated runs from which a page needs no others to fill its partitions."""
+        return 4 * self.budget(k, "rich")
 
-    def slack(self, k: int) -> int:
-        return 2 + self.distance(k) // 16
+    def roles(self, k: int, uncorrelated: int) -> list[str]:
+        """As what a page is compared in a class: ``rich`` in bands, ``poor`` with all its runs in one.
 
+        Near pages have a role in common, as their numbers of uncorrelated runs differ by no more than the distance.
+        """
+        return ["rich"] * (uncorrelated >= self.rich(k)) + ["poor"] * (uncorrelated < self.rich(k) + self.distance(k))
 
-def allocate(pages: float, rare: float, common: float, rare_df: float, common_df: float, budget: int) -> tuple[int, int]:
-    """Partitions for the rare and the common band, ``budget`` in all, with the fewest estimated candidates.
 
-    Dynamic programming over the bands; a band of mean size s in k partitions is estimated to give, for
-    each partition, the pages that share one run of it and then the rest, and those where it is empty.
+def allocate(pages: float, bands: list[tuple[float, float, float]], budget: int, slack: int) -> tuple[int, ...]:
+    """Partitions for each band, ``budget`` in all, with the fewest estimated candidates.
+
+    A band is (mean runs of a page in it, mean pages that share a run, correlation of its runs). Dynamic
+    programming over the bands: with s runs in k partitions, each gives the pages that share one run of
+    it and then the rest; where more partitions stay empty than the slack takes, pages meet in those.
     """
     def cost(size: float, df: float, corr: float, k: int) -> float:
         if k == 0:
             return 0.0
         fill = size / k
-        empty = pages * math.exp(-fill)
-        return k * (pages * max(0.0, min(df, pages) - 1) * corr ** max(0.0, fill - 1) * (1 - math.exp(-fill)) + empty * empty / 2)
+        empty = k * math.exp(-fill)
+        return k * pages * max(0.0, min(df, pages) - 1) * corr ** max(0.0, fill - 1) + (pages * pages if 2 * empty > slack else 0.0)
 
-    bands = [(rare, rare_df, 0.5), (common, common_df, 0.95)]
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for band in bands:
         nxt: dict[int, tuple[float, tuple[int, ...]]] = {}
@@ -180,7 +197,39 @@ def allocate(pages: float, rare: float, common: float, rare_df: float, common_df
                 if used + k not in nxt or v < nxt[used + k][0]:
                     nxt[used + k] = (v, (*ks, k))
         best = nxt
-    return best[budget][1]  # type: ignore[return-value]
+    return best[budget][1]
+
+
+class Partitioner:
+    """Partition values of a set, the same on every task."""
+
+    def __init__(self, scheme: Scheme, plan: dict[tuple[int, str], tuple[int, ...]], sketch: bytes, common: int):
+        self.scheme, self.plan, self.sketch, self.common = scheme, plan, sketch, common
+
+    def correlated(self, runs: np.ndarray) -> np.ndarray:
+        """Which runs belong to the band of correlated ones."""
+        return np.frombuffer(self.sketch, np.uint16)[_slots(runs)].min(axis=0) >= self.common
+
+    def values(self, runs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(number of class and role, slack, values, which are empty) for each class and role in which the set is compared."""
+        corr = self.correlated(runs)
+        hashed, content = mix(runs.view(np.uint64), 31), mix(runs.view(np.uint64), 41)
+        own = self.scheme.of(len(runs))
+        for k in (own, own + 1):
+            for role in self.scheme.roles(k, int((~corr).sum())):
+                out, empty = [], []
+                members = (~corr, corr) if role == "rich" else (np.ones(len(runs), bool),)
+                for band, (count, member) in enumerate(zip(self.plan[(k, role)], members, strict=True)):
+                    if not count:
+                        continue
+                    part = (hashed[member] % np.uint64(count)).astype(np.int64)
+                    total = np.zeros(count, np.uint64)
+                    with np.errstate(over="ignore"):
+                        np.add.at(total, part, content[member])
+                        tag = (k * 4 + band * 2 + (role == "rich")) << 32
+                        out.append(mix(total + mix(np.arange(count, dtype=np.uint64) + np.uint64(tag), 43), 44))
+                    empty.append(np.bincount(part, minlength=count) == 0)
+                yield k * 2 + (role == "rich"), self.scheme.slack(k, role), np.concatenate(out).view(np.int64), np.concatenate(empty)
 
 
 def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -191,26 +240,19 @@ def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     spark = sets.sparkSession
     scheme = Scheme(threshold)
-    sketch = spark.sparkContext.broadcast(frequency_sketch(sets).tobytes())
-
-    def frequencies(runs: np.ndarray) -> np.ndarray:
-        counts = np.frombuffer(sketch.value, np.uint8)
-        return counts[_slots(runs)].min(axis=0)
-
-    def roles(k: int, n_rare: int) -> list[str]:
-        rich = scheme.rich(k)
-        return ["rich"] * (n_rare >= rich) + ["poor"] * (n_rare < rich + scheme.distance(k))
+    common = int(min(60_000, max(COMMON_LEAST, COMMON_SHARE * sets.count())))
+    frequency = spark.sparkContext.broadcast(frequency_sketch(sets.select("runs")).tobytes())  # 8 MB
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(frequency.value, np.uint16)
         sums: dict[tuple[int, str], np.ndarray] = {}
         for batch in batches:
             for runs in batch.column(0):
-                runs = runs.values.to_numpy()
-                df = frequencies(runs)
-                is_rare = df < COMMON
-                row = np.array([1, is_rare.sum(), (~is_rare).sum(), df[is_rare].sum(), df[~is_rare].sum()], np.float64)
-                k = scheme.of(len(runs))
-                for key in {(c, r) for c in (k, k + 1) for r in roles(c, int(row[1]))}:
+                df = counts[_slots(runs.values.to_numpy())].min(axis=0)
+                corr = df >= common
+                row = np.array([1, (~corr).sum(), corr.sum(), df[~corr].sum(), df[corr].sum()], np.float64)
+                k = scheme.of(len(df))
+                for key in [(c, r) for c in (k, k + 1) for r in scheme.roles(c, int(row[1]))]:
                     sums[key] = sums.get(key, 0) + row
         yield pa.RecordBatch.from_pydict(
             {"k": pa.array([x[0] for x in sums], pa.int32()), "role": pa.array([x[1] for x in sums], pa.string())}
@@ -221,51 +263,59 @@ def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         sets.select("runs").mapInArrow(measure, "k int, role string, s0 double, s1 double, s2 double, s3 double, s4 double")
         .groupBy("k", "role").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
     )
-    plan: dict[tuple[int, str], tuple[int, int]] = {}
-    for r in stats.collect():  # two rows a size class
-        plan[(r.k, r.role)] = allocate(
-            r.s0, r.s1 / r.s0, r.s2 / r.s0, r.s3 / max(1.0, r.s1), r.s4 / max(1.0, r.s2), scheme.distance(r.k) + 1 + scheme.slack(r.k)
+    plan = {
+        (r.k, r.role): allocate(
+            r.s0,
+            [(r.s1 / r.s0, r.s3 / max(1.0, r.s1), 0.4), (r.s2 / r.s0, r.s4 / max(1.0, r.s2), 0.95)] if r.role == "rich"
+            else [((r.s1 + r.s2) / r.s0, (r.s3 + r.s4) / max(1.0, r.s1 + r.s2), 0.6)],
+            scheme.budget(r.k, r.role), scheme.slack(r.k, r.role),
         )
+        for r in stats.collect()  # two rows a size class
+    }
+
+    def partitioner() -> Partitioner:
+        return Partitioner(scheme, plan, frequency.value, common)
+
+    def all_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = partitioner()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                out = [v[~e] for runs in batch.column(0).slice(i, 512) for _, _, v, e in p.values(runs.values.to_numpy())]
+                flat = np.concatenate(out) if out else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], ["values"])
+
+    shared_by = spark.sparkContext.broadcast(frequency_sketch(sets.select("runs").mapInArrow(all_values, "values array<long>")).tobytes())  # 8 MB
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, counts = partitioner(), np.frombuffer(shared_by.value, np.uint16)
         for batch in batches:
-            sigs, owner = [], []
+            sigs, owner, need = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for j, runs in enumerate(batch.column(2)):
-                runs = runs.values.to_numpy()
-                df = frequencies(runs)
-                is_rare = df < COMMON
-                hashed = mix(runs.view(np.uint64), 31)
-                for k in (scheme.of(len(runs)), scheme.of(len(runs)) + 1):
-                    for role in roles(k, int(is_rare.sum())):
-                        keys, many = [], []
-                        for band, (count, member) in enumerate(zip(plan[(k, role)], (is_rare, ~is_rare), strict=True)):
-                            if not count:
-                                continue
-                            part = (hashed[member] % np.uint64(count)).astype(np.int64)
-                            total, least = np.zeros(count, np.uint64), np.full(count, 255, np.uint8)
-                            with np.errstate(over="ignore"):
-                                np.add.at(total, part, mix(runs[member].view(np.uint64), 41))
-                                tag = (k * 4 + band * 2 + (role == "rich")) << 32
-                                keys.append(mix(total + mix(np.arange(count, dtype=np.uint64) + np.uint64(tag), 43), 44))
-                            np.minimum.at(least, part, df[member])
-                            many.append(least >= MANY)
-                        key, shared = np.concatenate(keys), np.concatenate(many)
-                        if shared.sum() <= scheme.slack(k):
-                            key = key[~shared]
-                        sigs.append(key.view(np.int64))
-                        owner.append(np.full(len(key), j))
-            if sigs:
-                at = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
-                    ["sig", "sid", "n"],
-                )
-
-    probes = sets.select("sid", "n", "runs").mapInArrow(probe, "sig long, sid long, n int")
-    left = probes.select("sig", F.col("sid").alias("a"), F.col("n").alias("na"))
-    right = probes.select("sig", F.col("sid").alias("b"), F.col("n").alias("nb"))
+                for tag, slack, values, empty in p.values(runs.values.to_numpy()):
+                    estimate = counts[_slots(values)].min(axis=0)
+                    many = empty | (estimate >= MANY)
+                    skipped = int(many.sum())
+                    keep = empty | (estimate > 1)  # a value that no other page has finds nothing
+                    if skipped <= slack:
+                        keep &= ~many
+                    values = values[keep]
+                    sigs.append(values)
+                    owner.append(np.full(len(values), j))
+                    # A near page agrees on more partitions than the slack, all but the skipped among those probed.
+                    need.append(np.full(len(values), tag << 16 | max(1, slack + 1 - skipped), np.int32))
+            at = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sigs)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(need))], ["sig", "sid", "n", "need"]
+            )
+
+    probes = sets.select("sid", "n", "runs").mapInArrow(probe, "sig long, sid long, n int, need int")
+    left, right = (probes.select("sig", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need{x}")) for x in "ab")
     near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
-    pairs = cut_lineage(left.join(right, "sig").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct())
+    met = left.join(right, "sig").where((F.col("a") < F.col("b")) & near & (F.shiftright("needa", 16) == F.shiftright("needb", 16)))
+    agreed = met.groupBy("a", "b", F.shiftright("needa", 16).alias("tag")).agg(
+        F.count("*").alias("agreed"), F.max(F.greatest("needa", "needb").bitwiseAND(F.lit(0xFFFF))).alias("needed")
+    )
+    pairs = cut_lineage(agreed.where("agreed >= needed").select("a", "b").distinct())
     used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = sets.join(used, "sid", "left_semi").select("sid", "n", "runs")
     both = F.size(F.array_intersect("ra", "rb"))
