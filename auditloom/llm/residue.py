@@ -12,6 +12,7 @@ A placeholder or filler makes a page a case; a message does so only where no con
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.html import latest_pages, page_html
 from auditloom.llm.mainbody import main_blocks, page_lines
+from auditloom.llm.neardup import mix
 from auditloom.runtime import broadcast_if_small, cut_lineage, spread
 
 TABLES, HAMMING, SIMILARITY, GRAM = 4, 3, 0.8, 5
@@ -53,6 +55,8 @@ _FORMS = [
 ]
 PLACEHOLDER = re.compile("|".join(_FORMS))
 
+_HINT = re.compile(r"[{%\[$#*<]|__|undefined|NaN|null|TBD|ntitled")  # without one of these no form can match
+
 # Wordings of filler.
 _FILLER = [
     r"^lorem ipsum\b",
@@ -96,6 +100,12 @@ _MESSAGES = [
 ]
 MESSAGE = re.compile("|".join(_MESSAGES), re.I)
 
+# Without one of these parts no message can match.
+_MESSAGE_HINT = re.compile(
+    r"not found|not be found|exist|available|has been|nothing at|not return|permission|authori[sz]ed|access|server|unexpected|backend|upstream|maintenance|be back|too many|human|robot|line \d|trace|in /|"
+    r"database|gefunden|demandée|introuvable|encontrad|istnieje|znaleziona|найдена|существует|script|forbidden|gone|gateway"
+)
+
 _QUOTED = re.compile(r"“[^”]{0,200}”|„[^“”]{0,200}[“”]|«[^»]{0,200}»|\"[^\"]{0,200}\"|‘[^’]{0,80}’|`[^`]{0,200}`")
 _PART = re.compile(r"\s+[|–—»·-]\s+")
 
@@ -112,25 +122,30 @@ def grams(text: str) -> set[str]:
 
 def simhash(text: str) -> int:
     """64-bit SimHash of the character runs, as a signed number."""
-    h = np.array([xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams(text)], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(h)).view(np.int64)[0])
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = min(GRAM, max(1, len(c)))
+    h = np.zeros(max(1, len(c) - width + 1), np.uint64)
+    for k in range(width if len(c) else 0):
+        h = h * np.uint64(0x100000001B3) + c[k : len(c) - width + 1 + k]
+    bits = np.unpackbits(mix(h).view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).view(np.int64)[0])
 
 
 def trusted_label(text: str) -> str | None:
     """``filler``, ``message`` or None; quoted words and long running text are no message."""
     bare = _QUOTED.sub(" ", text)
-    words = re.findall(r"\w+", bare.lower())
-    if FILLER.search(bare) or (len(words) >= 5 and max(map(words.count, set(words))) >= 0.8 * len(words)):
+    low = bare.lower()
+    words = low.split()
+    if FILLER.search(bare) or (len(words) >= 5 and len(set(words)) <= 0.2 * len(words) + 1 and Counter(w.strip(".,;:!?") for w in words).most_common(1)[0][1] >= 0.8 * len(words)):
         return "filler"
-    if len(bare) <= 400 and MESSAGE.search(bare):
+    if len(bare) <= 400 and _MESSAGE_HINT.search(low) and MESSAGE.search(bare):
         return "message"
     return None
 
 
 def has_placeholder(text: str) -> bool:
     """Whether a placeholder stands in the text outside quotation marks."""
-    return bool(PLACEHOLDER.search(_QUOTED.sub(" ", text)))
+    return bool(_HINT.search(text)) and bool(PLACEHOLDER.search(_QUOTED.sub(" ", text)))
 
 
 _UNITS = "url string, place string, chars int, placeholder boolean, trusted string, wording string, sim long, id long"
