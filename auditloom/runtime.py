@@ -61,12 +61,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def input_partitions(df: DataFrame) -> int:
-    """Tasks that a scan or stage of ``df`` starts with."""
-    return max(1, df.rdd.getNumPartitions())
-
-
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` over enough tasks for Python work, if its files make fewer."""
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if input_partitions(df) < least else df
+    """``df`` over enough tasks for Python work, if its plan makes fewer.
+
+    A scan is asked for its number of tasks; after an exchange that number is only known once the exchange
+    ran, so such a plan is spread without asking, over as many tasks as the session shuffles into.
+    """
+    spark = df.sparkSession
+    least = least or spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df.repartition(max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(least) if max(1, df.rdd.getNumPartitions()) < least else df
