@@ -84,14 +84,18 @@ def lsh_pairs(sigs: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
 def exact_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, size: int = RUN) -> DataFrame:
     """``(a, b, similarity)`` of texts whose word-run sets have a Jaccard similarity of at least ``threshold``.
 
-    Equal sets are collapsed. Of the sorted run hashes of a set only the first n - ceil(t n) + 1 are joined:
+    Equal sets are collapsed. Of the runs of a set, rarest first, only the first n - ceil(t n) + 1 are joined:
     similar sets share one of them; sizes must fit. Candidates are verified on the whole sets.
     """
     runs = F.array_sort(F.transform(shingles(F.col(text), size), lambda s: F.xxhash64(s)))
     sets = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), runs.alias("runs")).where(F.size("runs") > 0)
     sets = cut_lineage(sets.withColumn("sid", F.xxhash64("runs")))
     reps = cut_lineage(sets.groupBy("sid").agg(F.min("k").alias("rep")).join(sets.select(F.col("k").alias("rep"), "runs"), "rep").select("rep", "runs", F.size("runs").alias("n")))
-    prefix = reps.select("rep", "n", F.explode(F.slice("runs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("h"))
+    each = reps.select("rep", "n", F.explode("runs").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")  # a run of one set finds nothing, but takes its place
+    ordered = each.join(common, "h", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1).cast("long")).alias("df"), "h"))).alias("x"))
+    first = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    prefix = cut_lineage(ordered.select("rep", "n", F.explode(F.filter(first, lambda e: e["df"] > 1)).alias("e")).select("rep", "n", F.col("e.h").alias("h")))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
     cand = (
         prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "h").join(prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "h"), "h")
