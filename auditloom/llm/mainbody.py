@@ -7,7 +7,9 @@ stretches between surge and dive the one with the most text is the main body.
 
 What a site repeats on most of its pages (digits aside) is frame. A second pass learns, over all sites,
 the wording of lines that mostly stand outside main bodies (promotions, share lines), runs the
-distribution again without them and drops them where a body encloses them.
+distribution again without them and drops them where a body encloses them. Names are masked only in lines
+that keep several other words; a shorter line is known by its exact tag and text (digits aside), and only
+on sites that show it outside, or on all if most do.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from auditloom.runtime import broadcast_if_small, cut_lineage, spread
 WINDOW, SITE_SHARE, SITE_PAGES = 5, 0.5, 3
 #: Sites, and share of its sites, on which a wording stands outside main bodies, from which it is frame.
 FRAME_SITES, FRAME_SHARE = 2, 0.15
+#: Words besides capitalised ones that a line must keep for its wording to hold without its names.
+KEPT_WORDS = 3
 
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*>|<[!?][^<>]*>")
 _BLOCK = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"])
@@ -37,6 +41,7 @@ _BORDER = frozenset("div section main article aside nav header footer form body
 _CRUMB = re.compile(r"\s[»›>/|→·](?:\s|$)")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"\b[^\W\d_a-z]\w*")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Line:
@@ -132,18 +137,27 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def wording(line: Line) -> int:
-    """A hash of a line's kind and wording without numbers and capitalised words (names)."""
+def wording(line: Line) -> tuple[int, bool]:
+    """A hash of a line's wording, and whether it is exact.
+
+    Without numbers and capitalised words (names) and by the kind of line, where ``KEPT_WORDS`` other words
+    are left; else the exact tag and text, digits aside.
+    """
+    linked = "a" if line.linked * 2 > len(line.text) else ""
+    text = _DIGITS.sub("0", line.text)
+    masked = _NAME.sub("X", text)
+    if sum(w != "X" for w in _WORD.findall(masked)) < KEPT_WORDS:
+        return _key("exact", line.tag, linked, text), True
     kind = "h" if line.tag[:1] == "h" and line.tag != "header" else line.tag
-    return _key(kind, "a" if line.linked * 2 > len(line.text) else "", _NAME.sub("X", _DIGITS.sub("0", line.text)))
+    return _key(kind, linked, masked), False
 
 
-_LINES = "array<struct<no:int,weight:int,site:bigint,wording:bigint>>"
+_LINES = "array<struct<no:int,weight:int,site:bigint,wording:bigint,exact:boolean>>"
 
 
 def _lines_of_pages(cache: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("no", pa.int32()), ("weight", pa.int32()), ("site", pa.int64()), ("wording", pa.int64())]))
+        kind = pa.list_(pa.struct([("no", pa.int32()), ("weight", pa.int32()), ("site", pa.int64()), ("wording", pa.int64()), ("exact", pa.bool_())]))
         for batch in batches:
             urls, hosts, rows = [], [], []
             for url, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -156,8 +170,9 @@ def _lines_of_pages(cache: DataFrame) -> DataFrame:
                 except ValueError:
                     hosts.append("")
                 rows.append([
-                    {"no": x.no, "weight": x.weight, "site": _key(x.tag, _DIGITS.sub("0", x.text)) if x.text else 0, "wording": wording(x) if x.text else 0}
+                    {"no": x.no, "weight": x.weight, "site": _key(x.tag, _DIGITS.sub("0", x.text)) if x.text else 0, "wording": w, "exact": exact}
                     for x in page_lines(text)[1]
+                    for w, exact in [wording(x) if x.text else (0, False)]
                 ])
             yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(rows, kind)], ["url", "host", "lines"])
 
@@ -169,8 +184,8 @@ def _spans(pages: DataFrame, frames: DataFrame, wordings: DataFrame | None) -> D
     framed = pages.join(broadcast_if_small(frames), "host", "left")
     if wordings is not None:
         hit = (
-            pages.select("url", F.explode(F.array_distinct("lines.wording")).alias("wording"))
-            .join(broadcast_if_small(wordings), "wording").groupBy("url").agg(F.collect_set("wording").alias("known"))
+            pages.select("url", "host", F.explode(F.array_distinct("lines.wording")).alias("wording"))
+            .join(broadcast_if_small(wordings), ["wording", "host"]).groupBy("url").agg(F.collect_set("wording").alias("known"))
         )
         framed = framed.join(hit, "url", "left")
     else:
@@ -211,16 +226,19 @@ def main_blocks(cache: DataFrame) -> DataFrame:
     frames = cut_lineage(frames)
     first = _spans(pages, frames, None)
     where = first.select("host", "begin", "end", F.posexplode("lines").alias("at", "line")).select(
-        "host", "line.wording", ((F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).alias("inside")
+        "host", "line.wording", "line.exact", ((F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).alias("inside")
     ).where("wording <> 0")
-    wordings = (
-        where.groupBy("wording", "host").agg(F.avg(F.col("inside").cast("int")).alias("share"))
-        .groupBy("wording").agg(F.sum((F.col("share") < 0.5).cast("int")).alias("out"), F.count("*").alias("sites"))
-        .where((F.col("out") >= FRAME_SITES) & (F.col("out") > F.col("sites") * F.lit(FRAME_SHARE))).select("wording")
+    shown = where.groupBy("wording", "host").agg(F.max("exact").alias("exact"), (F.avg(F.col("inside").cast("int")) < 0.5).alias("out"))
+    shown = cut_lineage(shown)
+    common = (
+        shown.groupBy("wording").agg(F.sum(F.col("out").cast("int")).alias("outs"), F.count("*").alias("sites"))
+        .where((F.col("outs") >= FRAME_SITES) & (F.col("outs") > F.col("sites") * F.lit(FRAME_SHARE)))
+        .select("wording", (F.col("outs") * 2 > F.col("sites")).alias("most"))
     )
-    wordings = cut_lineage(wordings)
+    common = cut_lineage(common)
+    wordings = cut_lineage(shown.join(broadcast_if_small(common), "wording").where("not exact or most or out").select("wording", "host"))
     second = _spans(pages, frames, wordings)
-    blocks = second.select("url", "begin", "end", F.posexplode("lines").alias("at", "line")).where(
+    blocks = second.select("url", "host", "begin", "end", F.posexplode("lines").alias("at", "line")).where(
         "at >= begin and at < end and line.no > 0 and line.wording <> 0"
-    ).select("url", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
-    return blocks.join(broadcast_if_small(wordings), "wording", "left_anti").select("url", "block_no")
+    ).select("url", "host", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
+    return blocks.join(broadcast_if_small(wordings), ["wording", "host"], "left_anti").select("url", "block_no")

@@ -124,6 +124,22 @@ def test_main_body(spark):
     assert main_blocks(cache(spark, pages).limit(0)).count() == 0
 
 
+def test_headings_of_one_name_are_not_frame_text(spark):
+    """'Related' and site names stand in frames on all sites; bodies have headings of one word too."""
+    pages = []
+    for k in range(4):
+        name = f"Brand{'abcd'[k]}"
+        for i, (u, h) in enumerate(site(8, f"host{k}", f"Rated 7 out of 9 by people who shop at Host{k}.", f"Made with care by Host{k} in workshop {k}.")):
+            word = ["Gone", "Warning", "Sanos", "Kedra"][i % 4]
+            body = h[h.index("<h1>") :].replace("<h3>More</h3>", f"<h3>Related</h3><h2>{name}</h2>" + (f"<h2>{word}</h2>" if k == 3 else ""))
+            pages.append((u, f"<div>{NAV}</div><div><h1>{word}</h1>" + body[body.index("</h1>") + 5 :]))
+    got = {(r.url, r.block_no) for r in main_blocks(cache(spark, pages)).collect()}
+    for u, h in pages:
+        first = h[: h.index("<h1>")].count("<li>") + 1
+        assert (u, first) in got and (u, first + 1) in got, u
+        assert (u, page_lines(h)[1][[x.text for x in page_lines(h)[1]].index("Related")].no) not in got
+
+
 def test_lines_and_spans():
     title, lines = page_lines("<title>T &amp; t</title><p>One <a href=x>two</a></p><li>three<li><!-- <p>no</p> --><p><code>{{x}}</code> y</p>", code=False)
     assert title == "T & t" and [(x.no, x.text) for x in lines if x.no] == [(1, "One two"), (2, "three"), (3, ""), (4, "y")]
