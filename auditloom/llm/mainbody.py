@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one for each block element, stretch of other text and container border. The
 length of a line is that of its text outside links; lines known as frame count as empty. Sums over a
-sliding window of lines rise above zero at a surge point and fall to zero at a dive point; of the
-stretches between surge and dive the one with the most text is the main body.
+sliding window of lines rise above zero at a surge point and fall to zero at a dive point. The stretch
+with the most text between surge and dive is the main body, with all further ones that are large or dense;
+container borders in a row count as one line, so nested sections do not end a stretch.
 
 What a site repeats on most of its pages (digits aside) is frame. A second pass learns, over all sites,
 the wording of lines that mostly stand outside main bodies (promotions, share lines), runs the
@@ -22,7 +23,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.html import HIDDEN, latest_pages, page_html
@@ -32,6 +33,9 @@ from auditloom.runtime import broadcast_if_small, cut_lineage, spread
 WINDOW, SITE_SHARE, SITE_PAGES = 5, 0.5, 3
 #: Sites, and share of its sites, on which a wording stands outside main bodies, from which it is frame.
 FRAME_SITES, FRAME_SHARE = 2, 0.15
+#: Share of the largest stretch's text from which a further one is kept; characters, and characters a line
+#: with text, from which a smaller one is dense and kept too.
+LARGE_SHARE, DENSE_CHARS, DENSE_LINE = 0.25, 200, 60
 #: Words besides capitalised ones that a line must keep for its wording to hold without its names.
 KEPT_WORDS = 3
 
@@ -133,6 +137,27 @@ def main_span(weights: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
     return span
 
 
+def body_spans(weights: np.ndarray, border: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and last + 1 line of every stretch that belongs to the main body, in order.
+
+    ``border`` marks bare container borders. Kept are the stretch with the most text and those that hold a
+    quarter of its text, or that are dense.
+    """
+    at = [i for i in range(len(weights)) if not (border[i] and i and border[i - 1])]
+    found, begin = [], None
+    for j, i in enumerate(at):
+        w = int(weights[i])
+        if w > 0:
+            if begin is None:
+                begin, mass, full = j, 0, 0  # surge
+            mass, full, last = mass + w, full + 1, j
+        if begin is not None and (j - last >= window or j == len(at) - 1):  # dive
+            found.append((mass, full, at[begin], at[last] + 1))
+            begin = None
+    most = max((x[0] for x in found), default=0)
+    return [(b, e) for mass, full, b, e in found if mass >= LARGE_SHARE * most or (mass >= DENSE_CHARS and mass >= DENSE_LINE * full)]
+
+
 def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -152,12 +177,13 @@ def wording(line: Line) -> tuple[int, bool]:
     return _key(kind, linked, masked), False
 
 
-_LINES = "array<struct<no:int,weight:int,site:bigint,wording:bigint,exact:boolean>>"
+_LINES = "array<struct<no:int,weight:int,site:bigint,wording:bigint,exact:boolean,border:boolean>>"
+_SPANS = "array<struct<begin:int,end:int>>"
 
 
 def _lines_of_pages(cache: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("no", pa.int32()), ("weight", pa.int32()), ("site", pa.int64()), ("wording", pa.int64()), ("exact", pa.bool_())]))
+        kind = pa.list_(pa.struct([("no", pa.int32()), ("weight", pa.int32()), ("site", pa.int64()), ("wording", pa.int64()), ("exact", pa.bool_()), ("border", pa.bool_())]))
         for batch in batches:
             urls, hosts, rows = [], [], []
             for url, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -170,7 +196,7 @@ def _lines_of_pages(cache: DataFrame) -> DataFrame:
                 except ValueError:
                     hosts.append("")
                 rows.append([
-                    {"no": x.no, "weight": x.weight, "site": _key(x.tag, _DIGITS.sub("0", x.text)) if x.text else 0, "wording": w, "exact": exact}
+                    {"no": x.no, "weight": x.weight, "site": _key(x.tag, _DIGITS.sub("0", x.text)) if x.text else 0, "wording": w, "exact": exact, "border": not x.text and not x.no}
                     for x in page_lines(text)[1]
                     for w, exact in [wording(x) if x.text else (0, False)]
                 ])
@@ -180,7 +206,7 @@ def _lines_of_pages(cache: DataFrame) -> DataFrame:
 
 
 def _spans(pages: DataFrame, frames: DataFrame, wordings: DataFrame | None) -> DataFrame:
-    """``(url, host, lines, begin, end)``: the main span of each page, frame lines counted as empty."""
+    """``(url, host, lines, spans)``: the main spans of each page, frame lines counted as empty."""
     framed = pages.join(broadcast_if_small(frames), "host", "left")
     if wordings is not None:
         hit = (
@@ -190,23 +216,26 @@ def _spans(pages: DataFrame, frames: DataFrame, wordings: DataFrame | None) -> D
         framed = framed.join(hit, "url", "left")
     else:
         framed = framed.withColumn("known", F.lit(None).cast("array<bigint>"))
-    schema = f"url string, host string, lines {_LINES}, begin int, end int"
+    schema = f"url string, host string, lines {_LINES}, spans {_SPANS}"
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, end = [], []
+            spans = []
             for lines, frame, known in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lines", "frame", "known")], strict=True):
                 frame, known = set(frame or ()), set(known or ())
                 weights = np.array([0 if x["site"] in frame or x["wording"] in known else x["weight"] for x in lines], np.int64)
-                b, e = main_span(weights) if len(weights) else (0, 0)
-                begin.append(b)
-                end.append(e)
+                spans.append([{"begin": b, "end": e} for b, e in body_spans(weights, [x["border"] for x in lines])])
             keep = [batch.column(batch.schema.get_field_index(c)) for c in ("url", "host", "lines")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["url", "host", "lines", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(spans, kind)], ["url", "host", "lines", "spans"])
 
     return framed.select("url", "host", "lines", "frame", "known").mapInArrow(span, schema)
 
 
+def _inside() -> Column:
+    return F.exists("spans", lambda s: (F.col("at") >= s["begin"]) & (F.col("at") < s["end"]))
+
+
 def main_blocks(cache: DataFrame) -> DataFrame:
     """``(url, block_no)`` of the blocks in each page's main body.
 
@@ -225,8 +254,8 @@ def main_blocks(cache: DataFrame) -> DataFrame:
     )
     frames = cut_lineage(frames)
     first = _spans(pages, frames, None)
-    where = first.select("host", "begin", "end", F.posexplode("lines").alias("at", "line")).select(
-        "host", "line.wording", "line.exact", ((F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).alias("inside")
+    where = first.select("host", "spans", F.posexplode("lines").alias("at", "line")).select(
+        "host", "line.wording", "line.exact", _inside().alias("inside")
     ).where("wording <> 0")
     shown = where.groupBy("wording", "host").agg(F.max("exact").alias("exact"), (F.avg(F.col("inside").cast("int")) < 0.5).alias("out"))
     shown = cut_lineage(shown)
@@ -238,7 +267,7 @@ def main_blocks(cache: DataFrame) -> DataFrame:
     common = cut_lineage(common)
     wordings = cut_lineage(shown.join(broadcast_if_small(common), "wording").where("not exact or most or out").select("wording", "host"))
     second = _spans(pages, frames, wordings)
-    blocks = second.select("url", "host", "begin", "end", F.posexplode("lines").alias("at", "line")).where(
-        "at >= begin and at < end and line.no > 0 and line.wording <> 0"
+    blocks = second.select("url", "host", "spans", F.posexplode("lines").alias("at", "line")).where(
+        _inside() & F.expr("line.no > 0 and line.wording <> 0")
     ).select("url", "host", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
     return blocks.join(broadcast_if_small(wordings), ["wording", "host"], "left_anti").select("url", "block_no")

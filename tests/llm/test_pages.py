@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from auditloom.llm.html import page_html, visible_words
-from auditloom.llm.mainbody import main_blocks, main_span, page_lines
+from auditloom.llm.mainbody import body_spans, main_blocks, main_span, page_lines
 from auditloom.llm.neardup import Scheme, allocate, page_classes, page_pairs, word_runs
 from auditloom.llm.residue import has_placeholder, residue_pages, simhash, trusted_label, unit_wording
 
@@ -124,6 +124,21 @@ def test_main_body(spark):
     assert main_blocks(cache(spark, pages).limit(0)).count() == 0
 
 
+def test_sectioned_bodies_keep_all_sections(spark):
+    """Sections nested three deep, and a list of links or a promotion of five lines between paragraphs."""
+    text = lambda i: f"<p>{'Plain words about lamps and rivers in the garden. ' * 6}{'abcdefgh'[i] * 9}</p>"
+    deep = "".join(f"<section><div><div>{text(i)}</div></div></section>" for i in range(4))
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Part {i}</a></li>' for i in range(6)) + "</ul>"
+    pages = [("https://deep.example/1", f"<div>{deep}</div>"), ("https://list.example/2", f"<div>{text(0)}{text(1)}{links}{text(2)}</div>"),
+             ("https://short.example/3", f"<div><p>We use cookies here.</p></div>{links}<div>{text(0)}{text(1)}{text(2)}{text(3)}</div>")]
+    got = {}
+    for r in main_blocks(cache(spark, pages)).collect():
+        got.setdefault(r.url, set()).add(r.block_no)
+    assert got["https://deep.example/1"] == {1, 2, 3, 4} and got["https://list.example/2"] == {1, 2, 9} and got["https://short.example/3"] == {8, 9, 10, 11}
+    assert body_spans(np.array([0, 9, 0, 0, 0, 0, 0, 0, 8]), [True, False, True, True, True, True, True, True, False]) == [(1, 9)]
+    assert body_spans(np.array([5, 0, 0, 0, 0, 0, 99, 0]), [False] * 8) == [(6, 7)] and body_spans(np.zeros(3, int), [False] * 3) == body_spans(np.zeros(0, int), []) == []
+
+
 def test_headings_of_one_name_are_not_frame_text(spark):
     """'Related' and site names stand in frames on all sites; bodies have headings of one word too."""
     pages = []
