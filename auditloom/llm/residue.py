@@ -3,8 +3,9 @@
 The title and main-body blocks of each page are text units. Unfilled placeholders are found by their
 form. Units that are filler, an error, access or maintenance message or a demand for scripts are first
 labelled where a trusted wording matches; then near-duplicates of labelled units (numbers aside) are found
-with partitioned SimHash tables, verified by Hamming distance and text similarity, and get the label of
-the component they are connected to. Components are explored from their trusted members, level by level.
+by the rarest character runs of each wording, which loses none of the stated similarity, verified, and get
+the label of the component they are connected to. Components are explored from their trusted members,
+level by level.
 
 A placeholder or filler makes a page a case; a message does so only where no content stands beside it.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.html import latest_pages, page_html
@@ -26,7 +27,9 @@ from auditloom.llm.mainbody import main_blocks, page_lines
 from auditloom.llm.neardup import mix
 from auditloom.runtime import broadcast_if_small, cut_lineage, spread
 
-TABLES, HAMMING, SIMILARITY, GRAM = 4, 3, 0.8, 5
+SIMILARITY, GRAM = 0.8, 5
+#: Slots in which character runs are counted to tell rare from common ones, and one of how many wordings is counted.
+SLOTS, COUNTED = 1 << 16, 4
 #: Characters of other running text in a main body from which a message no longer stands in for content.
 CONTENT_CHARS = 200
 
@@ -120,14 +123,20 @@ def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
 
 
-def simhash(text: str) -> int:
-    """64-bit SimHash of the character runs, as a signed number."""
+def gram_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each character run, in order."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     width = min(GRAM, max(1, len(c)))
     h = np.zeros(max(1, len(c) - width + 1), np.uint64)
     for k in range(width if len(c) else 0):
         h = h * np.uint64(0x100000001B3) + c[k : len(c) - width + 1 + k]
-    bits = np.unpackbits(mix(h).view(np.uint8).reshape(-1, 8), axis=1)
+    return mix(h)
+
+
+def simhash(text: str) -> int:
+    """64-bit SimHash of the character runs, as a signed number."""
+    h = gram_hashes(text)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).view(np.int64)[0])
 
 
@@ -148,7 +157,7 @@ def has_placeholder(text: str) -> bool:
     return bool(_HINT.search(text)) and bool(PLACEHOLDER.search(_QUOTED.sub(" ", text)))
 
 
-_UNITS = "url string, place string, chars int, placeholder boolean, trusted string, wording string, sim long, id long"
+_UNITS = "url string, place string, chars int, placeholder boolean, trusted string, wording string, id long"
 
 
 def page_units(cache: DataFrame) -> DataFrame:
@@ -160,8 +169,8 @@ def page_units(cache: DataFrame) -> DataFrame:
     pages = spread(latest_pages(cache)).join(body, "url", "left").select("url", "html_blob", "body")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["url", "place", "chars", "placeholder", "trusted", "wording", "sim", "id"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        names = ["url", "place", "chars", "placeholder", "trusted", "wording", "id"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
             for url, blob, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -175,8 +184,8 @@ def page_units(cache: DataFrame) -> DataFrame:
                 units += [("heading" if x.tag[0] == "h" else "text", x.text) for x in lines if x.no in chosen and x.no and x.text]
                 for place, x in units:
                     w = unit_wording(x)
-                    out.append((url, place, len(x), has_placeholder(x), trusted_label(x), w, simhash(w), xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
+                    out.append((url, place, len(x), has_placeholder(x), trusted_label(x), w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return pages.mapInArrow(cut, _UNITS)
@@ -204,51 +213,82 @@ def learn_filler(units: DataFrame) -> DataFrame:
     return units.withColumn("trusted", F.when(is_filler, "filler").otherwise(F.col("trusted")))
 
 
-def _tables() -> Column:
-    width = 64 // TABLES
-    return F.explode(F.array(*[
-        F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-        for i in range(TABLES)
-    ])).alias("key")
+def rare_runs(text: str, counts: np.ndarray) -> tuple[int, list[int]]:
+    """Number of distinct character runs, and the hashes of the rarest ones.
+
+    Of n runs the n - ceil(n * SIMILARITY) + 1 that come first by count are kept. Two sets that are similar
+    enough share one of the kept ones whatever the counts are, as both are cut in the same order.
+    """
+    h = np.unique(gram_hashes(text))
+    n = len(h)
+    kept = n - int(np.ceil(n * SIMILARITY - 1e-9)) + 1
+    order = np.lexsort((h, counts[h % np.uint64(len(counts))]))
+    return n, h[order[:kept]].view(np.int64).tolist()
+
+
+def run_counts(wordings: DataFrame) -> np.ndarray:
+    """How often runs fall into each of ``SLOTS`` slots, over a share of the wordings."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, gram_hashes(x) % np.uint64(SLOTS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+    got = np.zeros(SLOTS, np.int64)
+    sample = wordings.where(F.pmod("id", F.lit(COUNTED)) == 0).select("wording")
+    for r in sample.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        got[r.slot] = r.n
+    return got
+
+
+def _with_runs(wordings: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``(id, wording, size, runs)`` with the ``rare_runs`` of each wording."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, runs = zip(*[rare_runs(x, counts) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(runs, pa.list_(pa.int64()))], ["id", "wording", "size", "runs"])
+
+    return wordings.select("id", "wording").mapInArrow(cut, "id long, wording string, size int, runs array<long>")
 
 
 def propagate(units: DataFrame) -> DataFrame:
-    """``(id, label)`` of every wording in a component with a trusted one. ``units`` is read once a level.
+    """``(id, label)`` of every wording in a component with a trusted one.
 
-    Two wordings are linked if their SimHashes differ in at most 3 bits (so one of 4 tables of 16 bits
-    has them together) and their sets of character runs have a Jaccard similarity of at least 0.8. If a
-    component holds several labels, the greatest (``message``) is given.
+    Two wordings are linked if their sets of character runs have a Jaccard similarity of at least 0.8. No link
+    is lost: wordings are compared wherever they share one of their ``rare_runs`` and their sizes allow it.
+    If a component holds several labels, the greatest (``message``) is given.
     """
-    trusted = units.where("trusted is not null").groupBy("id").agg(
-        F.max("trusted").alias("label"), F.first("wording").alias("wording"), F.first("sim").alias("sim")
-    )
-    frontier = cut_lineage(trusted)
+    wordings = cut_lineage(units.groupBy("id").agg(F.first("wording").alias("wording"), F.max("trusted").alias("label")))
+    keyed = cut_lineage(_with_runs(wordings, run_counts(wordings)))
+    frontier = cut_lineage(wordings.where("label is not null").select("id", "label").join(keyed, "id"))
     known = frontier.select("id", "label")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = grams(a), grams(b)
                 both = len(x & y)
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
             got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([got.column(i) for i in range(4)], ["id", "label", "sim", "wording"])
+            yield pa.RecordBatch.from_arrays([got.column(i) for i in range(2)], ["id", "label"])
 
     while True:
-        near = frontier.select("label", F.col("wording").alias("of"), F.col("sim").alias("fsim"), _tables()).select("label", "of", "fsim", "key")
-        near = broadcast_if_small(near, 50_000)
+        bounds = frontier.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
+        if bounds.least is None:
+            return known
+        near = frontier.select(F.col("id").alias("of"), "label", F.col("wording").alias("like"), F.col("size").alias("fsize"), F.explode("runs").alias("run"))
         found = (
-            units.select("id", "wording", "sim", _tables())
-            .join(near, "key").where(F.bit_count(F.col("sim").bitwiseXOR(F.col("fsim"))) <= HAMMING)
-            .join(broadcast_if_small(known.select("id")), "id", "left_anti")
-            .select("id", "label", "sim", "wording", "of").dropDuplicates(["id", "of"])
-            .mapInArrow(verify, "id long, label string, sim long, wording string")
-            .groupBy("id").agg(F.max("label").alias("label"), F.first("wording").alias("wording"), F.first("sim").alias("sim"))
+            keyed.where(F.col("size").between(int(bounds.least * SIMILARITY), int(bounds.most / SIMILARITY) + 1))
+            .join(broadcast_if_small(known.select("id")), "id", "left_anti").select("id", "wording", "size", F.explode("runs").alias("run"))
+            .join(broadcast_if_small(near, 50_000), "run")
+            .where((F.col("size") >= F.col("fsize") * SIMILARITY - 1e-6) & (F.col("fsize") >= F.col("size") * SIMILARITY - 1e-6))
+            .select("id", "label", "wording", "like", "of").dropDuplicates(["id", "of"]).select("id", "label", "wording", "like")
+            .mapInArrow(verify, "id long, label string").groupBy("id").agg(F.max("label").alias("label"))
         )
-        frontier = cut_lineage(found)
-        if not frontier.limit(1).count():
-            return known
+        frontier = cut_lineage(cut_lineage(found).join(keyed, "id"))
         known = known.unionByName(frontier.select("id", "label"))
 
 

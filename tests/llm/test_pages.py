@@ -9,7 +9,7 @@ import numpy as np
 from auditloom.llm.html import page_html, visible_words
 from auditloom.llm.mainbody import body_spans, main_blocks, main_span, page_lines
 from auditloom.llm.neardup import Scheme, allocate, page_classes, page_pairs, word_runs
-from auditloom.llm.residue import has_placeholder, residue_pages, simhash, trusted_label, unit_wording
+from auditloom.llm.residue import grams, has_placeholder, propagate, residue_pages, simhash, trusted_label, unit_wording
 
 T = dt.datetime(2025, 1, 1)
 KIND = "url string, html_blob binary, analysed_at timestamp, sid string, host string, reason string"
@@ -195,3 +195,23 @@ def test_residue_pages(spark):
     got = {r.url[-1] for r in residue_pages(cache(spark, pages + more)).collect() if r.url.startswith("https://host1") and r.url[-1].isalpha()}
     assert got == set(cases)
     assert residue_pages(cache(spark, more).limit(0)).count() == 0
+
+
+def test_links_of_reworded_messages_lose_nothing(spark):
+    """Reworded variants that no trusted wording matches, against a brute-force walk at similarity 0.8."""
+    rng = random.Random(8)
+    texts = ["Sorry, the page you asked for does not exist or has been moved to some other place by its owner.", "We are sorry but our servers met an unexpected condition while they were working on your request today."]
+    units = {unit_wording(x): "message" for x in texts}
+    for _ in range(300):
+        words = rng.choice(list(units)).split()
+        words[rng.randrange(len(words))] = "".join(rng.choices("abcdefgh", k=rng.choice([2, 4, 7])))
+        units.setdefault(" ".join(words), None)
+    known, ring = dict((w, x) for w, x in units.items() if x), [w for w, x in units.items() if x]
+    alike = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+    while ring:
+        ring = [w for w in units if w not in known and any(alike(w, x) for x in ring)]
+        known |= dict.fromkeys(ring, "message")
+    rows = list(enumerate(units))
+    got = {r.id for r in propagate(spark.createDataFrame([(i, w, units[w]) for i, w in rows], "id long, wording string, trusted string")).collect()}
+    assert got == {i for i, w in rows if w in known} and sum(trusted_label(w) is None for w in known) > 50
+    assert propagate(spark.createDataFrame([], "id long, wording string, trusted string")).count() == 0
