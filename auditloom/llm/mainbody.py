@@ -42,6 +42,7 @@ KEPT_WORDS = 3
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*>|<[!?][^<>]*>")
 _BLOCK = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"])
 _BORDER = frozenset("div section main article aside nav header footer form body table dialog".split())
+_CELL = frozenset("td th tr dt dd blockquote caption figcaption".split())
 _CRUMB = re.compile(r"\s[»›>/|→·](?:\s|$)")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"\b[^\W\d_a-z]\w*")
@@ -66,20 +67,21 @@ class Line:
 def page_lines(text: str, code: bool = True) -> tuple[str, list[Line]]:
     """Title and lines of a page. ``h1``-``h6``, ``p`` and ``li`` are numbered from 1 in order of opening.
 
-    With ``code`` false the text in ``code``, ``pre``, ``samp`` and ``kbd`` is left out.
+    With ``code`` false the text in ``code``, ``pre``, ``samp`` and ``kbd`` is left out; the lines are the same
+    ones, some perhaps without text. Cells, terms and quotations are lines of their own.
     """
     text = HIDDEN.sub(" ", text)
     title: list[str] = []
     lines: list[Line] = []
     no = at = link = quoted = 0
-    tag, buf, linked, in_title = "", [], 0, False
+    tag, buf, linked, in_title, left_out = "", [], 0, False, False
 
     def flush() -> None:
-        nonlocal buf, linked
+        nonlocal buf, linked, left_out
         words = " ".join(entities.unescape("".join(buf)).split())
-        if words or tag in _BLOCK:
+        if words or left_out or tag in _BLOCK:
             lines.append(Line(no if tag in _BLOCK else 0, tag or "div", words, linked))
-        buf, linked = [], 0
+        buf, linked, left_out = [], 0, False
 
     for m in _TOKEN.finditer(text):
         part = text[at : m.start()]
@@ -91,6 +93,8 @@ def page_lines(text: str, code: bool = True) -> tuple[str, list[Line]]:
                 buf.append(part)
                 if link:
                     linked += len(" ".join(entities.unescape(part).split()))
+            else:
+                left_out = left_out or bool(entities.unescape(part).split())
         name = (m[2] or "").lower()
         closing = m[1] == "/"
         if name == "title":
@@ -107,6 +111,8 @@ def page_lines(text: str, code: bool = True) -> tuple[str, list[Line]]:
         elif name in _BORDER:
             flush()
             lines.append(Line(0, "", "", 0))
+        elif name in _CELL:
+            flush()
         elif name == "br":
             buf.append(" ")
     part = text[at:]
@@ -244,6 +250,14 @@ def main_blocks(cache: DataFrame) -> DataFrame:
     without text count but are never part of a body. Texts of any length are read whole. Further columns
     are ignored; an empty table gives no rows.
     """
+    return main_lines(cache).where("block_no > 0").select("url", "block_no")
+
+
+def main_lines(cache: DataFrame) -> DataFrame:
+    """``(url, at, block_no)`` of all lines with text in each page's main body, by their position in ``page_lines``.
+
+    ``block_no`` is 0 for text that stands in no numbered block.
+    """
     pages = cut_lineage(_lines_of_pages(cache))
     size = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SITE_PAGES)
     frames = (
@@ -268,6 +282,6 @@ def main_blocks(cache: DataFrame) -> DataFrame:
     wordings = cut_lineage(shown.join(broadcast_if_small(common), "wording").where("not exact or most or out").select("wording", "host"))
     second = _spans(pages, frames, wordings)
     blocks = second.select("url", "host", "spans", F.posexplode("lines").alias("at", "line")).where(
-        _inside() & F.expr("line.no > 0 and line.wording <> 0")
-    ).select("url", "host", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
-    return blocks.join(broadcast_if_small(wordings), ["wording", "host"], "left_anti").select("url", "block_no")
+        _inside() & F.expr("line.wording <> 0")
+    ).select("url", "host", "at", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
+    return blocks.join(broadcast_if_small(wordings), ["wording", "host"], "left_anti").select("url", "at", "block_no")

@@ -1,6 +1,6 @@
 """Template residue and error-page text in place of content.
 
-The title and main-body blocks of each page are text units. Unfilled placeholders are found by their
+The title and all lines of the main body of each page, numbered blocks or not, are text units. Unfilled placeholders are found by their
 form. Units that are filler, an error, access or maintenance message or a demand for scripts are first
 labelled where a trusted wording matches; then near-duplicates of labelled units (numbers aside) are found
 by the rarest character runs of each wording, which loses none of the stated similarity, verified, and get
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.html import latest_pages, page_html
-from auditloom.llm.mainbody import main_blocks, page_lines
+from auditloom.llm.mainbody import main_lines, page_lines
 from auditloom.llm.neardup import mix
 from auditloom.runtime import broadcast_if_small, cut_lineage, spread
 
@@ -32,6 +32,8 @@ SIMILARITY, GRAM = 0.8, 5
 SLOTS, COUNTED = 1 << 16, 4
 #: Characters of other running text in a main body from which a message no longer stands in for content.
 CONTENT_CHARS = 200
+#: Characters from which a unit is tested by sentence, and the share of it that must be message sentences.
+LONG_CHARS, MESSAGE_SHARE = 400, 0.3
 
 # Forms of placeholders that templates, mailings and scripts leave behind.
 _NAME = r"[A-Za-z_][\w.\- ]{0,60}"
@@ -90,7 +92,7 @@ _MESSAGES = [
     r"\b(?:work|maintenance) on our servers?\b|\bdown for maintenance\b|\bundergoing maintenance\b|\bbe back (?:in \d+|soon|shortly)\b",
     r"\btoo many (?:requests|connections)\b",
     r"\bconfirm (?:that )?you are (?:a )?human\b|\bnot a robot\b",
-    r"^(?:fatal|warning|notice|error|uncaught exception)\s*:\s.*\b(?:on line \d+|stack trace|in /)",
+    r"^(?:php )?(?:(?:fatal|parse) error|fatal|warning|notice|error|uncaught exception)\s*:\s.*\b(?:on line \d+|stack trace|in /)",
     r"\bcould not connect to (?:the )?database\b",
     r"\bseite\b.{0,30}\b(?:existiert\b.{0,20}\bnicht|nicht gefunden|wurde nicht gefunden)",
     r"\bpage demandée\b|\bpage\b.{0,20}\b(?:introuvable|n’existe pas)",
@@ -110,6 +112,8 @@ _MESSAGE_HINT = re.compile(
 )
 
 _QUOTED = re.compile(r"“[^”]{0,200}”|„[^“”]{0,200}[“”]|«[^»]{0,200}»|\"[^\"]{0,200}\"|‘[^’]{0,80}’|`[^`]{0,200}`")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\s+(?=#\d+\s)")
+_TRACE = re.compile(r"^#\d+\s+\S|^at [\w.$<>]+\(|\bon line \d+|^File \"[^\"]+\", line \d+")
 _PART = re.compile(r"\s+[|–—»·-]\s+")
 
 
@@ -141,15 +145,23 @@ def simhash(text: str) -> int:
 
 
 def trusted_label(text: str) -> str | None:
-    """``filler``, ``message`` or None; quoted words and long running text are no message."""
+    """``filler``, ``message`` or None; quoted words are no message.
+
+    A long unit is one if its first sentence is and message sentences (or calls of a stack trace) hold at
+    least ``MESSAGE_SHARE`` of it.
+    """
     bare = _QUOTED.sub(" ", text)
     low = bare.lower()
     words = low.split()
     if FILLER.search(bare) or (len(words) >= 5 and len(set(words)) <= 0.2 * len(words) + 1 and Counter(w.strip(".,;:!?") for w in words).most_common(1)[0][1] >= 0.8 * len(words)):
         return "filler"
-    if len(bare) <= 400 and _MESSAGE_HINT.search(low) and MESSAGE.search(bare):
+    if not _MESSAGE_HINT.search(low) or not MESSAGE.search(bare):
+        return None
+    if len(bare) <= LONG_CHARS:
         return "message"
-    return None
+    parts = _SENTENCE.split(bare)
+    told = [len(x) for x in parts if MESSAGE.search(x) or _TRACE.search(x)]
+    return "message" if MESSAGE.search(parts[0]) and sum(told) >= MESSAGE_SHARE * len(bare) else None
 
 
 def has_placeholder(text: str) -> bool:
@@ -161,11 +173,11 @@ _UNITS = "url string, place string, chars int, placeholder boolean, trusted stri
 
 
 def page_units(cache: DataFrame) -> DataFrame:
-    """One row for each text unit: title, its parts between separators, and blocks of the main body.
+    """One row for each text unit: title, its parts between separators, and lines of the main body.
 
     Text in ``code``, ``pre``, ``samp`` and ``kbd`` is quoted and left out.
     """
-    body = main_blocks(cache).groupBy("url").agg(F.collect_list("block_no").alias("body"))
+    body = main_lines(cache).groupBy("url").agg(F.collect_list("at").alias("body"))
     pages = spread(latest_pages(cache)).join(body, "url", "left").select("url", "html_blob", "body")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +193,7 @@ def page_units(cache: DataFrame) -> DataFrame:
                 chosen = set(body or ())
                 parts = [x for x in _PART.split(title) if x]
                 units = [("title", x) for x in dict.fromkeys([title, *parts]) if x]
-                units += [("heading" if x.tag[0] == "h" else "text", x.text) for x in lines if x.no in chosen and x.no and x.text]
+                units += [("heading" if x.tag[0] == "h" and x.no else "text", x.text) for at, x in enumerate(lines) if at in chosen and x.text]
                 for place, x in units:
                     w = unit_wording(x)
                     out.append((url, place, len(x), has_placeholder(x), trusted_label(x), w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)))

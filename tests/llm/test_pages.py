@@ -215,3 +215,23 @@ def test_links_of_reworded_messages_lose_nothing(spark):
     got = {r.id for r in propagate(spark.createDataFrame([(i, w, units[w]) for i, w in rows], "id long, wording string, trusted string")).collect()}
     assert got == {i for i, w in rows if w in known} and sum(trusted_label(w) is None for w in known) > 50
     assert propagate(spark.createDataFrame([], "id long, wording string, trusted string")).count() == 0
+
+
+def test_residue_outside_blocks_and_in_long_texts(spark):
+    long = "Plain words about lamps and rivers in the garden. " * 12
+    trace = "Fatal error: Uncaught Exception: no row in /srv/app/a.php on line 7 stack trace: " + " ".join(f"#{i} /srv/app/lib/part{i}.php(12): Thing->call()" for i in range(12))
+    work = "Our site is down for maintenance until six. " + "We are working on our servers and the shop is undergoing maintenance. " * 5 + "Thank you for your patience, we will be back soon. " * 3
+    cases = {
+        "https://a.example/1": "<body>Fatal error: Call to a member function on null in /srv/a.php on line 9</body>",
+        "https://b.example/1": "<div>Please enable JavaScript to run this app.</div>",
+        "https://c.example/1": f"<p>{long}</p><table><tr><td>Name</td><td>{{{{ name }}}}</td></tr></table>",
+        "https://d.example/1": f"<p>{trace}</p>", "https://e.example/1": f"<h1>Soon</h1><p>{work}</p>",
+    }
+    clean = {
+        "https://f.example/1": f"<div>{long}</div><p>Please enable JavaScript to run this app.</p>", "https://g.example/1": f"<p>{long}</p><div><code>{{{{ x }}}}</code> is a form</div>",
+        "https://h.example/1": f"<p>A maintenance page may say that the site is down for maintenance. {long}</p>",
+    }
+    got = {r.url: r.reason for r in residue_pages(cache(spark, [*cases.items(), *clean.items()])).collect()}
+    assert got == dict.fromkeys(cases, "message") | {"https://c.example/1": "placeholder"}
+    for html in (*cases.values(), *clean.values(), "<div><code>a</code></div><pre>x</pre><td>b"):
+        assert len(page_lines(html)[1]) == len(page_lines(html, code=False)[1])
