@@ -17,7 +17,7 @@ from auditloom.functions.urls import TRACKING_PARAMETERS, TRACKING_PREFIX
 from auditloom.runtime import spread
 
 HIDDEN = frozenset(["script", "style", "noscript"])
-TEXT_KEPT, HEADING_KEPT, DATA_KEPT = 20_000, 100, 500
+HEADING_KEPT, DATA_KEPT = 100, 500
 _SKIPPED_LINKS = ("mailto:", "tel:", "javascript:", "#")
 _SMALL = re.compile(r"font-size:\s*(?:[0-9]|1[01])px")
 _ROOTS = re.compile(r"^(root|app|__next)$")
@@ -206,7 +206,7 @@ def analyse(url: str, final_url: str, source: str, selectors: list[list] | None
     # Text
     text = root.text(" ", HIDDEN)
     words = re.findall(r"[a-z']+", text.lower())
-    facts["word_count"], facts["char_count"], facts["text"] = len(words), len(text), text[:TEXT_KEPT]
+    facts["word_count"], facts["char_count"], facts["text"] = len(words), len(text), text
     if len(words) < 150:
         add("warning", "THIN_CONTENT", f"Thin content: only {len(words)} words")
     # Mobile

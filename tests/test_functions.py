@@ -104,3 +104,8 @@ def test_crc_of_engine_and_python(spark):
     text = "".join(random.Random(1).choices("abc é", k=50))
     assert one(spark, text, lambda c: F.crc32(F.encode(c, "utf-8"))) == zlib.crc32(text.encode())
     assert np.uint64(1) == 1
+
+
+def test_text_of_long_pages_is_whole():
+    f = analyse("https://e.com/a", "https://e.com/a", f"<p>{'word ' * 9000}</p><p>the last phrase</p>")
+    assert f["text"].endswith("the last phrase") and len(f["text"]) == f["char_count"]
