@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as compressed columns below the shared checkpoint folder, and read from there.
+
+    Like ``cut_lineage``, for wide rows of which later passes read a few columns each.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/auditloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._auditloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more."""
+    path = getattr(df, "_auditloom_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def held_keys(keys: DataFrame, rows: int = BROADCAST_ROWS) -> np.ndarray | None:
+    """The sorted values of a BIGINT column if it has at most ``rows``, counted first; else None."""
+    if not small_enough(keys, rows):
+        return None
+    return np.sort(keys.toArrow().column(0).to_numpy())
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows, found without counting beyond them."""
     return df.limit(rows + 1).count() <= rows
@@ -62,13 +93,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` over enough tasks for Python work, if its plan makes fewer.
+    """``df`` over enough tasks for Python work, if its scan makes fewer.
 
-    A scan is asked for its number of tasks; after an exchange that number is only known once the exchange
-    ran, so such a plan is spread without asking, over as many tasks as the session shuffles into.
+    After an exchange the engine itself makes at least as many tasks as there are cores wherever the rows
+    are worth it, so such a plan stays as it is: rows are never moved twice.
     """
     spark = df.sparkSession
     least = least or spark.sparkContext.defaultParallelism
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df.repartition(max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        return df
     return df.repartition(least) if max(1, df.rdd.getNumPartitions()) < least else df
