@@ -6,28 +6,31 @@ sliding window of lines rise above zero at a surge point and fall to zero at a d
 with the most text between surge and dive is the main body, with all further ones that are large or dense;
 container borders in a row count as one line, so nested sections do not end a stretch.
 
-What a site repeats on most of its pages (digits aside) is frame. A second pass learns, over all sites,
+What a site repeats on most of its pages (digits aside) is frame; pages of one title count as one, so that
+copies of one page on a small site don't turn its body into frame. A second pass learns, over all sites,
 the wording of lines that mostly stand outside main bodies (promotions, share lines), runs the
 distribution again without them and drops them where a body encloses them. Names are masked only in lines
 that keep several other words; a shorter line is known by its exact tag and text (digits aside), and only
 on sites that show it outside, or on all if most do.
+
+Pages are parsed once. Their lines are stored as flat arrays, and both passes work on whole batches of them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.html import HIDDEN, latest_pages, page_html
-from auditloom.runtime import broadcast_if_small, cut_lineage, spread
+from auditloom.runtime import broadcast_if_small, cut_lineage, held_keys, spread, stored
 
 #: Lines in a window; share of a site's pages (of at least SITE_PAGES) from which a line is frame.
 WINDOW, SITE_SHARE, SITE_PAGES = 5, 0.5, 3
@@ -38,136 +41,149 @@ FRAME_SITES, FRAME_SHARE = 2, 0.15
 LARGE_SHARE, DENSE_CHARS, DENSE_LINE = 0.25, 200, 60
 #: Words besides capitalised ones that a line must keep for its wording to hold without its names.
 KEPT_WORDS = 3
+#: Frame lines and wordings (8 bytes each) that are broadcast at most; beyond, they meet the pages by a join.
+KEYS_HELD = 500_000
 
-_TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*>|<[!?][^<>]*>")
 _BLOCK = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"])
 _BORDER = frozenset("div section main article aside nav header footer form body table dialog".split())
 _CELL = frozenset("td th tr dt dd blockquote caption figcaption".split())
+_QUOTED = frozenset(["code", "pre", "samp", "kbd"])
+_USED = sorted(_BLOCK | _BORDER | _CELL | _QUOTED | {"a", "button", "title", "br"})
+_TOKEN = re.compile(r"<(/?)(?:(" + "|".join(_USED) + r")\b|[a-zA-Z!?])[^<>]*>", re.I)
 _CRUMB = re.compile(r"\s[»›>/|→·](?:\s|$)")
 _DIGITS = re.compile(r"\d+")
-_NAME = re.compile(r"\b[^\W\d_a-z]\w*")
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Line:
-    """A line of a page: block number (0: none), tag, text and the length of its text in links."""
+    """A line of a page: block number (0: none), tag, text, the length of its text in links, and its text outside quoted code."""
 
-    __slots__ = ("no", "tag", "text", "linked")
+    __slots__ = ("no", "tag", "text", "linked", "bare")
 
-    def __init__(self, no: int, tag: str, text: str, linked: int):
-        self.no, self.tag, self.text, self.linked = no, tag, text, linked
+    def __init__(self, no: int, tag: str, text: str, linked: int, bare: str):
+        self.no, self.tag, self.text, self.linked, self.bare = no, tag, text, linked, bare
 
     @property
     def weight(self) -> int:
-        if len(_CRUMB.findall(self.text)) >= 2 and len(self.text) < 200 and self.tag in ("p", "div", "li"):
+        if len(self.text) < 200 and self.tag in ("p", "div", "li") and len(_CRUMB.findall(self.text)) >= 2:
             return 0  # a trail of sections
         return max(0, len(self.text) - self.linked)
 
 
-def page_lines(text: str, code: bool = True) -> tuple[str, list[Line]]:
+def _plain(parts: list[str]) -> str:
+    text = "".join(parts)
+    return " ".join((entities.unescape(text) if "&" in text else text).split())
+
+
+def page_lines(text: str) -> tuple[str, list[Line]]:
     """Title and lines of a page. ``h1``-``h6``, ``p`` and ``li`` are numbered from 1 in order of opening.
 
-    With ``code`` false the text in ``code``, ``pre``, ``samp`` and ``kbd`` is left out; the lines are the same
-    ones, some perhaps without text. Cells, terms and quotations are lines of their own.
+    Cells, terms and quotations are lines of their own. Text in ``code``, ``pre``, ``samp`` and ``kbd``
+    belongs to a line's text but not to its ``bare`` text.
     """
-    text = HIDDEN.sub(" ", text)
+    if "<!--" in text or "<s" in text or "<S" in text or "<n" in text or "<N" in text:
+        text = HIDDEN.sub(" ", text)
     title: list[str] = []
     lines: list[Line] = []
-    no = at = link = quoted = 0
-    tag, buf, linked, in_title, left_out = "", [], 0, False, False
+    no = at = linked = 0
+    tag, buf, bare, in_title, in_link, quoted = "", [], None, False, False, False
 
     def flush() -> None:
-        nonlocal buf, linked, left_out
-        words = " ".join(entities.unescape("".join(buf)).split())
-        if words or left_out or tag in _BLOCK:
-            lines.append(Line(no if tag in _BLOCK else 0, tag or "div", words, linked))
-        buf, linked, left_out = [], 0, False
+        nonlocal buf, bare, linked
+        if buf or tag in _BLOCK:
+            words = _plain(buf)
+            if words or tag in _BLOCK:
+                lines.append(Line(no if tag in _BLOCK else 0, tag or "div", words, linked, words if bare is None else _plain(bare)))
+            buf, linked = [], 0
+        bare = None
 
     for m in _TOKEN.finditer(text):
-        part = text[at : m.start()]
-        at = m.end()
-        if part:
+        start = m.start()
+        if start > at:
+            part = text[at:start]
             if in_title:
                 title.append(part)
-            elif not quoted or code:
-                buf.append(part)
-                if link:
-                    linked += len(" ".join(entities.unescape(part).split()))
             else:
-                left_out = left_out or bool(entities.unescape(part).split())
-        name = (m[2] or "").lower()
+                buf.append(part)
+                if in_link:
+                    linked += len(_plain([part]))
+                if bare is not None and not quoted:
+                    bare.append(part)
+        at = m.end()
+        name = m[2]
+        if name is None:
+            continue
+        name = name.lower()
         closing = m[1] == "/"
-        if name == "title":
-            in_title = not closing
-        elif name == "a" or name == "button":
-            link = 0 if closing else 1
-        elif name in ("code", "pre", "samp", "kbd"):
-            quoted = 0 if closing else 1
-            buf.append(" ")
-        elif name in _BLOCK:
+        if name in _BLOCK:
             flush()
             tag = "" if closing else name
             no += not closing
+        elif name == "a" or name == "button":
+            in_link = not closing
         elif name in _BORDER:
             flush()
-            lines.append(Line(0, "", "", 0))
+            lines.append(Line(0, "", "", 0, ""))
+        elif name in _QUOTED:
+            if bare is None:
+                bare = list(buf)
+            quoted = not closing
+            buf.append(" ")
+            bare.append(" ")
         elif name in _CELL:
             flush()
-        elif name == "br":
+        elif name == "title":
+            in_title = not closing
+        else:
             buf.append(" ")
-    part = text[at:]
-    if part and not in_title:
-        buf.append(part)
+    if at < len(text) and not in_title:
+        buf.append(text[at:])
+        if bare is not None and not quoted:
+            bare.append(text[at:])
     flush()
-    return " ".join(entities.unescape("".join(title)).split()), lines
-
-
-def main_span(weights: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
-    """First and last + 1 line of the stretch with the most text between a surge and a dive; (0, 0) if none."""
-    if not weights.any():
-        return 0, 0
-    sums = np.convolve(weights, np.ones(window, np.int64), "full")[: len(weights)]  # of a line and those before
-    best, begin, span = 0, None, (0, 0)
-    for i, (w, s) in enumerate(zip(weights, sums, strict=True)):
-        if begin is None and w > 0:
-            begin, mass, last = i, 0, i  # surge
-        if begin is not None:
-            if w > 0:
-                mass += w
-                last = i
-            if s == 0 or i == len(weights) - 1:  # dive
-                if mass > best:
-                    best, span = mass, (begin, last + 1)
-                if s == 0:
-                    begin = None
-    return span
-
-
-def body_spans(weights: np.ndarray, border: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
-    """First and last + 1 line of every stretch that belongs to the main body, in order.
-
-    ``border`` marks bare container borders. Kept are the stretch with the most text and those that hold a
-    quarter of its text, or that are dense.
+    return _plain(title), lines
+
+
+def body_spans(weights: np.ndarray, gaps: np.ndarray, pages: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which lines lie in a stretch of their page's main body.
+
+    All lines of many pages at once: ``weights``, whether container borders stand before a line (``gaps``), and the
+    number of its page, in order. A stretch runs from a surge (a line with text) to the dive, where the
+    window holds none. Kept are each page's stretch with the most text and those that hold a quarter of
+    its text, or that are dense.
     """
-    at = [i for i in range(len(weights)) if not (border[i] and i and border[i - 1])]
-    found, begin = [], None
-    for j, i in enumerate(at):
-        w = int(weights[i])
-        if w > 0:
-            if begin is None:
-                begin, mass, full = j, 0, 0  # surge
-            mass, full, last = mass + w, full + 1, j
-        if begin is not None and (j - last >= window or j == len(at) - 1):  # dive
-            found.append((mass, full, at[begin], at[last] + 1))
-            begin = None
-    most = max((x[0] for x in found), default=0)
-    return [(b, e) for mass, full, b, e in found if mass >= LARGE_SHARE * most or (mass >= DENSE_CHARS and mass >= DENSE_LINE * full)]
+    inside = np.zeros(len(weights), bool)
+    full = np.flatnonzero(weights > 0)
+    if not len(full):
+        return inside
+    place = np.cumsum(1 + gaps.astype(np.int64))[full] + pages[full].astype(np.int64) * (window + 2)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(place) > window) | (np.diff(pages[full]) != 0)]))
+    last = np.concatenate([first[1:], [len(full)]]) - 1
+    mass, count, page = np.add.reduceat(weights[full], first), last - first + 1, pages[full][first]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(page) != 0]))
+    most = np.repeat(np.maximum.reduceat(mass, starts), np.diff(np.concatenate([starts, [len(page)]])))
+    keep = (mass >= LARGE_SHARE * most) | ((mass >= DENSE_CHARS) & (mass >= DENSE_LINE * count))
+    edge = np.zeros(len(weights) + 1, np.int64)
+    np.add.at(edge, full[first[keep]], 1)
+    np.add.at(edge, full[last[keep]] + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _masked(text: str) -> tuple[str, int]:
+    """``text`` with words that hold a capital letter as X, and the number of other words with letters."""
+    out, kept = [], 0
+    for word in text.split():
+        if word.islower() or (word.isalpha() and word.lower() == word.upper()):  # also scripts without capitals
+            kept += 1
+        elif word.lower() != word:
+            word = "X"
+        out.append(word)
+    return " ".join(out), kept
+
+
 def wording(line: Line) -> tuple[int, bool]:
     """A hash of a line's wording, and whether it is exact.
 
@@ -176,112 +192,194 @@ def wording(line: Line) -> tuple[int, bool]:
     """
     linked = "a" if line.linked * 2 > len(line.text) else ""
     text = _DIGITS.sub("0", line.text)
-    masked = _NAME.sub("X", text)
-    if sum(w != "X" for w in _WORD.findall(masked)) < KEPT_WORDS:
+    masked, kept = _masked(text)
+    if kept < KEPT_WORDS:
         return _key("exact", line.tag, linked, text), True
-    kind = "h" if line.tag[:1] == "h" and line.tag != "header" else line.tag
-    return _key(kind, linked, masked), False
+    return _key("h" if line.tag[:1] == "h" and line.tag != "header" else line.tag, linked, masked), False
+
+
+def _host(url: str) -> str:
+    try:
+        return (urlsplit(url.strip()).hostname or "").rstrip(".")
+    except ValueError:
+        return ""
+
 
+def lists(rows: list, kind: pa.DataType) -> pa.ListArray:
+    """A list column from flat rows of Python lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([y for x in rows for y in x], kind))
 
-_LINES = "array<struct<no:int,weight:int,site:bigint,wording:bigint,exact:boolean,border:boolean>>"
-_SPANS = "array<struct<begin:int,end:int>>"
 
+_COLUMNS = [("no", "int", pa.int32()), ("weight", "int", pa.int32()), ("gap", "boolean", pa.bool_()), ("site", "long", pa.int64()), ("wording", "long", pa.int64()), ("exact", "boolean", pa.bool_())]
+#: A function of a page's title and lines that gives one value a line for each of its own columns.
+Extra = Callable[[str, list[Line]], list[list]]
+
+
+def _lines_of_pages(cache: DataFrame, more: list[tuple[str, str, pa.DataType]], extra: Extra | None) -> DataFrame:
+    """``(url, hk, title, ...)`` with the lines of each page as arrays: those of ``_COLUMNS`` and the extra ones.
+
+    Bare borders are kept as ``gap`` of the next line. ``site`` and ``wording`` are hashes, 0 for a line
+    without text; ``site`` belongs to one host, whose hash is ``hk``.
+    """
+    kept = [*_COLUMNS, *more]
 
-def _lines_of_pages(cache: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("no", pa.int32()), ("weight", pa.int32()), ("site", pa.int64()), ("wording", pa.int64()), ("exact", pa.bool_()), ("border", pa.bool_())]))
+        known: dict[tuple, tuple] = {}
         for batch in batches:
-            urls, hosts, rows = [], [], []
+            urls, hosts, titles = [], [], []
+            rows: list[list] = [[] for _ in kept]
             for url, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = page_html(blob.as_py())
                 if text is None:
                     continue
+                title, lines = page_lines(text)
+                hk = _key(_host(url))
+                out: list[list] = [[] for _ in _COLUMNS]
+                no, weight, gap, site, words, exact = out
+                full: list[Line] = []
+                border = False
+                for x in lines:
+                    if not x.text and not x.no:
+                        border = True
+                        continue
+                    full.append(x)
+                    no.append(x.no)
+                    gap.append(border)
+                    border = False
+                    if not x.text:
+                        weight.append(0), site.append(0), words.append(0), exact.append(False)
+                        continue
+                    of = (x.tag, x.linked, x.text)
+                    got = known.get(of)
+                    if got is None:
+                        if len(known) > 50_000:
+                            known.clear()
+                        got = known[of] = (x.weight, _key(x.tag, _DIGITS.sub("0", x.text)), *wording(x))
+                    weight.append(got[0]), site.append(got[1] ^ hk), words.append(got[2]), exact.append(got[3])
                 urls.append(url)
-                try:
-                    hosts.append((urlsplit(url.strip()).hostname or "").rstrip("."))
-                except ValueError:
-                    hosts.append("")
-                rows.append([
-                    {"no": x.no, "weight": x.weight, "site": _key(x.tag, _DIGITS.sub("0", x.text)) if x.text else 0, "wording": w, "exact": exact, "border": not x.text and not x.no}
-                    for x in page_lines(text)[1]
-                    for w, exact in [wording(x) if x.text else (0, False)]
-                ])
-            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(rows, kind)], ["url", "host", "lines"])
-
-    return spread(latest_pages(cache)).mapInArrow(parse, f"url string, host string, lines {_LINES}")
-
-
-def _spans(pages: DataFrame, frames: DataFrame, wordings: DataFrame | None) -> DataFrame:
-    """``(url, host, lines, spans)``: the main spans of each page, frame lines counted as empty."""
-    framed = pages.join(broadcast_if_small(frames), "host", "left")
-    if wordings is not None:
-        hit = (
-            pages.select("url", "host", F.explode(F.array_distinct("lines.wording")).alias("wording"))
-            .join(broadcast_if_small(wordings), ["wording", "host"]).groupBy("url").agg(F.collect_set("wording").alias("known"))
-        )
-        framed = framed.join(hit, "url", "left")
-    else:
-        framed = framed.withColumn("known", F.lit(None).cast("array<bigint>"))
-    schema = f"url string, host string, lines {_LINES}, spans {_SPANS}"
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-
-    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for lines, frame, known in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lines", "frame", "known")], strict=True):
-                frame, known = set(frame or ()), set(known or ())
-                weights = np.array([0 if x["site"] in frame or x["wording"] in known else x["weight"] for x in lines], np.int64)
-                spans.append([{"begin": b, "end": e} for b, e in body_spans(weights, [x["border"] for x in lines])])
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("url", "host", "lines")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(spans, kind)], ["url", "host", "lines", "spans"])
+                hosts.append(hk)
+                titles.append(_key(_DIGITS.sub("0", title)))
+                for column, values in zip(rows, out + (extra(title, full) if extra else []), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(urls, pa.string()), pa.array(hosts, pa.int64()), pa.array(titles, pa.int64()), *[lists(r, t) for r, (_, _, t) in zip(rows, kept, strict=True)]],
+                ["url", "hk", "title", *[n for n, _, _ in kept]],
+            )
 
-    return framed.select("url", "host", "lines", "frame", "known").mapInArrow(span, schema)
+    schema = "url string, hk long, title long, " + ", ".join(f"{n} array<{t}>" for n, t, _ in kept)
+    return spread(latest_pages(cache)).mapInArrow(parse, schema)
 
 
-def _inside() -> Column:
-    return F.exists("spans", lambda s: (F.col("at") >= s["begin"]) & (F.col("at") < s["end"]))
+class Lines:
+    """The lines of a batch of pages, flat: ``page`` is the row of each line."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.urls = batch, batch.column("url")
+        self._lists = {n: batch.column(n) for n in batch.schema.names if pa.types.is_list(batch.column(n).type)}
+        self.sizes = np.diff(self._lists["weight"].offsets.to_numpy())
+        self.page = np.repeat(np.arange(batch.num_rows), self.sizes)
+        self.weight, self.wording, self.site = (self.flat(n) for n in ("weight", "wording", "site"))
+        self.hk = np.repeat(batch.column("hk").to_numpy(), self.sizes)
 
-def main_blocks(cache: DataFrame) -> DataFrame:
-    """``(url, block_no)`` of the blocks in each page's main body.
+    def flat(self, name: str) -> np.ndarray:
+        return self._lists[name].flatten().to_numpy(zero_copy_only=False)
 
-    A page is the latest row of its url; null and broken blobs hold none and give no rows, nor do pages
-    without text. Blocks are numbered over ``h1``-``h6``, ``p`` and ``li`` in order of opening; blocks
-    without text count but are never part of a body. Texts of any length are read whole. Further columns
-    are ignored; an empty table gives no rows.
+    def inside(self, frame: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Lines with text in the main body, given sorted keys of frame lines and wordings known as such."""
+        told = _among(self.wording, known) | _among(self.wording ^ self.hk, known)
+        weight = np.where(_among(self.site, frame) | told, 0, self.weight)
+        return body_spans(weight, self.flat("gap"), self.page) & (self.wording != 0) & ~told
+
+
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _over_lines(pages: DataFrame, columns: list[str], frames: DataFrame, known: DataFrame | None, give: Callable[[Lines, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``give`` of the lines of each batch of pages and which of them lie inside the main body.
+
+    ``frames`` and ``known`` hold keys of lines; a few are broadcast, many are joined to the pages that have them.
     """
-    return main_lines(cache).where("block_no > 0").select("url", "block_no")
+    none = np.empty(0, np.int64)
+    held = [held_keys(frames, KEYS_HELD), none if known is None else held_keys(known, KEYS_HELD)]
+    rows = pages.select("url", "hk", "weight", "gap", "site", "wording", *columns)
+    for name, keys, got, of in (("_f", frames, held[0], "site"), ("_k", known, held[1], "wording")):
+        if got is None:
+            either = F.col(of) if of == "site" else F.concat(of, F.transform(of, lambda w: w.bitwiseXOR(F.col("hk"))))
+            hit = rows.select("url", F.explode(F.array_distinct(either)).alias("k")).join(keys.toDF("k"), "k").groupBy("url").agg(F.collect_set("k").alias(name))
+            rows = rows.join(hit, "url", "left")
+    shared = pages.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(batch.column(n).flatten().to_numpy()) if got is None else got for n, got in zip(("_f", "_k"), shared.value, strict=True)]
+            lines = Lines(batch)
+            yield give(lines, lines.inside(*keys))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _outside_counts(lines: Lines, inside: np.ndarray) -> pa.RecordBatch:
+    """``(wording, hk, exact, within, shown)`` of a batch: how often a site shows a wording, and how often inside bodies."""
+    text = lines.wording != 0
+    pair = np.stack([lines.wording[text], lines.hk[text]], axis=1)
+    each, first, back = np.unique(pair, axis=0, return_index=True, return_inverse=True)
+    back = back.ravel()
+    exact, count = lines.flat("exact")[text], len(each)
+    return pa.RecordBatch.from_pydict({
+        "wording": pa.array(each[:, 0], pa.int64()), "hk": pa.array(each[:, 1], pa.int64()), "exact": pa.array(exact[first].astype(bool), pa.bool_()),
+        "within": pa.array(np.bincount(back, inside[text], count).astype(np.int64)), "shown": pa.array(np.bincount(back, minlength=count).astype(np.int64)),
+    })
 
 
-def main_lines(cache: DataFrame) -> DataFrame:
-    """``(url, at, block_no)`` of all lines with text in each page's main body, by their position in ``page_lines``.
+def body_stage(
+    cache: DataFrame, give: Callable[[Lines, np.ndarray], pa.RecordBatch], schema: str, columns: list[str], more: list[tuple[str, str, pa.DataType]] | None = None, extra: Extra | None = None
+) -> DataFrame:
+    """``give(lines, inside)`` over all pages, where ``inside`` tells the lines of each page's main body.
 
-    ``block_no`` is 0 for text that stands in no numbered block.
+    ``columns`` are the line columns that ``give`` reads; ``more`` and ``extra`` add own ones while pages are parsed.
     """
-    pages = cut_lineage(_lines_of_pages(cache))
-    size = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SITE_PAGES)
+    pages = stored(_lines_of_pages(cache, more or [], extra))
+    alike = pages.groupBy("hk", "title").agg(F.count("*").alias("n"))  # copies of a page share its title
+    size = alike.groupBy("hk").agg(F.sum("n").alias("pages"), F.count("*").cast("double").alias("titles")).where(F.col("pages") >= SITE_PAGES)
     frames = (
-        pages.select("host", F.explode(F.array_distinct("lines.site")).alias("site")).where("site <> 0")
-        .groupBy("host", "site").agg(F.count("*").alias("on")).join(size, "host")
-        .where(F.col("on") >= F.greatest(F.lit(SITE_PAGES), F.col("pages") * F.lit(SITE_SHARE)))
-        .groupBy("host").agg(F.collect_list("site").alias("frame"))  # at most mean lines of a page / SITE_SHARE each
+        pages.select("hk", "title", "site").join(broadcast_if_small(alike), ["hk", "title"])
+        .select("hk", (F.lit(1.0) / F.col("n")).alias("w"), F.explode(F.array_distinct("site")).alias("k")).where("k <> 0")
+        .groupBy("hk", "k").agg(F.count("*").alias("on"), F.sum("w").alias("w")).where(F.col("on") >= SITE_PAGES)
+        .join(broadcast_if_small(size), "hk").where(F.col("w") >= F.col("titles") * SITE_SHARE - 1e-9).select("k")
     )
     frames = cut_lineage(frames)
-    first = _spans(pages, frames, None)
-    where = first.select("host", "spans", F.posexplode("lines").alias("at", "line")).select(
-        "host", "line.wording", "line.exact", _inside().alias("inside")
-    ).where("wording <> 0")
-    shown = where.groupBy("wording", "host").agg(F.max("exact").alias("exact"), (F.avg(F.col("inside").cast("int")) < 0.5).alias("out"))
+    shown = (
+        _over_lines(pages, ["exact"], frames, None, _outside_counts, "wording long, hk long, exact boolean, within long, shown long")
+        .groupBy("wording", "hk").agg(F.max("exact").alias("exact"), (F.sum("within") * 2 < F.sum("shown")).alias("out"))
+    )
     shown = cut_lineage(shown)
     common = (
-        shown.groupBy("wording").agg(F.sum(F.col("out").cast("int")).alias("outs"), F.count("*").alias("sites"))
+        shown.groupBy("wording").agg(F.max("exact").alias("exact"), F.sum(F.col("out").cast("int")).alias("outs"), F.count("*").alias("sites"))
         .where((F.col("outs") >= FRAME_SITES) & (F.col("outs") > F.col("sites") * F.lit(FRAME_SHARE)))
-        .select("wording", (F.col("outs") * 2 > F.col("sites")).alias("most"))
+        .select("wording", (~F.col("exact") | (F.col("outs") * 2 > F.col("sites"))).alias("anywhere"))
     )
     common = cut_lineage(common)
-    wordings = cut_lineage(shown.join(broadcast_if_small(common), "wording").where("not exact or most or out").select("wording", "host"))
-    second = _spans(pages, frames, wordings)
-    blocks = second.select("url", "host", "spans", F.posexplode("lines").alias("at", "line")).where(
-        _inside() & F.expr("line.wording <> 0")
-    ).select("url", "host", "at", F.col("line.no").cast("long").alias("block_no"), F.col("line.wording").alias("wording"))
-    return blocks.join(broadcast_if_small(wordings), ["wording", "host"], "left_anti").select("url", "at", "block_no")
+    own = shown.where("exact and out").join(broadcast_if_small(common.where("not anywhere")), "wording").select(F.col("wording").bitwiseXOR(F.col("hk")).alias("k"))
+    known = cut_lineage(common.where("anywhere").select(F.col("wording").alias("k")).unionByName(own))
+    return _over_lines(pages, columns, frames, known, give, schema)
+
+
+def _numbered(lines: Lines, inside: np.ndarray) -> pa.RecordBatch:
+    no = lines.flat("no")
+    keep = np.flatnonzero(inside & (no > 0))
+    return pa.RecordBatch.from_arrays([lines.urls.take(pa.array(lines.page[keep])), pa.array(no[keep].astype(np.int64))], ["url", "block_no"])
+
+
+def main_blocks(cache: DataFrame) -> DataFrame:
+    """``(url, block_no)`` of the blocks in each page's main body.
+
+    A page is the latest row of its url; null and broken blobs hold none and give no rows, nor do pages
+    without text. Blocks are numbered over ``h1``-``h6``, ``p`` and ``li`` in order of opening; blocks
+    without text count but are never part of a body. Texts of any length are read whole. Further columns
+    are ignored; an empty table gives no rows.
+    """
+    return body_stage(cache, _numbered, "url string, block_no long", ["no"])

@@ -17,12 +17,12 @@ def p6_found(spark, d):
 
 
 def p7_found(spark, d):
-    return residue_pages(table(spark, d, "page_cache")).select("url")
+    return residue_pages(table(spark, d, "page_cache"), table(spark, d, "pages")).select("url")
 
 
 def p7_reasons(spark, d):
-    """The pages of ``p7_found`` with the kind of residue."""
-    return residue_pages(table(spark, d, "page_cache"))
+    """The pages of ``p7_found`` with the kind of residue, and whether they were trusted or came by propagation."""
+    return residue_pages(table(spark, d, "page_cache"), table(spark, d, "pages"))
 
 
 def p8_containers(spark, d):

@@ -1,11 +1,14 @@
 """Template residue and error-page text in place of content.
 
-The title and all lines of the main body of each page, numbered blocks or not, are text units. Unfilled placeholders are found by their
-form. Units that are filler, an error, access or maintenance message or a demand for scripts are first
-labelled where a trusted wording matches; then near-duplicates of labelled units (numbers aside) are found
-by the rarest character runs of each wording, which loses none of the stated similarity, verified, and get
-the label of the component they are connected to. Components are explored from their trusted members,
-level by level.
+The title and all lines of the main body of each page, numbered blocks or not, are text units; distinct
+wordings (numbers aside) are compared. Unfilled placeholders are found by their form. For filler and
+for messages (errors, access, maintenance, demands for scripts) a few wordings are trusted: those of a
+short general list, and the text of pages that the crawl saw fail and that hold nothing else, where
+another page says the same. Near-duplicates
+of trusted wordings are found in four tables of 16 bits of a 64-bit SimHash over character runs, probed
+with up to three flipped bits, so that no pair within fifteen bits is missed; distance and similarity
+are verified, and each connected component gets the label of its trusted members. Components are
+explored from those, level by level.
 
 A placeholder or filler makes a page a case; a message does so only where no content stands beside it.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.html import latest_pages, page_html
-from auditloom.llm.mainbody import main_lines, page_lines
+from auditloom.llm.components import connected_components
+from auditloom.llm.mainbody import Line, Lines, body_stage
 from auditloom.llm.neardup import mix
-from auditloom.runtime import broadcast_if_small, cut_lineage, spread
+from auditloom.runtime import broadcast_if_small, cut_lineage, spread, stored
 
-SIMILARITY, GRAM = 0.8, 5
-#: Slots in which character runs are counted to tell rare from common ones, and one of how many wordings is counted.
-SLOTS, COUNTED = 1 << 16, 4
+#: Similarity of the character runs (of GRAM) and SimHash distance up to which two wordings are near-duplicates.
+SIMILARITY, GRAM, DISTANCE = 0.8, 5, 15
+#: Tables of the SimHash and bits of each; flips that a distance leaves to the best of them.
+TABLES, BITS = 4, 16
+FLIPS = DISTANCE // TABLES
 #: Characters of other running text in a main body from which a message no longer stands in for content.
 CONTENT_CHARS = 200
 #: Characters from which a unit is tested by sentence, and the share of it that must be message sentences.
@@ -42,6 +48,7 @@ _FORMS = [
     r"\{%\s*" + _NAME + r"\s*%\}",
     r"<%=?\s*" + _NAME + r"\s*%>",
     r"%%" + _NAME + r"%%",
+    r"@@" + _NAME + r"@@",
     r"[#$]\{\s*" + _NAME + r"\s*\}",
     r"(?<![\w{#$])\{[A-Za-z_][\w.]{0,60}\}(?!\})",
     r"\[\[\s*" + _NAME + r"\s*\]\]",
@@ -60,66 +67,41 @@ _FORMS = [
 ]
 PLACEHOLDER = re.compile("|".join(_FORMS))
 
-_HINT = re.compile(r"[{%\[$#*<]|__|undefined|NaN|null|TBD|ntitled")  # without one of these no form can match
+_HINT = re.compile(r"[{%\[$#*<@]|__|undefined|NaN|null|TBD|ntitled")  # without one of these no form can match
 
-# Wordings of filler.
+# Trusted wordings of filler. All others come by propagation.
 _FILLER = [
     r"^lorem ipsum\b",
     r"^(?:this|here) is (?:some )?(?:sample|placeholder|dummy|filler) text\b",
-    r"^here goes (?:a|the|your)\b.*\b(?:description|text|title)\b",
-    r"\bclick (?:here )?to edit this (?:paragraph|text)\b",
-    r"^dies ist ein (?:blindtext|platzhalter)",
-    r"^(?:ceci est un texte|texte) (?:factice|provisoire|d’exemple|de remplissage)",
-    r"^your (?:sub-?)?(?:headline|heading|title|text) (?:goes )?here\b",
-    r"\badd a few lines about your\b",
-    r"^este es un texto (?:de ejemplo|de relleno|simulado)",
-    r"^este é um texto de exemplo",
-    r"^to jest przykładowy tekst",
-    r"^это пример текста",
+    r"\b(?:blindtext|platzhaltertext)\b",
+    r"\btexte (?:factice|provisoire)\b",
+    r"\btexto de (?:relleno|ejemplo|exemplo)\b",
+    r"\bclick (?:here )?to edit\b",
+    r"\byour (?:headline|title|text) (?:goes )?here\b",
 ]
-FILLER = re.compile("|".join(_FILLER), re.I)
+FILLER = re.compile("|".join(_FILLER))
 
-# Wordings of messages that stand in for a page.
+# Trusted wordings of messages. All others come from failed pages and by propagation.
 _MESSAGES = [
-    r"\b(?:page|site|resource|file|document|article|address)\b.{0,40}\b(?:not (?:be )?found|does not exist|doesn’t exist|no longer (?:available|exists?)|has been (?:moved|removed|deleted))\b",
-    r"\bthere is nothing at this address\b",
-    r"\bwill not return\b",
-    r"^(?:error )?\d{3}\s*[-–:|]?\s*(?:page |file )?(?:not found|forbidden|unauthorized|gone|bad gateway|internal server error|service unavailable|too many requests)\b",
-    r"^(?:page |file )?not found$",
-    r"\bdo not have permission\b|\bnot authori[sz]ed to\b|\baccess (?:to this \w+ )?(?:is|was|has been) (?:denied|blocked)\b",
-    r"\bserver (?:met|encountered) an\b|\bunexpected (?:condition|error)\b.{0,40}\b(?:occurred|try again)\b|\bunexpected condition\b",
-    r"\bbackend did not answer\b|\bupstream\b.{0,30}\b(?:timed out|unavailable)\b",
-    r"\b(?:work|maintenance) on our servers?\b|\bdown for maintenance\b|\bundergoing maintenance\b|\bbe back (?:in \d+|soon|shortly)\b",
-    r"\btoo many (?:requests|connections)\b",
-    r"\bconfirm (?:that )?you are (?:a )?human\b|\bnot a robot\b",
-    r"^(?:php )?(?:(?:fatal|parse) error|fatal|warning|notice|error|uncaught exception)\s*:\s.*\b(?:on line \d+|stack trace|in /)",
-    r"\bcould not connect to (?:the )?database\b",
-    r"\bseite\b.{0,30}\b(?:existiert\b.{0,20}\bnicht|nicht gefunden|wurde nicht gefunden)",
-    r"\bpage demandée\b|\bpage\b.{0,20}\b(?:introuvable|n’existe pas)",
-    r"\bpágina\b.{0,40}\b(?:no existe|no encontrada|não existe|não encontrada|não foi encontrada)\b",
-    r"\bstrona\b.{0,40}\bnie (?:istnieje|została znaleziona)\b",
-    r"\bстраница\b.{0,30}\bне (?:найдена|существует)\b",
-    r"\b(?:enable|turn on|activate|allow|requires?|need)\b.{0,20}\b(?:javascript|scripts?)\b",
-    r"\b(?:javascript|scripts?)\b.{0,30}\b(?:is|are) (?:disabled|required|allowed|switched off|turned off|off)\b",
-    r"\b(?:aktivieren|activez|activer|activar|active|ative|ativar|habilite|włącz|включите)\b.{0,20}\bjavascript\b|\bjavascript\b.{0,20}\b(?:aktivieren|einschalten)\b",
+    r"\b(?:javascript|scripts)\b",
+    r"\bnot found\b",
+    r"\baccess denied\b",
+    r"\bserver error\b",
+    r"\b(?:under(?:going)?|down for) maintenance\b",
+    r"\bstack trace\b|\bfatal error\b",
 ]
-MESSAGE = re.compile("|".join(_MESSAGES), re.I)
-
-# Without one of these parts no message can match.
-_MESSAGE_HINT = re.compile(
-    r"not found|not be found|exist|available|has been|nothing at|not return|permission|authori[sz]ed|access|server|unexpected|backend|upstream|maintenance|be back|too many|human|robot|line \d|trace|in /|"
-    r"database|gefunden|demandée|introuvable|encontrad|istnieje|znaleziona|найдена|существует|script|forbidden|gone|gateway"
-)
+MESSAGE = re.compile("|".join(_MESSAGES))
 
 _QUOTED = re.compile(r"“[^”]{0,200}”|„[^“”]{0,200}[“”]|«[^»]{0,200}»|\"[^\"]{0,200}\"|‘[^’]{0,80}’|`[^`]{0,200}`")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s+(?=#\d+\s)")
-_TRACE = re.compile(r"^#\d+\s+\S|^at [\w.$<>]+\(|\bon line \d+|^File \"[^\"]+\", line \d+")
+_TRACE = re.compile(r"^#?\d+\s+\S|^at [\w.$<>]+\(|\bon line \d+|^file \"[^\"]+\", line \d+")
 _PART = re.compile(r"\s+[|–—»·-]\s+")
+_NUMBER = re.compile(r"\b\w*\d\w*\b")
 
 
 def unit_wording(text: str) -> str:
-    """A unit in lower case, single spaces and with numbers as 0, by which near-duplicates are compared."""
-    return " ".join(re.sub(r"\d+", "0", text).lower().split())
+    """A unit in lower case, single spaces and with numbers and identifiers as 0, by which near-duplicates are compared."""
+    return " ".join(_NUMBER.sub("0", text).lower().split())
 
 
 def grams(text: str) -> set[str]:
@@ -127,35 +109,40 @@ def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each character run, in order."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    width = min(GRAM, max(1, len(c)))
-    h = np.zeros(max(1, len(c) - width + 1), np.uint64)
-    for k in range(width if len(c) else 0):
-        h = h * np.uint64(0x100000001B3) + c[k : len(c) - width + 1 + k]
-    return mix(h)
-
-
-def simhash(text: str) -> int:
-    """64-bit SimHash of the character runs, as a signed number."""
-    h = gram_hashes(text)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).view(np.int64)[0])
-
-
-def trusted_label(text: str) -> str | None:
-    """``filler``, ``message`` or None; quoted words are no message.
-
-    A long unit is one if its first sentence is and message sentences (or calls of a stack trace) hold at
-    least ``MESSAGE_SHARE`` of it.
+def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit SimHash over the distinct character runs of each text, and their number; texts are at least one character long."""
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
+    sizes = np.array([max(1, len(c) - GRAM + 1) for c in codes])
+    flat = np.concatenate([np.pad(c, (0, max(0, GRAM - len(c)))) for c in codes]).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum([max(len(c), GRAM) for c in codes])[:-1]])
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            h = h * np.uint64(0x100000001B3) + flat[at + k]
+    h = mix(h)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    h, owner = h[once], owner[once]
+    count = np.bincount(owner, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > count[:, None], axis=1).view(np.int64).ravel(), count
+
+
+def trusted_label(wording: str) -> str | None:
+    """``filler``, ``message`` or None for a wording by the short list alone; quoted words are neither.
+
+    One word that makes up most of five or more is filler. A long unit is a message if its first sentence
+    is and message sentences (or calls of a stack trace) hold at least ``MESSAGE_SHARE`` of it.
     """
-    bare = _QUOTED.sub(" ", text)
-    low = bare.lower()
-    words = low.split()
+    bare = _QUOTED.sub(" ", wording)
+    words = bare.split()
     if FILLER.search(bare) or (len(words) >= 5 and len(set(words)) <= 0.2 * len(words) + 1 and Counter(w.strip(".,;:!?") for w in words).most_common(1)[0][1] >= 0.8 * len(words)):
         return "filler"
-    if not _MESSAGE_HINT.search(low) or not MESSAGE.search(bare):
+    if not MESSAGE.search(bare):
         return None
     if len(bare) <= LONG_CHARS:
         return "message"
@@ -169,159 +156,173 @@ def has_placeholder(text: str) -> bool:
     return bool(_HINT.search(text)) and bool(PLACEHOLDER.search(_QUOTED.sub(" ", text)))
 
 
-_UNITS = "url string, place string, chars int, placeholder boolean, trusted string, wording string, id long"
+_HEADING, _PLACEHOLDER, _TITLE = 1, 2, 4
+_MORE = [("mark", "int", pa.int32()), ("chars", "int", pa.int32()), ("words", "string", pa.string()), ("top_mark", "int", pa.int32()), ("top", "string", pa.string())]
+_UNITS = "url string, mark int, chars int, thin boolean, wording string, id long"
+
+
+def _marked(title: str, lines: list[Line]) -> list[list]:
+    """The columns of ``_MORE`` of one page: its lines as units, then its title and the parts of it."""
+    tops = [x for x in dict.fromkeys([title, *_PART.split(title)]) if x]
+    return [
+        [_HEADING * (x.tag[0] == "h" and x.no > 0) + _PLACEHOLDER * has_placeholder(x.bare) for x in lines],
+        [len(x.bare) for x in lines], [unit_wording(x.bare) for x in lines],
+        [_TITLE + _PLACEHOLDER * has_placeholder(x) for x in tops], [unit_wording(x) for x in tops],
+    ]
+
+
+def _units_of(lines: Lines, inside: np.ndarray) -> pa.RecordBatch:
+    mark, chars = lines.flat("mark"), lines.flat("chars")
+    text = inside & (mark & _HEADING == 0)
+    thin = np.bincount(lines.page, np.where(text, chars, 0), lines.batch.num_rows) < CONTENT_CHARS
+    keep = np.flatnonzero(inside & (chars > 0))
+    tops = np.diff(lines.batch.column("top").offsets.to_numpy())
+    page = np.concatenate([lines.page[keep], np.repeat(np.arange(lines.batch.num_rows), tops)])
+    words = lines.flat("words")[keep].tolist() + lines.flat("top").tolist()
+    ids = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words]
+    return pa.RecordBatch.from_arrays(
+        [lines.urls.take(pa.array(page)), pa.array(np.concatenate([mark[keep], lines.flat("top_mark")]).astype(np.int32)),
+         pa.array(np.concatenate([chars[keep], np.zeros(tops.sum(), np.int64)]).astype(np.int32)), pa.array(thin[page]), pa.array(words, pa.string()), pa.array(ids, pa.int64())],
+        ["url", "mark", "chars", "thin", "wording", "id"],
+    )
 
 
 def page_units(cache: DataFrame) -> DataFrame:
     """One row for each text unit: title, its parts between separators, and lines of the main body.
 
-    Text in ``code``, ``pre``, ``samp`` and ``kbd`` is quoted and left out.
+    Text in ``code``, ``pre``, ``samp`` and ``kbd`` is quoted and left out. ``thin`` tells pages whose
+    bodies hold less running text than ``CONTENT_CHARS``.
     """
-    body = main_lines(cache).groupBy("url").agg(F.collect_list("at").alias("body"))
-    pages = spread(latest_pages(cache)).join(body, "url", "left").select("url", "html_blob", "body")
+    return body_stage(cache, _units_of, _UNITS, [n for n, _, _ in _MORE], _MORE, _marked)
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["url", "place", "chars", "placeholder", "trusted", "wording", "id"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+def distinct_wordings(units: DataFrame) -> DataFrame:
+    """``(id, wording, repeated, size, sim, seed)``: each wording once, whether pages share it, its character runs, SimHash and label by the short list."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for url, blob, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = page_html(blob.as_py())
-                if text is None:
-                    continue
-                title, lines = page_lines(text, code=False)
-                chosen = set(body or ())
-                parts = [x for x in _PART.split(title) if x]
-                units = [("title", x) for x in dict.fromkeys([title, *parts]) if x]
-                units += [("heading" if x.tag[0] == "h" and x.no else "text", x.text) for at, x in enumerate(lines) if at in chosen and x.text]
-                for place, x in units:
-                    w = unit_wording(x)
-                    out.append((url, place, len(x), has_placeholder(x), trusted_label(x), w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return pages.mapInArrow(cut, _UNITS)
-
-
-def filler_words(units: DataFrame) -> list[str]:
-    """Words that stand in at least a tenth of the units that open as filler Latin: at most ten times their mean length."""
-    latin = units.where("trusted = 'filler' and wording like 'lorem ipsum%'").select("id", "wording").distinct()
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                texts = part.column(1).to_pylist()
+                sim, size = simhashes(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), pa.array(size.astype(np.int32)), pa.array(sim), pa.array([trusted_label(x) for x in texts], pa.string())],
+                    ["id", "wording", "repeated", "size", "sim", "seed"],
+                )
+
+    once = units.where("wording <> ''").groupBy("id").agg(F.first("wording").alias("wording"), (F.min("url") != F.max("url")).alias("repeated"))
+    return spread(once).mapInArrow(told, "id long, wording string, repeated boolean, size int, sim long, seed string")
+
+
+def filler_words(wordings: DataFrame) -> list[str]:
+    """Words that stand in at least a tenth of the wordings that open as filler Latin: at most ten times their mean length."""
+    latin = wordings.where("seed = 'filler' and wording like 'lorem ipsum%'").select("wording")
     n = latin.count()
     words = latin.select(F.explode(F.array_distinct(F.split("wording", r"[^\p{L}]+"))).alias("word")).where("length(word) > 2")
     return [r.word for r in words.groupBy("word").count().where(F.col("count") >= max(3.0, n / 10)).collect()]
 
 
-def learn_filler(units: DataFrame) -> DataFrame:
-    """``units`` with the label ``filler`` also where four fifths of eight words or more are filler words.
+def learnt_filler(wordings: DataFrame) -> DataFrame:
+    """``(id, label)`` of wordings of eight words or more of which four fifths are filler words.
 
-    The words are learnt from all units whose wording is trusted; without enough of them nothing changes.
+    The words are learnt from all wordings that open as filler Latin; without enough of them none is found.
     """
-    known = filler_words(units)
+    known = filler_words(wordings)
     if not known:
-        return units
+        return wordings.where("false").select("id", F.lit("filler").alias("label"))
     words = F.filter(F.split("wording", r"[^\p{L}]+"), lambda w: w != "")
-    hits = F.size(F.filter(words, lambda w: w.isin(known)))
-    is_filler = (F.size(words) >= 8) & (hits >= F.size(words) * 0.8)
-    return units.withColumn("trusted", F.when(is_filler, "filler").otherwise(F.col("trusted")))
-
+    told = wordings.where(F.col("wording").rlike("|".join(known))).select("id", words.alias("w"))
+    return told.where((F.size("w") >= 8) & (F.size(F.filter("w", lambda w: w.isin(known))) >= F.size("w") * 0.8)).select("id", F.lit("filler").alias("label"))
 
-def rare_runs(text: str, counts: np.ndarray) -> tuple[int, list[int]]:
-    """Number of distinct character runs, and the hashes of the rarest ones.
-
-    Of n runs the n - ceil(n * SIMILARITY) + 1 that come first by count are kept. Two sets that are similar
-    enough share one of the kept ones whatever the counts are, as both are cut in the same order.
-    """
-    h = np.unique(gram_hashes(text))
-    n = len(h)
-    kept = n - int(np.ceil(n * SIMILARITY - 1e-9)) + 1
-    order = np.lexsort((h, counts[h % np.uint64(len(counts))]))
-    return n, h[order[:kept]].view(np.int64).tolist()
 
+def _flips() -> list[int]:
+    return [sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(BITS), k)]
 
-def run_counts(wordings: DataFrame) -> np.ndarray:
-    """How often runs fall into each of ``SLOTS`` slots, over a share of the wordings."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                np.add.at(total, gram_hashes(x) % np.uint64(SLOTS), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
-    got = np.zeros(SLOTS, np.int64)
-    sample = wordings.where(F.pmod("id", F.lit(COUNTED)) == 0).select("wording")
-    for r in sample.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        got[r.slot] = r.n
-    return got
+def near_links(wordings: DataFrame, frontier: DataFrame, but: DataFrame) -> DataFrame:
+    """``(id, of)``: wordings near to one of ``frontier`` (id), those of ``but`` (id) left out.
 
-
-def _with_runs(wordings: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``(id, wording, size, runs)`` with the ``rare_runs`` of each wording."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, runs = zip(*[rare_runs(x, counts) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(runs, pa.list_(pa.int64()))], ["id", "wording", "size", "runs"])
-
-    return wordings.select("id", "wording").mapInArrow(cut, "id long, wording string, size int, runs array<long>")
-
-
-def propagate(units: DataFrame) -> DataFrame:
-    """``(id, label)`` of every wording in a component with a trusted one.
-
-    Two wordings are linked if their sets of character runs have a Jaccard similarity of at least 0.8. No link
-    is lost: wordings are compared wherever they share one of their ``rare_runs`` and their sizes allow it.
-    If a component holds several labels, the greatest (``message``) is given.
+    Every pair within ``DISTANCE`` bits agrees in one of the tables but for at most ``FLIPS`` bits, so
+    the flipped keys of the frontier meet the plain keys of all others. Then distance, sizes and the
+    similarity of the texts themselves are verified.
     """
-    wordings = cut_lineage(units.groupBy("id").agg(F.first("wording").alias("wording"), F.max("trusted").alias("label")))
-    keyed = cut_lineage(_with_runs(wordings, run_counts(wordings)))
-    frontier = cut_lineage(wordings.where("label is not null").select("id", "label").join(keyed, "id"))
-    known = frontier.select("id", "label")
+    table = lambda t: F.shiftrightunsigned(F.col("sim"), t * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(F.lit(t << BITS)).cast("int")
+    own = F.array(*[table(t) for t in range(TABLES)])
+    probes = frontier.select(F.col("id").alias("of"), "label", F.col("sim").alias("osim"), F.col("size").alias("osize"), F.explode(own).alias("k0"))
+    probes = probes.select("of", "osim", "osize", F.explode(F.transform(F.lit(_flips()), lambda m: F.col("k0").bitwiseXOR(m))).alias("k"))
+    plain = wordings.join(broadcast_if_small(but.select("id")), "id", "left_anti").select("id", "sim", "size", F.explode(own).alias("k"))
+    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("osim"))) <= DISTANCE
+    fits = F.least("size", "osize") >= F.greatest("size", "osize") * F.lit(SIMILARITY - 1e-9)
+    pairs = cut_lineage(plain.join(probes, "k").where(near & fits).select("id", "of").distinct())
+    texts = wordings.select("id", "wording")
+    both = texts.join(broadcast_if_small(pairs), "id").join(broadcast_if_small(frontier.select(F.col("id").alias("of"), F.col("wording").alias("like"))), "of")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = grams(a), grams(b)
-                both = len(x & y)
-                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+                same = len(x & y)
+                keep.append(same >= SIMILARITY * (len(x) + len(y) - same))
             got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([got.column(i) for i in range(2)], ["id", "label"])
-
-    while True:
-        bounds = frontier.agg(F.min("size").alias("least"), F.max("size").alias("most")).first()
-        if bounds.least is None:
-            return known
-        near = frontier.select(F.col("id").alias("of"), "label", F.col("wording").alias("like"), F.col("size").alias("fsize"), F.explode("runs").alias("run"))
-        found = (
-            keyed.where(F.col("size").between(int(bounds.least * SIMILARITY), int(bounds.most / SIMILARITY) + 1))
-            .join(broadcast_if_small(known.select("id")), "id", "left_anti").select("id", "wording", "size", F.explode("runs").alias("run"))
-            .join(broadcast_if_small(near, 50_000), "run")
-            .where((F.col("size") >= F.col("fsize") * SIMILARITY - 1e-6) & (F.col("fsize") >= F.col("size") * SIMILARITY - 1e-6))
-            .select("id", "label", "wording", "like", "of").dropDuplicates(["id", "of"]).select("id", "label", "wording", "like")
-            .mapInArrow(verify, "id long, label string").groupBy("id").agg(F.max("label").alias("label"))
-        )
-        frontier = cut_lineage(cut_lineage(found).join(keyed, "id"))
-        known = known.unionByName(frontier.select("id", "label"))
-
-
-def residue_pages(cache: DataFrame) -> DataFrame:
-    """``(url, reason)`` of every page whose title or main body holds residue.
-
-    ``reason`` is ``placeholder``, ``filler`` or ``message`` (the first that holds). A page is the latest
-    row of its url; null and broken blobs hold none. Pages without text and empty tables give no rows;
-    status columns play no part; texts are read whole.
+            yield pa.RecordBatch.from_arrays([got.column(i) for i in range(2)], ["id", "of"])
+
+    return both.select("id", "of", "wording", "like").mapInArrow(verify, "id long, of long")
+
+
+def propagate(wordings: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``(id, label)`` of every wording in a connected component of near-duplicates with a trusted one.
+
+    ``wordings`` as of ``distinct_wordings``; ``trusted``: id, label, one row an id. If a component holds
+    several labels, the greatest (``message``) is given.
+    """
+    frontier = cut_lineage(wordings.select("id", "wording", "size", "sim").join(broadcast_if_small(trusted), "id"))
+    reached, links = frontier.select("id"), None
+    while frontier.limit(1).count():
+        found = cut_lineage(near_links(wordings, frontier, reached))
+        links = found if links is None else links.unionByName(found)
+        frontier = cut_lineage(wordings.select("id", "wording", "size", "sim").join(broadcast_if_small(found.select("id").distinct()), "id").withColumn("label", F.lit(None).cast("string")))
+        reached = reached.unionByName(frontier.select("id"))
+    if links is None:
+        return trusted
+    parts = connected_components(links.select(F.col("id").alias("a"), F.col("of").alias("b"))).withColumnRenamed("node", "id")
+    parts = cut_lineage(parts)
+    told = parts.join(trusted, "id").groupBy("component").agg(F.max("label").alias("label"))
+    return trusted.unionByName(parts.join(told, "component").select("id", "label")).groupBy("id").agg(F.max("label").alias("label"))
+
+
+def residue_pages(cache: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """``(url, reason, trusted)`` of every page whose title or main body holds residue.
+
+    ``reason`` is ``placeholder``, ``filler`` or ``message`` (the first that holds); ``trusted`` tells
+    pages found by their own form, listed wording or failure, the others came by propagation. A page is
+    the latest row of its url; null and broken blobs hold none. ``statuses`` (url, status; of several the highest counts, null is none) only
+    adds trusted wordings: those of pages of status 400 or more without content, where another page says
+    the same. Pages without text and empty tables give no rows; texts are read whole.
     """
-    units = learn_filler(cut_lineage(page_units(cache)))
-    labels = propagate(units)
-    labelled = units.join(broadcast_if_small(labels), "id", "left")
+    units = stored(page_units(cache))
+    wordings = stored(distinct_wordings(units))
+    failed = None
+    if statuses is not None:
+        failed = cut_lineage(statuses.where("url is not null and status >= 400").select("url").distinct())
+        alone = units.where(f"thin and mark & {_HEADING + _TITLE} = 0 and wording <> ''").join(broadcast_if_small(failed), "url", "left_semi").select("id").distinct()
+        alone = wordings.where("repeated").select("id").join(broadcast_if_small(alone), "id", "left_semi").withColumn("label", F.lit("message"))
+    trusted = wordings.where("seed is not null").select("id", F.col("seed").alias("label")).unionByName(learnt_filler(wordings))
+    own = cut_lineage(trusted.groupBy("id").agg(F.max("label").alias("label")))
+    trusted = own if failed is None else cut_lineage(own.unionByName(alone).groupBy("id").agg(F.max("label").alias("label")))
+    labels = cut_lineage(propagate(wordings, trusted))
+    labelled = units.select("url", "mark", "chars", "thin", "id").join(broadcast_if_small(labels), "id", "left").join(broadcast_if_small(own.select("id", F.lit(True).alias("own"))), "id", "left")
+    bit = lambda b: F.col("mark").bitwiseAND(b) != 0
     page = labelled.groupBy("url").agg(
-        F.max("placeholder").alias("placeholder"),
-        F.max(F.col("label").eqNullSafe("filler")).alias("filler"),
-        F.max(F.col("label").eqNullSafe("message")).alias("message"),
-        F.sum(F.when((F.col("place") == "text") & F.col("label").isNull(), F.col("chars")).otherwise(0)).alias("content"),
+        F.max(bit(_PLACEHOLDER)).alias("placeholder"), F.max(F.col("label").eqNullSafe("filler")).alias("filler"), F.max(F.col("label").eqNullSafe("message")).alias("message"),
+        F.sum(F.when(F.col("label").isNull() & ~bit(_HEADING + _TITLE), F.col("chars")).otherwise(0)).alias("content"), F.max("thin").alias("thin"), F.max(F.coalesce("own", F.lit(False))).alias("own"),
     )
     reason = (
         F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler")
         .when(F.col("message") & (F.col("content") < CONTENT_CHARS), "message")
     )
-    return page.select("url", reason.alias("reason")).where("reason is not null")
+    page = page.withColumn("reason", reason).where("reason is not null")
+    if failed is not None:
+        page = page.join(broadcast_if_small(failed.select("url", F.lit(True).alias("failed"))), "url", "left")
+    else:
+        page = page.withColumn("failed", F.lit(False))
+    return page.select("url", "reason", (F.col("placeholder") | F.col("own") | (F.col("thin") & F.coalesce("failed", F.lit(False)))).alias("trusted"))

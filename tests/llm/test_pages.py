@@ -7,9 +7,10 @@ import random
 import numpy as np
 
 from auditloom.llm.html import page_html, visible_words
-from auditloom.llm.mainbody import body_spans, main_blocks, main_span, page_lines
+from auditloom.llm import mainbody
+from auditloom.llm.mainbody import body_spans, main_blocks, page_lines
 from auditloom.llm.neardup import Scheme, allocate, page_classes, page_pairs, word_runs
-from auditloom.llm.residue import grams, has_placeholder, propagate, residue_pages, simhash, trusted_label, unit_wording
+from auditloom.llm.residue import distinct_wordings, grams, has_placeholder, propagate, residue_pages, simhashes, trusted_label, unit_wording
 
 T = dt.datetime(2025, 1, 1)
 KIND = "url string, html_blob binary, analysed_at timestamp, sid string, host string, reason string"
@@ -135,8 +136,55 @@ def test_sectioned_bodies_keep_all_sections(spark):
     for r in main_blocks(cache(spark, pages)).collect():
         got.setdefault(r.url, set()).add(r.block_no)
     assert got["https://deep.example/1"] == {1, 2, 3, 4} and got["https://list.example/2"] == {1, 2, 9} and got["https://short.example/3"] == {8, 9, 10, 11}
-    assert body_spans(np.array([0, 9, 0, 0, 0, 0, 0, 0, 8]), [True, False, True, True, True, True, True, True, False]) == [(1, 9)]
-    assert body_spans(np.array([5, 0, 0, 0, 0, 0, 99, 0]), [False] * 8) == [(6, 7)] and body_spans(np.zeros(3, int), [False] * 3) == body_spans(np.zeros(0, int), []) == []
+
+
+def spans(weights, gaps=None, pages=None):
+    none = np.zeros(len(weights), int)
+    return np.flatnonzero(body_spans(np.array(weights, int), none if gaps is None else np.array(gaps), none if pages is None else np.array(pages))).tolist()
+
+
+def test_spans():
+    """Surges and dives of one and of several pages, against a walk over the lines."""
+    assert spans([9, 0, 0, 0, 0, 8], [1, 0, 0, 0, 0, 1]) == [0, 5] and spans([9, 0, 0, 0, 0, 8]) == [0, 1, 2, 3, 4, 5]
+    assert spans([5, 0, 0, 0, 0, 0, 99, 0]) == [6] and spans([0, 0, 0]) == spans([]) == []
+    assert spans([5, 7, 0, 0], pages=[0, 1, 1, 2]) == [0, 1]
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(p, rng.choice([0, 0, 0, 3, 40, 300]), rng.random() < 0.3) for p in range(4) for _ in range(rng.randrange(0, 30))]
+        want, base = [], 0
+        for p in range(4):
+            mine = [r for r in rows if r[0] == p]
+            walk = [x for i, (_, w, g) in enumerate(mine) for x in ([(0, None)] * g + [(w, i)])]
+            found, begin = [], None
+            for j, (w, i) in enumerate(walk):
+                if w:
+                    if begin is None:
+                        begin, mass, full = i, 0, 0
+                    mass, full, last, at = mass + w, full + 1, i, j
+                if begin is not None and (j - at >= 5 or j == len(walk) - 1):
+                    found.append((mass, full, begin, last))
+                    begin = None
+            most = max((x[0] for x in found), default=0)
+            want += [base + i for mass, full, b, e in found if mass >= 0.25 * most or (mass >= 200 and mass >= 60 * full) for i in range(b, e + 1)]
+            base += len(mine)
+        assert spans([r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows]) == want
+
+
+def test_many_keys_are_joined_with_the_same_result(spark, monkeypatch):
+    pages = [x for k in range(4) for x in site(8, f"host{k}", f"Rated 7 out of 9 by people who shop at Host{k}.", f"Made with care by Host{k} in workshop {k}.")]
+    few = sorted(map(tuple, main_blocks(cache(spark, pages)).collect()))
+    monkeypatch.setattr(mainbody, "KEYS_HELD", 0)
+    assert sorted(map(tuple, main_blocks(cache(spark, pages)).collect())) == few
+
+
+def test_copies_on_a_small_site_are_no_frame(spark):
+    body = "".join(f"<p>{'The same words on many pages of this small site. ' * 3}{i}</p>" for i in "abc")
+    pages = [(f"https://few.example/{i}", f"<title>Copy {i}</title>{NAV}<h1>Copy</h1>{body}{NAV}") for i in range(6)]
+    pages += [(f"https://few.example/own{i}", f"<title>Own {'xyz'[i]}</title>{NAV}<h1>Own {'xyz'[i]}</h1><p>{'Words of its own. ' * 9}{'xyz'[i]}</p>{NAV}") for i in range(3)]
+    got = {}
+    for r in main_blocks(cache(spark, pages)).collect():
+        got.setdefault(r.url, set()).add(r.block_no)
+    assert all(got[u] == ({6, 7, 8, 9} if "own" not in u else {6, 7}) for u, _ in pages)
 
 
 def test_headings_of_one_name_are_not_frame_text(spark):
@@ -155,22 +203,24 @@ def test_headings_of_one_name_are_not_frame_text(spark):
         assert (u, page_lines(h)[1][[x.text for x in page_lines(h)[1]].index("Related")].no) not in got
 
 
-def test_lines_and_spans():
-    title, lines = page_lines("<title>T &amp; t</title><p>One <a href=x>two</a></p><li>three<li><!-- <p>no</p> --><p><code>{{x}}</code> y</p>", code=False)
-    assert title == "T & t" and [(x.no, x.text) for x in lines if x.no] == [(1, "One two"), (2, "three"), (3, ""), (4, "y")]
-    assert main_span(np.array([0, 5, 0, 0, 0, 0, 0, 9, 1, 0])) == (7, 9) and main_span(np.zeros(4, int)) == (0, 0)
-    assert page_lines("x" * 300_000)[1][0].text == "x" * 300_000
+def test_lines():
+    title, lines = page_lines("<title>T &amp; t</title><p>One <a href=x>two</a></p><li>three<li><!-- <p>no</p> --><p><code>{{x}}</code> y <b>z</b></p>")
+    assert title == "T & t" and [(x.no, x.text) for x in lines if x.no] == [(1, "One two"), (2, "three"), (3, ""), (4, "{{x}} y z")]
+    assert [x.bare for x in lines if x.no] == ["One two", "three", "", "y z"] and lines[0].linked == 3
+    assert page_lines("x" * 300_000)[1][0].text == "x" * 300_000 and page_lines("")[1] == []
 
 
 def test_residue_units():
-    for x in ("Dear {{ name }}", "%%CITY%% news", "<%= price %>", "[INSERT date]", "*|X|*", "null – null", "Hi %(name)s", "[object Object]", "a ${b} c"):
+    for x in ("Dear {{ name }}", "%%CITY%% news", "<%= price %>", "[INSERT date]", "*|X|*", "null – null", "Hi %(name)s", "[object Object]", "a ${b} c", "@@TITLE@@ here"):
         assert has_placeholder(x), x
-    for x in ("Write “{{ name }}” there", "100 % sure", "a {b c", "snake__case", "50%discount", "{ }", "undefined()"):
+    for x in ("Write “{{ name }}” there", "100 % sure", "a {b c", "snake__case", "50%discount", "{ }", "undefined()", "me@home.example"):
         assert not has_placeholder(x), x
-    assert trusted_label("Lorem ipsum dolor") == "filler" and trusted_label("text text text text text") == "filler"
-    assert trusted_label("You need to enable JavaScript to run this app.") == "message"
-    assert trusted_label("A good “page not found” message is short.") is None
-    assert bin((simhash(unit_wording("Request 12 failed")) ^ simhash(unit_wording("Request 99 failed"))) & (2**64 - 1)).count("1") == 0
+    assert trusted_label("lorem ipsum dolor") == "filler" and trusted_label("text text text text text") == "filler"
+    assert trusted_label("you need to enable javascript to run this app.") == "message" and trusted_label("a short history of dummy text") is None
+    assert trusted_label("a good “page not found” message is short.") is None
+    texts = [unit_wording(x) for x in ("Request 12 failed", "Request 99 failed", "x", "a b " * 500, "Request 99 failed")]
+    sim, size = simhashes(texts)
+    assert sim[0] == sim[1] == sim[4] and size.tolist() == [len(grams(x)) for x in texts]
 
 
 def test_residue_pages(spark):
@@ -180,11 +230,11 @@ def test_residue_pages(spark):
     frame = lambda main, title="t": f"<title>{title}</title><div>{NAV}</div><div>{main}</div><div><ul><li><a href='/z'>Imprint</a></li></ul><p>Made with care by Host1 in workshop 1.</p></div>"
     long = "<p>" + "Plain words about lamps and rivers in the garden. " * 12 + "</p>"
     cases = {
-        "a": frame("<h1>404</h1><p>Sorry, the page you asked for does not exist or has been moved.</p>"),
+        "a": frame("<h1>404</h1><p>Sorry, the page you asked for was not found here or has been moved.</p>"),
         "b": frame(f"<h1>X</h1>{long}<p>Hello {{{{ first_name }}}}</p>"),
         "c": frame(f"<h1>X</h1>{long}", title="{{ page_title }}"),
         "d": frame("<h1>X</h1><p>Lorem ipsum dolor sit amet.</p>"),
-        "e": frame("<p>Sorry, the page you asked for does not exist or has been movedd.</p>"),
+        "e": frame("<p>Sorry, the page you asked for was not found here or has been movedd.</p>"),
     }
     clean = {
         "f": frame(f"<h1>Errors</h1>{long}<p>Sorry, the page you asked for does not exist or has been moved.</p>"),
@@ -197,24 +247,43 @@ def test_residue_pages(spark):
     assert residue_pages(cache(spark, more).limit(0)).count() == 0
 
 
-def test_links_of_reworded_messages_lose_nothing(spark):
-    """Reworded variants that no trusted wording matches, against a brute-force walk at similarity 0.8."""
+def test_propagation_finds_all_links_of_its_definition(spark):
+    """Reworded variants that no listed wording matches, against a brute-force walk at similarity 0.8 and 15 bits."""
     rng = random.Random(8)
-    texts = ["Sorry, the page you asked for does not exist or has been moved to some other place by its owner.", "We are sorry but our servers met an unexpected condition while they were working on your request today."]
-    units = {unit_wording(x): "message" for x in texts}
+    texts = ["Sorry, what you asked for is not here or went to some other place by its owner.", "We are sorry but our machines met an odd condition while they were working on your request today."]
+    units = [unit_wording(x) for x in texts]
     for _ in range(300):
-        words = rng.choice(list(units)).split()
+        words = rng.choice(units).split()
         words[rng.randrange(len(words))] = "".join(rng.choices("abcdefgh", k=rng.choice([2, 4, 7])))
-        units.setdefault(" ".join(words), None)
-    known, ring = dict((w, x) for w, x in units.items() if x), [w for w, x in units.items() if x]
-    alike = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+        units.append(" ".join(words))
+    units = list(dict.fromkeys(units))
+    sims = dict(zip(units, simhashes(units)[0].tolist(), strict=True))
+    near = {a: [b for b in units if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))] for a in units}
+    close = {a: [b for b in near[a] if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 15] for a in units}
+    pairs, kept = sum(map(len, near.values())) - len(units), sum(map(len, close.values())) - len(units)
+    assert kept >= 0.97 * pairs > 500  # the distance fits the similarity
+    known, ring = set(units[:2]), units[:2]
     while ring:
-        ring = [w for w in units if w not in known and any(alike(w, x) for x in ring)]
-        known |= dict.fromkeys(ring, "message")
-    rows = list(enumerate(units))
-    got = {r.id for r in propagate(spark.createDataFrame([(i, w, units[w]) for i, w in rows], "id long, wording string, trusted string")).collect()}
-    assert got == {i for i, w in rows if w in known} and sum(trusted_label(w) is None for w in known) > 50
-    assert propagate(spark.createDataFrame([], "id long, wording string, trusted string")).count() == 0
+        ring = [w for w in dict.fromkeys(x for r in ring for x in close[r]) if w not in known]
+        known |= set(ring)
+    rows = spark.createDataFrame([(f"u{i}", x, i) for i, x in enumerate(units)], "url string, wording string, id long")
+    wordings = distinct_wordings(rows)
+    got = propagate(wordings, spark.createDataFrame([(0, "message"), (1, "message")], "id long, label string")).collect()
+    assert {r.id for r in got} == {i for i, x in enumerate(units) if x in known} and len(known) > 100 and all(trusted_label(x) is None for x in known)
+    assert propagate(wordings, spark.createDataFrame([], "id long, label string")).count() == 0
+
+
+def test_failed_pages_teach_their_wording(spark):
+    """Messages of no listed wording: trusted where the crawl saw failures, propagated to the others; real content stays."""
+    pages = [x for k in range(3) for x in site(8, f"host{k}", f"Rated 7 out of 9 by people who shop at Host{k}.", f"Made with care by Host{k} in workshop {k}.")]
+    say = ["Die angeforderte Seite existiert leider nicht mehr, Nummer 12.", "Die angeforderte Seite existiert leider nicht mehr, Nummer 99.", "Die angeforderte Seite existiert leider jetzt nicht mehr, Nummer 3."]
+    long = "<p>" + "Plain words about lamps and rivers in the garden. " * 12 + "</p>"
+    more = [(f"https://host{i}.example/m{i}", f"<title>m</title><div>{NAV}</div><div><h1>M</h1><p>{x}</p></div>") for i, x in enumerate(say)]
+    more += [("https://host0.example/own", f"<div>{NAV}</div><div><p>Only a short note of our own.</p></div>"), ("https://host1.example/real", f"<div>{NAV}</div><div>{long}<p>{say[0]}</p></div>")]
+    status = spark.createDataFrame([(more[0][0], 404), (more[1][0], 404), ("https://host0.example/own", 404), ("https://host1.example/real", 503), (None, 404), (more[2][0], None)], "url string, status int")
+    got = {r.url: (r.reason, r.trusted) for r in residue_pages(cache(spark, pages + more), status).collect()}
+    assert got == {more[0][0]: ("message", True), more[1][0]: ("message", True), more[2][0]: ("message", False)}
+    assert residue_pages(cache(spark, pages + more)).count() == 0
 
 
 def test_residue_outside_blocks_and_in_long_texts(spark):
@@ -233,5 +302,3 @@ def test_residue_outside_blocks_and_in_long_texts(spark):
     }
     got = {r.url: r.reason for r in residue_pages(cache(spark, [*cases.items(), *clean.items()])).collect()}
     assert got == dict.fromkeys(cases, "message") | {"https://c.example/1": "placeholder"}
-    for html in (*cases.values(), *clean.values(), "<div><code>a</code></div><pre>x</pre><td>b"):
-        assert len(page_lines(html)[1]) == len(page_lines(html, code=False)[1])
