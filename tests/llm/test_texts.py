@@ -167,6 +167,30 @@ def corpus(n, seed):
     return out, truth
 
 
+def test_viterbi_of_many_sequences_is_that_of_each():
+    """Against a walk that compares all pairs of states, for sequences of all lengths at once."""
+    move = np.full((E.STATES, E.STATES), E._OTHER)
+    move[0, :], move[:, 0] = E._ENTER, E._LEAVE
+    np.fill_diagonal(move, E._STAY)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 30, 700)
+    steps = rng.normal(-4, 4, (sizes.sum(), E.STATES)).astype(np.float32)
+    steps[:, 0] += 6
+    got = E.viterbi(steps, sizes)
+    at = 0
+    for n in sizes.tolist():
+        best, back = E._START + steps[at] if n else None, []
+        for x in steps[at + 1 : at + n]:
+            reach = best[:, None] + move
+            back.append(reach.argmax(axis=0))
+            best = reach.max(axis=0) + x
+        path = [int(best.argmax())] if n else []
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert got[at : at + n].tolist() == path[::-1]
+        at += n
+
+
 def test_misread_documents(spark):
     docs, truth = corpus(1500, 1)
     lost = [(9001, "Die Gr��e der �berschrift wurde ge�ndert."), (9002, "Die Gr??e der ?berschrift wurde ge?ndert und ver?ffentlicht.")]
