@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.runtime import broadcast_if_small
+from auditloom.runtime import broadcast_if_small, cut_lineage
 
 
 def row_hash(values: Sequence[str]) -> Column:
@@ -90,21 +90,16 @@ def audit_changes(audits: DataFrame, pages: DataFrame, issues: DataFrame) -> Dat
     compared as distinct (``url``, ``code``). A snapshot without rows is an empty one. Null urls and
     codes are values like others; rows without an audit belong to no snapshot.
     """
-    pairs = consecutive_audits(audits)
+    pairs = cut_lineage(consecutive_audits(audits))
     # One audit may hold a third of the rows: where the list of audits is proven small, no row is moved to meet it.
     later = broadcast_if_small(pairs.select("audit_id", F.col("audit_id").alias("at")))
     earlier = broadcast_if_small(pairs.select(F.col("previous_id").alias("audit_id"), F.col("audit_id").alias("at")))
-
-    def snapshot(df: DataFrame, which: DataFrame, columns: Sequence[str]) -> DataFrame:
-        return df.select("audit_id", *columns).join(which, "audit_id").drop("audit_id")
-
-    def page_side(which: DataFrame) -> DataFrame:
-        return latest_versions(
-            snapshot(pages, which, ["id", "url", "title", "status"]), ["at", "url"], "id", ["title", "status"]
-        )
-
-    def issue_side(which: DataFrame) -> DataFrame:
-        return snapshot(issues, which, ["url", "code"]).distinct()
+    used = broadcast_if_small(pairs.select(F.explode(F.array("audit_id", "previous_id")).alias("audit_id")).distinct())
+    # Each table is made distinct once; both roles of an audit are attached to the result of that one exchange.
+    once = latest_versions(pages.select("audit_id", "url", "id", "title", "status").join(used, "audit_id", "left_semi"), ["audit_id", "url"], "id", ["title", "status"])
+    bag = issues.select("audit_id", "url", "code").join(used, "audit_id", "left_semi").distinct()
+    page_side = lambda which: once.join(which, "audit_id").drop("audit_id")
+    issue_side = lambda which: bag.join(which, "audit_id").drop("audit_id")
 
     page_rows = snapshot_changes(page_side(later), page_side(earlier), ["at", "url"], ["title", "status"])
     issue_rows = snapshot_changes(issue_side(later), issue_side(earlier), ["at", "url", "code"])

@@ -92,6 +92,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, share: float = 0.001, least: int = 10_000) -> DataFrame:
+    """``rows`` joined to ``per_key``, which has one row a key, with no key's rows gathered in one task.
+
+    Keys with more than ``share`` of all rows (at most 1 / ``share`` of them) meet by broadcast where their rows
+    lie; only the others are moved.
+    """
+    counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least))
+    total = rows.count() if counts.limit(1).count() else 0
+    heavy = F.broadcast(counts.where(F.col("_n") > total * share).select(key))
+    hot = F.broadcast(per_key.join(heavy, key, "left_semi"))
+    rest = rows.join(heavy, key, "left_anti").join(per_key, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """``df`` over enough tasks for Python work, if its scan makes fewer.
 
