@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.runtime import cut_lineage
+from auditloom.runtime import cut_lineage, join_per_key
 
 #: Pairs that one merging task may hold (about 100 bytes each while it works).
 MAX_TASK_EDGES = 4_000_000
 FAN_IN = 8
-HEAVY_SHARE = 0.001
+#: Salts that are tried until no two addresses share a hash.
+SALTS = 8
 
 _EDGES = "a long, b long"
 
@@ -52,14 +53,15 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b, held = [], [], 0
+    a, b, held, limit = [], [], 0, MAX_TASK_EDGES
     for batch in batches:
         a.append(batch.column(0).to_numpy())
         b.append(batch.column(1).to_numpy())
         held += batch.num_rows
-        if held > MAX_TASK_EDGES:  # shrink to the forest so far
+        if held > limit:  # shrink to the forest so far; the next time at twice its size, so the work stays linear
             x, y = union_find(np.concatenate(a), np.concatenate(b))
             a, b, held = [x], [y], len(x)
+            limit = max(MAX_TASK_EDGES, 2 * held)
     if held:
         x, y = union_find(np.concatenate(a), np.concatenate(b))
         step = 500_000
@@ -72,7 +74,7 @@ def _contract(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        joined = both.join(least, "a")
+        joined = join_per_key(both, least, "a")  # a hub may hold a third of all pairs
         if large:
             moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:  # a > b holds for all pairs
@@ -83,7 +85,7 @@ def _contract(edges: DataFrame) -> DataFrame:
 
     now = cut_lineage(edges.distinct())
     while True:
-        after = cut_lineage(star(star(now, True), False))
+        after = cut_lineage(star(cut_lineage(star(now, True)), False))
         if not after.exceptAll(now).limit(1).count() and not now.exceptAll(after).limit(1).count():
             return after
         now = after
@@ -104,7 +106,7 @@ def connected_components(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES)
         fewer = max(-(-parts // FAN_IN), -(-held // max_task_edges), 1)
         if fewer >= parts:
             break
-        forest = cut_lineage(forest.coalesce(fewer).mapInArrow(_forest, _EDGES))
+        forest = cut_lineage(forest.repartition(fewer).mapInArrow(_forest, _EDGES))  # evenly, whatever the forests' sizes
         parts, held = fewer, forest.count()
     if parts > 1:
         forest = _contract(forest)
@@ -123,17 +125,21 @@ def address_groups(
     smallest id of the group. Rows sharing an id are one record and all their links count; rows without
     id, scope or address are ignored, as are further columns. A record without links that shares its
     address with a linked one belongs to that one's group. No rows or links give no rows. Addresses are
-    compared by 64-bit hashes of scope and address.
+    numbered by a 64-bit hash of scope and address; a second one proves that no two of them share a number,
+    and another salt is drawn should they.
     """
     rows = df.select(
         F.col(id_column).alias("id"), F.col(scope).alias("scope"), F.col(address).alias("address"),
         *[F.col(c).alias(f"l{i}") for i, c in enumerate(links)],
     ).where("id is not null and scope is not null and address is not null")
-    node = lambda c: F.xxhash64("scope", c)
-    edges = None
-    for i in range(len(links)):
-        one = rows.where(F.col(f"l{i}").isNotNull()).select(node("address").alias("a"), node(f"l{i}").alias("b"))
-        edges = one if edges is None else edges.unionByName(one)
+    ends = lambda h: [h("address"), *[F.when(F.col(f"l{i}").isNotNull(), h(f"l{i}")) for i in range(len(links))]]
+    for salt in range(SALTS):
+        node = lambda c: F.xxhash64(F.lit(salt), "scope", c)  # noqa: E731, B023
+        both = rows.select(F.explode(F.arrays_zip(F.array(*ends(node)).alias("a"), F.array(*ends(lambda c: F.xxhash64(F.lit(-1), c, "scope"))).alias("b"))).alias("x"))
+        clash = both.where("x.a is not null").groupBy("x.a").agg(F.min("x.b").alias("p"), F.max("x.b").alias("q")).where("p <> q")
+        if not clash.limit(1).count():
+            break
+    edges = rows.select(node("address").alias("a"), F.explode(F.array(*ends(node)[1:])).alias("b")).where("b is not null")
     parts = cut_lineage(connected_components(edges, max_task_edges))
     records = rows.select("id", node("address").alias("node")).distinct()
     members = cut_lineage(records.join(parts, "node").select("component", "id").distinct())
@@ -141,10 +147,4 @@ def address_groups(
         members.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
     )
     groups = cut_lineage(groups)
-    heavy = F.col("members") > F.lit(max(10_000, int(members.count() * HEAVY_SHARE)))
-    hot = F.broadcast(groups.where(heavy))  # at most 1 / HEAVY_SHARE rows
-    cold = members.join(hot.select("component"), "component", "left_anti").join(groups.where(~heavy), "component")
-    return (
-        members.join(hot, "component").select("group_id", "id", "members")
-        .unionByName(cold.select("group_id", "id", "members"))
-    )
+    return join_per_key(members, groups, "component").select("group_id", "id", "members")
