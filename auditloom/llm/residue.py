@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.components import connected_components
 from auditloom.llm.mainbody import Line, Lines, body_stage
 from auditloom.llm.neardup import mix
-from auditloom.runtime import broadcast_if_small, cut_lineage, spread, stored
+from auditloom.runtime import broadcast_if_small, cut_lineage, stored
 
 #: Similarity of the character runs (of GRAM) and SimHash distance up to which two wordings are near-duplicates.
 SIMILARITY, GRAM, DISTANCE = 0.8, 5, 15
@@ -96,7 +97,8 @@ _QUOTED = re.compile(r"“[^”]{0,200}”|„[^“”]{0,200}[“”]|«[^»]{0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s+(?=#\d+\s)")
 _TRACE = re.compile(r"^#?\d+\s+\S|^at [\w.$<>]+\(|\bon line \d+|^file \"[^\"]+\", line \d+")
 _PART = re.compile(r"\s+[|–—»·-]\s+")
-_NUMBER = re.compile(r"\b\w*\d\w*\b")
+_NUMBER = re.compile(r"\w*\d\w*")
+_LISTED = re.compile("|".join(_FILLER + _MESSAGES))
 
 
 def unit_wording(text: str) -> str:
@@ -104,32 +106,39 @@ def unit_wording(text: str) -> str:
     return " ".join(_NUMBER.sub("0", text).lower().split())
 
 
+@lru_cache(50_000)
+def _unit(text: str) -> tuple[bool, str]:
+    return has_placeholder(text), unit_wording(text)
+
+
 def grams(text: str) -> set[str]:
     """Character runs of a wording (the whole of a shorter one)."""
     return {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
 
 
-def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit SimHash over the distinct character runs of each text, and their number; texts are at least one character long."""
-    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
-    sizes = np.array([max(1, len(c) - GRAM + 1) for c in codes])
-    flat = np.concatenate([np.pad(c, (0, max(0, GRAM - len(c)))) for c in codes]).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum([max(len(c), GRAM) for c in codes])[:-1]])
-    at = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(GRAM):
-            h = h * np.uint64(0x100000001B3) + flat[at + k]
-    h = mix(h)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    once = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-    h, owner = h[once], owner[once]
-    count = np.bincount(owner, minlength=len(texts))
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > count[:, None], axis=1).view(np.int64).ravel(), count
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHash over the character runs of each text (of one zero for an empty one)."""
+    out = np.zeros((len(texts), 64), bool)
+    at = 0
+    while at < len(texts):  # some hundred thousand characters at a time
+        part, held = [], 0
+        while at + len(part) < len(texts) and (not part or held < 300_000):
+            part.append(np.frombuffer((texts[at + len(part)] or "\0").encode("utf-32-le", "surrogatepass"), np.uint32))
+            held += len(part[-1])
+        flat = np.concatenate([*part, np.zeros(GRAM, np.uint32)]).astype(np.uint64)
+        h = np.zeros(held, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(GRAM):
+                h = h * np.uint64(0x100000001B3) + flat[k : k + held]
+        octets = mix(h).view(np.uint8).reshape(-1, 8)
+        start = 0
+        for i, c in enumerate(part, at):
+            runs = max(1, len(c) - GRAM + 1)
+            ones = sum(np.unpackbits(octets[j : min(j + 65_536, start + runs)], axis=1).sum(axis=0, dtype=np.int64) for j in range(start, start + runs, 65_536))
+            out[i] = ones * 2 > runs
+            start += len(c)
+        at += len(part)
+    return np.packbits(out, axis=1).view(np.int64).ravel()
 
 
 def trusted_label(wording: str) -> str | None:
@@ -138,6 +147,10 @@ def trusted_label(wording: str) -> str | None:
     One word that makes up most of five or more is filler. A long unit is a message if its first sentence
     is and message sentences (or calls of a stack trace) hold at least ``MESSAGE_SHARE`` of it.
     """
+    words = wording.split()
+    same = len(words) >= 5 and len(set(words)) <= 0.2 * len(words) + 1
+    if not same and not _LISTED.search(wording):
+        return None
     bare = _QUOTED.sub(" ", wording)
     words = bare.split()
     if FILLER.search(bare) or (len(words) >= 5 and len(set(words)) <= 0.2 * len(words) + 1 and Counter(w.strip(".,;:!?") for w in words).most_common(1)[0][1] >= 0.8 * len(words)):
@@ -158,16 +171,17 @@ def has_placeholder(text: str) -> bool:
 
 _HEADING, _PLACEHOLDER, _TITLE = 1, 2, 4
 _MORE = [("mark", "int", pa.int32()), ("chars", "int", pa.int32()), ("words", "string", pa.string()), ("top_mark", "int", pa.int32()), ("top", "string", pa.string())]
-_UNITS = "url string, mark int, chars int, thin boolean, wording string, id long"
+_UNITS = "url string, mark int, chars int, thin boolean, wording string, id long, sim long, seed int"
+_LABELS = [None, "filler", "message"]
 
 
 def _marked(title: str, lines: list[Line]) -> list[list]:
     """The columns of ``_MORE`` of one page: its lines as units, then its title and the parts of it."""
     tops = [x for x in dict.fromkeys([title, *_PART.split(title)]) if x]
+    units, heads = [_unit(x.bare) for x in lines], [_unit(x) for x in tops]
     return [
-        [_HEADING * (x.tag[0] == "h" and x.no > 0) + _PLACEHOLDER * has_placeholder(x.bare) for x in lines],
-        [len(x.bare) for x in lines], [unit_wording(x.bare) for x in lines],
-        [_TITLE + _PLACEHOLDER * has_placeholder(x) for x in tops], [unit_wording(x) for x in tops],
+        [_HEADING * (x.tag[0] == "h" and x.no > 0) + _PLACEHOLDER * u[0] for x, u in zip(lines, units, strict=True)], [len(x.bare) for x in lines], [u[1] for u in units],
+        [_TITLE + _PLACEHOLDER * u[0] for u in heads], [u[1] for u in heads],
     ]
 
 
@@ -179,11 +193,15 @@ def _units_of(lines: Lines, inside: np.ndarray) -> pa.RecordBatch:
     tops = np.diff(lines.batch.column("top").offsets.to_numpy())
     page = np.concatenate([lines.page[keep], np.repeat(np.arange(lines.batch.num_rows), tops)])
     words = lines.flat("words")[keep].tolist() + lines.flat("top").tolist()
-    ids = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words]
+    each = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at = np.array([each[w] for w in words], np.int64)
+    ids = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in each], np.int64)
+    seed = np.array([_LABELS.index(trusted_label(w)) for w in each], np.int32)
     return pa.RecordBatch.from_arrays(
         [lines.urls.take(pa.array(page)), pa.array(np.concatenate([mark[keep], lines.flat("top_mark")]).astype(np.int32)),
-         pa.array(np.concatenate([chars[keep], np.zeros(tops.sum(), np.int64)]).astype(np.int32)), pa.array(thin[page]), pa.array(words, pa.string()), pa.array(ids, pa.int64())],
-        ["url", "mark", "chars", "thin", "wording", "id"],
+         pa.array(np.concatenate([chars[keep], np.zeros(tops.sum(), np.int64)]).astype(np.int32)), pa.array(thin[page]), pa.array(words, pa.string()),
+         pa.array(ids[at]), pa.array(simhashes(list(each))[at]), pa.array(seed[at])],
+        ["url", "mark", "chars", "thin", "wording", "id", "sim", "seed"],
     )
 
 
@@ -196,65 +214,49 @@ def page_units(cache: DataFrame) -> DataFrame:
     return body_stage(cache, _units_of, _UNITS, [n for n, _, _ in _MORE], _MORE, _marked)
 
 
-def distinct_wordings(units: DataFrame) -> DataFrame:
-    """``(id, wording, repeated, size, sim, seed)``: each wording once, whether pages share it, its character runs, SimHash and label by the short list."""
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                texts = part.column(1).to_pylist()
-                sim, size = simhashes(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(size.astype(np.int32)), pa.array(sim), pa.array([trusted_label(x) for x in texts], pa.string())],
-                    ["id", "wording", "repeated", "size", "sim", "seed"],
-                )
-
-    once = units.where("wording <> ''").groupBy("id").agg(F.first("wording").alias("wording"), (F.min("url") != F.max("url")).alias("repeated"))
-    return spread(once).mapInArrow(told, "id long, wording string, repeated boolean, size int, sim long, seed string")
-
-
-def filler_words(wordings: DataFrame) -> list[str]:
+def filler_words(units: DataFrame) -> list[str]:
     """Words that stand in at least a tenth of the wordings that open as filler Latin: at most ten times their mean length."""
-    latin = wordings.where("seed = 'filler' and wording like 'lorem ipsum%'").select("wording")
+    latin = units.where("seed = 1 and wording like 'lorem ipsum%'").select("wording").distinct()
     n = latin.count()
     words = latin.select(F.explode(F.array_distinct(F.split("wording", r"[^\p{L}]+"))).alias("word")).where("length(word) > 2")
     return [r.word for r in words.groupBy("word").count().where(F.col("count") >= max(3.0, n / 10)).collect()]
 
 
-def learnt_filler(wordings: DataFrame) -> DataFrame:
+def learnt_filler(units: DataFrame) -> DataFrame:
     """``(id, label)`` of wordings of eight words or more of which four fifths are filler words.
 
     The words are learnt from all wordings that open as filler Latin; without enough of them none is found.
     """
-    known = filler_words(wordings)
+    known = filler_words(units)
     if not known:
-        return wordings.where("false").select("id", F.lit("filler").alias("label"))
+        return units.where("false").select("id", F.lit("filler").alias("label"))
     words = F.filter(F.split("wording", r"[^\p{L}]+"), lambda w: w != "")
-    told = wordings.where(F.col("wording").rlike("|".join(known))).select("id", words.alias("w"))
-    return told.where((F.size("w") >= 8) & (F.size(F.filter("w", lambda w: w.isin(known))) >= F.size("w") * 0.8)).select("id", F.lit("filler").alias("label"))
+    told = units.where((F.col("seed") == 0) & F.col("wording").rlike("|".join(known))).select("id", words.alias("w"))
+    told = told.where((F.size("w") >= 8) & (F.size(F.filter("w", lambda w: w.isin(known))) >= F.size("w") * 0.8))
+    return told.select("id").distinct().withColumn("label", F.lit("filler"))
 
 
 def _flips() -> list[int]:
     return [sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(BITS), k)]
 
 
-def near_links(wordings: DataFrame, frontier: DataFrame, but: DataFrame) -> DataFrame:
-    """``(id, of)``: wordings near to one of ``frontier`` (id), those of ``but`` (id) left out.
+def near_links(units: DataFrame, wordings: DataFrame, frontier: DataFrame, but: DataFrame) -> DataFrame:
+    """``(id, of)``: wordings near to one of ``frontier`` (id, sim), those of ``but`` (id) left out.
 
     Every pair within ``DISTANCE`` bits agrees in one of the tables but for at most ``FLIPS`` bits, so
-    the flipped keys of the frontier meet the plain keys of all others. Then distance, sizes and the
+    the flipped keys of the frontier meet the plain keys of all others. Then the distance and the
     similarity of the texts themselves are verified.
     """
     table = lambda t: F.shiftrightunsigned(F.col("sim"), t * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(F.lit(t << BITS)).cast("int")
     own = F.array(*[table(t) for t in range(TABLES)])
-    probes = frontier.select(F.col("id").alias("of"), "label", F.col("sim").alias("osim"), F.col("size").alias("osize"), F.explode(own).alias("k0"))
-    probes = probes.select("of", "osim", "osize", F.explode(F.transform(F.lit(_flips()), lambda m: F.col("k0").bitwiseXOR(m))).alias("k"))
-    plain = wordings.join(broadcast_if_small(but.select("id")), "id", "left_anti").select("id", "sim", "size", F.explode(own).alias("k"))
+    probes = frontier.select(F.col("id").alias("of"), F.col("sim").alias("osim"), F.explode(own).alias("k0"))
+    probes = probes.select("of", "osim", F.explode(F.transform(F.lit(_flips()), lambda m: F.col("k0").bitwiseXOR(m))).alias("k"))
+    plain = wordings.join(broadcast_if_small(but.select("id")), "id", "left_anti").select("id", "sim", F.explode(own).alias("k"))
     near = F.bit_count(F.col("sim").bitwiseXOR(F.col("osim"))) <= DISTANCE
-    fits = F.least("size", "osize") >= F.greatest("size", "osize") * F.lit(SIMILARITY - 1e-9)
-    pairs = cut_lineage(plain.join(probes, "k").where(near & fits).select("id", "of").distinct())
-    texts = wordings.select("id", "wording")
-    both = texts.join(broadcast_if_small(pairs), "id").join(broadcast_if_small(frontier.select(F.col("id").alias("of"), F.col("wording").alias("like"))), "of")
+    pairs = cut_lineage(plain.join(probes, "k").where(near).select("id", "of").distinct())
+    used = pairs.select(F.explode(F.array("id", "of")).alias("id")).distinct()
+    texts = cut_lineage(units.select("id", "wording").join(broadcast_if_small(used), "id", "left_semi").dropDuplicates(["id"]))
+    both = broadcast_if_small(pairs).join(texts, "id").join(broadcast_if_small(texts.select(F.col("id").alias("of"), F.col("wording").alias("like")), 20_000), "of")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,18 +271,18 @@ def near_links(wordings: DataFrame, frontier: DataFrame, but: DataFrame) -> Data
     return both.select("id", "of", "wording", "like").mapInArrow(verify, "id long, of long")
 
 
-def propagate(wordings: DataFrame, trusted: DataFrame) -> DataFrame:
+def propagate(units: DataFrame, wordings: DataFrame, trusted: DataFrame) -> DataFrame:
     """``(id, label)`` of every wording in a connected component of near-duplicates with a trusted one.
 
-    ``wordings`` as of ``distinct_wordings``; ``trusted``: id, label, one row an id. If a component holds
-    several labels, the greatest (``message``) is given.
+    ``units``: id, wording; ``wordings``: id, sim, one row an id; ``trusted``: id, label, one row an id. If
+    a component holds several labels, the greatest (``message``) is given.
     """
-    frontier = cut_lineage(wordings.select("id", "wording", "size", "sim").join(broadcast_if_small(trusted), "id"))
+    frontier = cut_lineage(wordings.select("id", "sim").join(broadcast_if_small(trusted.select("id")), "id", "left_semi"))
     reached, links = frontier.select("id"), None
     while frontier.limit(1).count():
-        found = cut_lineage(near_links(wordings, frontier, reached))
+        found = cut_lineage(near_links(units, wordings, frontier, reached))
         links = found if links is None else links.unionByName(found)
-        frontier = cut_lineage(wordings.select("id", "wording", "size", "sim").join(broadcast_if_small(found.select("id").distinct()), "id").withColumn("label", F.lit(None).cast("string")))
+        frontier = cut_lineage(wordings.select("id", "sim").join(broadcast_if_small(found.select("id").distinct()), "id", "left_semi"))
         reached = reached.unionByName(frontier.select("id"))
     if links is None:
         return trusted
@@ -300,17 +302,18 @@ def residue_pages(cache: DataFrame, statuses: DataFrame | None = None) -> DataFr
     the same. Pages without text and empty tables give no rows; texts are read whole.
     """
     units = stored(page_units(cache))
-    wordings = stored(distinct_wordings(units))
-    failed = None
+    where = F.xxhash64("url")
+    wordings = stored(units.where("wording <> ''").groupBy("id").agg(F.max("sim").alias("sim"), F.max("seed").alias("seed"), (F.min(where) != F.max(where)).alias("repeated")))
+    listed = wordings.where("seed > 0").select("id", F.when(F.col("seed") == 2, "message").otherwise("filler").alias("label"))
+    own = cut_lineage(listed.unionByName(learnt_filler(units)))
+    failed, trusted = None, own
     if statuses is not None:
         failed = cut_lineage(statuses.where("url is not null and status >= 400").select("url").distinct())
         alone = units.where(f"thin and mark & {_HEADING + _TITLE} = 0 and wording <> ''").join(broadcast_if_small(failed), "url", "left_semi").select("id").distinct()
         alone = wordings.where("repeated").select("id").join(broadcast_if_small(alone), "id", "left_semi").withColumn("label", F.lit("message"))
-    trusted = wordings.where("seed is not null").select("id", F.col("seed").alias("label")).unionByName(learnt_filler(wordings))
-    own = cut_lineage(trusted.groupBy("id").agg(F.max("label").alias("label")))
-    trusted = own if failed is None else cut_lineage(own.unionByName(alone).groupBy("id").agg(F.max("label").alias("label")))
-    labels = cut_lineage(propagate(wordings, trusted))
-    labelled = units.select("url", "mark", "chars", "thin", "id").join(broadcast_if_small(labels), "id", "left").join(broadcast_if_small(own.select("id", F.lit(True).alias("own"))), "id", "left")
+        trusted = cut_lineage(own.unionByName(alone).groupBy("id").agg(F.max("label").alias("label")))
+    labels = propagate(units, wordings, trusted).join(own.select("id", F.lit(True).alias("own")), "id", "left")
+    labelled = units.select("url", "mark", "chars", "thin", "id").join(broadcast_if_small(cut_lineage(labels)), "id", "left")
     bit = lambda b: F.col("mark").bitwiseAND(b) != 0
     page = labelled.groupBy("url").agg(
         F.max(bit(_PLACEHOLDER)).alias("placeholder"), F.max(F.col("label").eqNullSafe("filler")).alias("filler"), F.max(F.col("label").eqNullSafe("message")).alias("message"),

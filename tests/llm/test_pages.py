@@ -10,7 +10,7 @@ from auditloom.llm.html import page_html, visible_words
 from auditloom.llm import mainbody
 from auditloom.llm.mainbody import body_spans, main_blocks, page_lines
 from auditloom.llm.neardup import Scheme, allocate, page_classes, page_pairs, word_runs
-from auditloom.llm.residue import distinct_wordings, grams, has_placeholder, propagate, residue_pages, simhashes, trusted_label, unit_wording
+from auditloom.llm.residue import grams, has_placeholder, propagate, residue_pages, simhashes, trusted_label, unit_wording
 
 T = dt.datetime(2025, 1, 1)
 KIND = "url string, html_blob binary, analysed_at timestamp, sid string, host string, reason string"
@@ -219,8 +219,8 @@ def test_residue_units():
     assert trusted_label("you need to enable javascript to run this app.") == "message" and trusted_label("a short history of dummy text") is None
     assert trusted_label("a good “page not found” message is short.") is None
     texts = [unit_wording(x) for x in ("Request 12 failed", "Request 99 failed", "x", "a b " * 500, "Request 99 failed")]
-    sim, size = simhashes(texts)
-    assert sim[0] == sim[1] == sim[4] and size.tolist() == [len(grams(x)) for x in texts]
+    sim = simhashes([*texts, ""])
+    assert sim[0] == sim[1] == sim[4] and [simhashes([x])[0] for x in texts] == sim[:5].tolist()
 
 
 def test_residue_pages(spark):
@@ -257,7 +257,7 @@ def test_propagation_finds_all_links_of_its_definition(spark):
         words[rng.randrange(len(words))] = "".join(rng.choices("abcdefgh", k=rng.choice([2, 4, 7])))
         units.append(" ".join(words))
     units = list(dict.fromkeys(units))
-    sims = dict(zip(units, simhashes(units)[0].tolist(), strict=True))
+    sims = dict(zip(units, simhashes(units).tolist(), strict=True))
     near = {a: [b for b in units if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))] for a in units}
     close = {a: [b for b in near[a] if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 15] for a in units}
     pairs, kept = sum(map(len, near.values())) - len(units), sum(map(len, close.values())) - len(units)
@@ -266,11 +266,10 @@ def test_propagation_finds_all_links_of_its_definition(spark):
     while ring:
         ring = [w for w in dict.fromkeys(x for r in ring for x in close[r]) if w not in known]
         known |= set(ring)
-    rows = spark.createDataFrame([(f"u{i}", x, i) for i, x in enumerate(units)], "url string, wording string, id long")
-    wordings = distinct_wordings(rows)
-    got = propagate(wordings, spark.createDataFrame([(0, "message"), (1, "message")], "id long, label string")).collect()
+    rows = spark.createDataFrame([(i, x, sims[x]) for i, x in enumerate(units)], "id long, wording string, sim long")
+    got = propagate(rows, rows, spark.createDataFrame([(0, "message"), (1, "message")], "id long, label string")).collect()
     assert {r.id for r in got} == {i for i, x in enumerate(units) if x in known} and len(known) > 100 and all(trusted_label(x) is None for x in known)
-    assert propagate(wordings, spark.createDataFrame([], "id long, label string")).count() == 0
+    assert propagate(rows, rows, spark.createDataFrame([], "id long, label string")).count() == 0
 
 
 def test_failed_pages_teach_their_wording(spark):
