@@ -117,13 +117,13 @@ def grams(text: str) -> set[str]:
 
 
 def simhashes(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash over the character runs of each text (of one zero for an empty one)."""
+    """64-bit SimHash over the character runs of each text (a shorter one is filled up to one run)."""
     out = np.zeros((len(texts), 64), bool)
     at = 0
     while at < len(texts):  # some hundred thousand characters at a time
         part, held = [], 0
         while at + len(part) < len(texts) and (not part or held < 300_000):
-            part.append(np.frombuffer((texts[at + len(part)] or "\0").encode("utf-32-le", "surrogatepass"), np.uint32))
+            part.append(np.frombuffer(texts[at + len(part)].ljust(GRAM, "\0").encode("utf-32-le", "surrogatepass"), np.uint32))
             held += len(part[-1])
         flat = np.concatenate([*part, np.zeros(GRAM, np.uint32)]).astype(np.uint64)
         h = np.zeros(held, np.uint64)
@@ -133,7 +133,7 @@ def simhashes(texts: list[str]) -> np.ndarray:
         octets = mix(h).view(np.uint8).reshape(-1, 8)
         start = 0
         for i, c in enumerate(part, at):
-            runs = max(1, len(c) - GRAM + 1)
+            runs = len(c) - GRAM + 1
             ones = sum(np.unpackbits(octets[j : min(j + 65_536, start + runs)], axis=1).sum(axis=0, dtype=np.int64) for j in range(start, start + runs, 65_536))
             out[i] = ones * 2 > runs
             start += len(c)
