@@ -5,11 +5,17 @@ Inputs are landed tables; fetching them is not part of the library.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditloom.functions import urls as U
-from auditloom.functions.texts import STOP_WORDS, stem
+from auditloom.functions.texts import stem
+from auditloom.operators.checks import explode_issues, gather, issue
 from auditloom.runtime import broadcast_if_small
 
 # ------------------------------------------------------------------ rank tracking
@@ -54,7 +60,7 @@ def rank_alerts(checks: DataFrame, drop_threshold: int = 3, top10: bool = True,
     kinds = [
         F.when(old.isNotNull() & new.isNull(), "lost"),
         F.when(new - old >= drop_threshold, "drop"),
-        F.when(F.lit(top10) & (old <= 10) & (new > 10), "left_top10"),
+        F.when(F.lit(top10) & (old <= 10) & (new.isNull() | (new > 10)), "left_top10"),
     ]
     if gain_threshold is not None:
         kinds.append(F.when(old - new >= gain_threshold, "gain"))
@@ -176,18 +182,17 @@ def merge_daily(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFra
 
 
 def index_issues(inspections: DataFrame) -> DataFrame:
-    """Pages that aren't indexed (not by their own noindex) and canonical mismatches.
+    """``(url, severity, code, message)``: pages that aren't indexed (not by their own noindex) and canonical mismatches.
 
-    ``inspections``: url, verdict, google_canonical, user_canonical, robots (header and meta text).
+    ``inspections``: url, verdict, coverage (may be null), google_canonical, user_canonical, robots (header and meta text).
     """
-    robots = F.lower(F.coalesce("robots", F.lit("")))
-    absent = F.col("verdict").isin("FAIL", "NEUTRAL") & ~robots.contains("noindex")
-    other = (F.col("google_canonical") != "") & (F.col("user_canonical") != "") & (U.normalize_url(F.col("google_canonical")) != U.normalize_url(F.col("user_canonical")))
-    kinds = F.array_compact(F.array(
-        F.when(absent, F.struct(F.lit("warning").alias("severity"), F.lit("GSC_NOT_INDEXED").alias("code"))),
-        F.when(other, F.struct(F.lit("info").alias("severity"), F.lit("GSC_CANONICAL_MISMATCH").alias("code"))),
+    c = F.col
+    meant = F.lower(F.coalesce("robots", F.lit(""))).contains("noindex")
+    other = (c("google_canonical") != "") & (c("user_canonical") != "") & (U.normalize_url(c("google_canonical")) != U.normalize_url(c("user_canonical")))
+    return explode_issues(inspections, ["url"], gather(
+        issue(c("verdict").isin("FAIL", "NEUTRAL") & ~meant, "warning", "GSC_NOT_INDEXED", F.concat(F.lit("Not indexed by Google: "), F.coalesce(F.nullif("coverage", F.lit("")), "verdict"))),
+        issue(other, "info", "GSC_CANONICAL_MISMATCH", F.concat(F.lit("Google chose "), c("google_canonical"), F.lit(" over your canonical "), c("user_canonical"))),
     ))
-    return inspections.select("url", F.explode(kinds).alias("i")).select("url", "i.*")
 
 
 # ------------------------------------------------------------------ backlinks
@@ -204,6 +209,13 @@ def broken_backlinks(links: DataFrame, pages: DataFrame) -> DataFrame:
     return bad.join(hosts, "k").select("url", "status", "links", "hosts")
 
 
+def backlink_issues(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(url, severity, code, message)`` for each row of ``broken_backlinks``."""
+    count = lambda n, word: F.concat(n.cast("string"), F.lit(" " + word), F.when(n == 1, "").otherwise("s"))
+    text = F.concat(count(F.col("links"), "backlink"), F.lit(" from "), count(F.col("hosts"), "domain"), F.lit(" point to this broken page. Redirect it to keep their value."))
+    return explode_issues(broken_backlinks(links, pages), ["url"], gather(issue(F.lit(True), "warning", "BACKLINK_TO_BROKEN_PAGE", text)))
+
+
 def new_history(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """Fetched months that aren't stored yet."""
     return fetched.join(stored.select("project_id", "period"), ["project_id", "period"], "left_anti")
@@ -212,22 +224,63 @@ def new_history(stored: DataFrame, fetched: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ brand mentions
 
 
+#: Brands and terms that one call searches for; more raise an error.
+MOST_BRANDS = 10_000
+
+
+def brand_terms(brands: DataFrame) -> DataFrame:
+    """``(owner, ord, term)`` of brands (owner, ord, terms, and optionally domain): trimmed terms, the domain with and without ``www.``."""
+    own = F.filter("terms", lambda t: F.trim(t) != "")
+    if "domain" in brands.columns:
+        has = F.coalesce("domain", F.lit("")) != ""
+        own = F.concat(F.coalesce(own, F.expr("cast(array() as array<string>)")), F.when(has, F.array(F.col("domain"), F.concat(F.lit("www."), "domain"))).otherwise(F.expr("cast(array() as array<string>)")))
+    return brands.select("owner", "ord", F.explode(F.array_distinct(F.transform(own, lambda t: F.trim(t)))).alias("term"))
+
+
 def brand_mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
     """``(answer_id, owner, first_index, mentions, rank)``: owners named in each answer, ranked by first mention.
 
-    ``answers``: answer_id, text; ``brands``: owner, ord, terms (array). Terms match whole words whatever
+    ``answers``: answer_id, text; ``brands``: owner, ord, terms (array), optionally domain. Terms match whole words whatever
     the case (hyphens belong to words); of overlapping terms the longest counts. Ties keep brand order.
     """
-    esc = lambda t: F.regexp_replace(t, r"([\\\[\](){}.*+?^$|\-])", r"\\$1")
-    terms = F.array_sort(F.filter("terms", lambda t: F.trim(t) != ""), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    b = brands.select("owner", "ord", F.concat(F.lit(r"(?iU)(?<![\w-])(?:"), F.array_join(F.transform(terms, esc), "|"), F.lit(r")(?![\w-])")).alias("pattern"), F.size(terms).alias("n")).where("n > 0")
-    listed = b.agg(F.collect_list(F.struct("owner", "ord", "pattern")).alias("brands"))  # a handful of brands, carried on every answer
-    met = answers.where("text is not null").join(F.broadcast(listed)).select("answer_id", "text", F.explode("brands").alias("b"))
+    escaped = F.regexp_replace("term", r"([\\\[\](){}.*+?^$|\-])", r"\\$1")
+    each = brand_terms(brands).groupBy("owner", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), escaped.alias("t")))), lambda x: x["t"]), "|").alias("alternatives"))
+    listed = [(r.owner, r.ord, rf"(?iU)(?<![\w-])(?:{r.alternatives})(?![\w-])") for r in each.orderBy("ord").limit(MOST_BRANDS + 1).collect()]
+    if len(listed) > MOST_BRANDS:
+        raise ValueError(f"more than {MOST_BRANDS} brands")
+    # Every answer is searched for every brand of the stated list, which goes along as a constant.
+    brand = F.array(*[F.struct(F.lit(o).alias("owner"), F.lit(n).alias("ord"), F.lit(p).alias("pattern")) for o, n, p in listed])
+    met = answers.where("text is not null").select("answer_id", "text", F.explode(brand if listed else F.expr("cast(array() as array<struct<owner:string,ord:int,pattern:string>>)")).alias("b"))
     found = met.select("answer_id", "b.owner", "b.ord", F.expr("regexp_instr(text, b.pattern)").alias("first_index"), F.expr("regexp_count(text, b.pattern)").alias("mentions")).where("first_index > 0")
     order = Window.partitionBy("answer_id").orderBy("first_index", "ord")
     return found.withColumn("rank", F.row_number().over(order)).select("answer_id", "owner", "first_index", "mentions", "rank")
 
 
+def highlights(answers: DataFrame, brands: DataFrame) -> DataFrame:
+    """``(answer_id, n, start, stop, owner)``: marks of all brands in each answer that don't overlap, from the left; offsets from 0, the end left out."""
+    spec = StructType([*[answers.schema[c] for c in ("answer_id",)], *StructType.fromDDL("n int, start int, stop int, owner string").fields])
+    listed = [(r.owner, r.ord, r.term) for r in brand_terms(brands).orderBy("ord", F.desc(F.length("term")), "term").limit(MOST_BRANDS + 1).collect()]
+    if len(listed) > MOST_BRANDS:
+        raise ValueError(f"more than {MOST_BRANDS} terms")
+    order = {o: k for k, (o, _) in enumerate(sorted({(o, n) for o, n, _ in listed}, key=lambda x: x[1]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = [(o, re.compile(r"(?<![\w-])" + re.escape(t) + r"(?![\w-])", re.I)) for o, _, t in listed]
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                marks = sorted({(m.start(), -m.end(), order[o], o) for o, form in forms for m in form.finditer(text or "")})
+                upto = n = 0
+                for start, stop, _, owner in marks:
+                    if start >= upto:
+                        n, upto = n + 1, -stop
+                        out.append((i, n, start, upto, owner))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.string())], ["answer_id", "n", "start", "stop", "owner"])
+
+    return answers.select("answer_id", "text").mapInArrow(run, spec)
+
+
 def mention_rates(answers: DataFrame, mentions: DataFrame, me: str) -> DataFrame:
     """Per run, and per run and provider (null: all): answers, mention rate, cited rate (3 decimals), mean rank (2).
 
@@ -249,15 +302,43 @@ def share_of_voice(mentions: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).select("owner", "answers", F.round(F.col("answers") / F.col("total"), 3).alias("share"))
 
 
-def cited_domains(citations: DataFrame, redirects: tuple[str, ...] = (), top: int = 10) -> DataFrame:
-    """The domains cited in most answers; a link through a redirect host counts for the domain in its title.
+# Hosts (with all below them) and a part of addresses that only lead on to a source.
+REDIRECT_HOSTS = ("vertexaisearch.cloud.google.com", "googleusercontent.com")
+REDIRECT_PART = "grounding-api-redirect"
+
+
+def citation_domain(url: Column, title: Column) -> Column:
+    """The domain a citation counts for: its host, or behind a redirect the domain that is its title; else null."""
+    host = U.hostname(url)
+    leads_on = url.contains(REDIRECT_PART)
+    for h in REDIRECT_HOSTS:
+        leads_on = leads_on | (host == h) | host.endswith("." + h)
+    named = F.lower(F.trim(title))
+    own = F.when(leads_on, F.when(named.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), named)).otherwise(host)
+    return F.nullif(F.regexp_replace(own, r"^www\.", ""), F.lit(""))
+
 
-    ``citations``: answer_id, url, title.
+def answer_citations(citations: DataFrame, most: int = 20) -> DataFrame:
+    """``(answer_id, ord, domain)``: the domains of each answer once each, by first appearance, the first ``most``.
+
+    ``citations``: answer_id, ord, url, title.
     """
-    host = U.domain_of(F.col("url"))
-    title = F.lower(F.trim("title"))
-    named = F.when(host.isin(list(redirects)) & title.rlike(r"^[\w-]+(\.[\w-]+)+$"), F.regexp_replace(title, r"^www\.", "")).otherwise(host) if redirects else host
-    return citations.select("answer_id", named.alias("domain")).where("domain <> ''").distinct().groupBy("domain").agg(F.count("*").alias("answers")).orderBy(F.desc("answers"), "domain").limit(top)
+    each = citations.select("answer_id", "ord", citation_domain(F.col("url"), F.col("title")).alias("domain")).where("domain is not null")
+    first = each.groupBy("answer_id", "domain").agg(F.min("ord").alias("o"))
+    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy("o", "domain"))
+    return first.withColumn("ord", rank).where(F.col("ord") <= most).select("answer_id", "ord", "domain")
+
+
+def own_citation(citations: DataFrame, domain: str) -> DataFrame:
+    """``(answer_id, cited)`` of all answers with citations: whether one is of ``domain`` or below it."""
+    d = citation_domain(F.col("url"), F.col("title"))
+    return citations.groupBy("answer_id").agg(F.max(F.coalesce((d == domain) | d.endswith("." + domain), F.lit(False))).alias("cited"))
+
+
+def cited_domains(citations: DataFrame, top: int = 10) -> DataFrame:
+    """The domains cited in most answers, a report of ``top`` rows; ``citations``: answer_id, url, title."""
+    each = citations.select("answer_id", citation_domain(F.col("url"), F.col("title")).alias("domain")).where("domain is not null").distinct()
+    return each.groupBy("domain").agg(F.count("*").alias("answers")).orderBy(F.desc("answers"), "domain").limit(top)
 
 
 # ------------------------------------------------------------------ vitals, rendering, accessibility
@@ -272,75 +353,109 @@ def rate_metric(value: Column, good: float, poor: float) -> Column:
     return F.when(value <= good, 0).when(value <= poor, 1).when(value > poor, 2)
 
 
+def _shown(metric: str, value: Column) -> Column:
+    if metric == "cls":
+        return F.format_string("%.2f", value)
+    return F.format_string("%.1f s", value / 1000) if metric == "lcp" else F.concat(F.bround(value).cast("long").cast("string"), F.lit(" ms"))
+
+
 def vitals_ratings(vitals: DataFrame) -> DataFrame:
     """``(url, rating, issues)``: the worst of the rated metrics and one issue for each that isn't good.
 
     ``vitals``: url, data_kind (field or lab), lcp, inp, cls, tbt. Field data rate lcp, inp, cls; lab data lcp, tbt, cls.
     """
-    marks = {m: F.when(F.col("data_kind") == "field", m in RATED["field"]).otherwise(m in RATED["lab"]) for m in VITALS}
-    rated = {m: F.when(marks[m], rate_metric(F.col(m), *VITALS[m])) for m in VITALS}
+    rated = {
+        m: F.when(F.when(F.col("data_kind") == "field", m in RATED["field"]).otherwise(m in RATED["lab"]), rate_metric(F.col(m), *VITALS[m])) for m in VITALS
+    }
     worst = F.array_max(F.array(*rated.values()))
-    issues = F.array_compact(F.array(*[
-        F.when(r == 2, F.struct(F.lit("warning").alias("severity"), F.lit(f"CWV_{m.upper()}_POOR").alias("code")))
-        .when(r == 1, F.struct(F.lit("info").alias("severity"), F.lit(f"CWV_{m.upper()}_NEEDS_IMPROVEMENT").alias("code"))) for m, r in rated.items()
-    ]))
+    said = lambda m, word, limit: F.concat(F.lit(m.upper() + " "), _shown(m, F.col(m)), F.lit(" ("), "data_kind", F.lit(f") — {word}, over "), _shown(m, F.lit(limit)))
+    issues = gather(*[
+        F.coalesce(issue(rated[m] == 2, "warning", f"CWV_{m.upper()}_POOR", said(m, "poor", VITALS[m][1])), issue(rated[m] == 1, "info", f"CWV_{m.upper()}_NEEDS_IMPROVEMENT", said(m, "needs improvement", VITALS[m][0])))
+        for m in ("lcp", "inp", "tbt", "cls")
+    ])
     return vitals.select("url", F.when(worst == 0, "good").when(worst == 1, "needs_improvement").when(worst == 2, "poor").alias("rating"), issues.alias("issues"))
 
 
-def render_comparison(raw: DataFrame, rendered: DataFrame, fields: tuple[str, ...] = ("title", "meta_description", "h1", "canonical", "meta_robots"), most: int = 50) -> DataFrame:
-    """``(url, changes, js_only_links, raw_words, rendered_words, issues)`` of pages before and after scripts ran.
+# Fields compared before and after scripts, in the order of their issues, with severity, code and name.
+COMPARED = {
+    "title": ("warning", "JS_TITLE_CHANGED", "Title"),
+    "meta_description": ("info", "JS_META_DESCRIPTION_CHANGED", "Meta description"),
+    "canonical": ("warning", "JS_CANONICAL_CHANGED", "Canonical"),
+    "meta_robots": ("warning", "JS_ROBOTS_CHANGED", "Meta robots"),
+    "h1": ("info", "JS_H1_CHANGED", "H1"),
+}
 
-    Both inputs have url, the fields, word_count and links (array of addresses).
+
+def render_comparison(raw: DataFrame, rendered: DataFrame, most: int = 50) -> DataFrame:
+    """``(url, changes, js_only_links, js_only_links_count, raw_words, rendered_words, issues)`` of pages before and after scripts ran.
+
+    Both inputs have url, the fields of ``COMPARED``, word_count (null is 0) and links (array of addresses).
+    Values differ if they do so trimmed. The ``most`` first links are listed, all are counted.
     """
-    a = raw.select("url", *[F.col(f).alias(f"a_{f}") for f in fields], F.col("word_count").alias("raw_words"), F.col("links").alias("la"))
-    b = rendered.select("url", *[F.col(f).alias(f"b_{f}") for f in fields], F.col("word_count").alias("rendered_words"), F.col("links").alias("lb"))
-    j = a.join(b, "url")
-    pair = lambda f: F.struct(F.col(f"a_{f}").alias("raw"), F.col(f"b_{f}").alias("rendered"))
-    differs = {f: ~F.coalesce(F.col(f"a_{f}"), F.lit("")).eqNullSafe(F.coalesce(F.col(f"b_{f}"), F.lit(""))) for f in fields}
-    changes = F.map_from_entries(F.array_compact(F.array(*[F.when(differs[f], F.struct(F.lit(f), pair(f))) for f in fields])))
-    only = F.slice(F.array_sort(F.array_except("lb", "la")), 1, most)
-    codes = {"title": ("warning", "JS_TITLE_CHANGED"), "canonical": ("warning", "JS_CANONICAL_CHANGED"), "meta_robots": ("warning", "JS_ROBOTS_CHANGED"), "meta_description": ("info", "JS_META_DESCRIPTION_CHANGED"), "h1": ("info", "JS_H1_CHANGED")}
-    flag = lambda when, severity, code: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
-    heavy = (F.col("rendered_words") >= 2 * F.col("raw_words")) & (F.col("rendered_words") - F.col("raw_words") >= 200)
-    issues = F.array_compact(F.array(
-        flag(heavy, "warning", "JS_CONTENT_DEPENDENT"), *[flag(differs[f], *codes[f]) for f in fields if f in codes], flag(F.size(only) > 0, "info", "JS_ONLY_LINKS")
-    ))
-    return j.select("url", changes.alias("changes"), only.alias("js_only_links"), "raw_words", "rendered_words", issues.alias("issues"))
+    a, b = (df.select("url", F.struct(*COMPARED).alias(n), F.coalesce("word_count", F.lit(0)).alias(f"{n}_words"), F.array_distinct("links").alias(f"{n}_links")) for df, n in ((raw, "raw"), (rendered, "rendered")))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    quote = lambda c: F.when(bare(c) == "", "(none)").otherwise(F.concat(F.lit("'"), F.substring(bare(c), 1, 80), F.lit("'")))
+    was, now = (lambda f: F.col(f"raw.{f}")), (lambda f: F.col(f"rendered.{f}"))
+    differs = {f: bare(was(f)) != bare(now(f)) for f in COMPARED}
+    changes = F.map_from_entries(gather(*[F.when(differs[f], F.struct(F.lit(f), F.struct(was(f).alias("raw"), now(f).alias("rendered")))) for f in COMPARED]))
+    extra = F.array_sort(F.array_except("rendered_links", "raw_links"))
+    before, after, n = F.col("raw_words"), F.col("rendered_words"), F.coalesce(F.size(extra), F.lit(0))
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    issues = gather(
+        issue((after >= 2 * before) & (after - before >= 200), "warning", "JS_CONTENT_DEPENDENT", text(before, " words in raw HTML, ", after, " after JavaScript")),
+        *[issue(differs[f], severity, code, text(f"{name} changed by JavaScript: ", quote(was(f)), " → ", quote(now(f)))) for f, (severity, code, name) in COMPARED.items()],
+        issue(n > 0, "info", "JS_ONLY_LINKS", text(n, " internal ", F.when(n == 1, "link appears").otherwise("links appear"), " only after JavaScript")),
+    )
+    return a.join(b, "url").select("url", changes.alias("changes"), F.slice(extra, 1, most).alias("js_only_links"), n.alias("js_only_links_count"), "raw_words", "rendered_words", issues.alias("issues"))
 
 
-# Points lost for violations, and rules that page checks report already.
+# Points lost for violations (an unknown impact is minor), and rules that page checks report already.
 PENALTY = {"critical": 10, "serious": 7, "moderate": 3, "minor": 1}
 REPORTED = ["image-alt", "label", "html-has-lang"]
 
 
 def accessibility_summary(results: DataFrame) -> DataFrame:
-    """``(url, score, counts, issues)`` from violations, an array of structs with id, impact and nodes_count."""
-    v = F.filter("violations", lambda x: x["impact"].isin(list(PENALTY)))
-    lost = F.aggregate(v, F.lit(0), lambda s, x: s + F.when(x["impact"] == "critical", 10).when(x["impact"] == "serious", 7).when(x["impact"] == "moderate", 3).otherwise(1))
-    of = lambda impact: F.size(F.filter(v, lambda x: x["impact"] == impact))
-    counts = F.map_from_arrays(F.array(*[F.lit(k) for k in PENALTY]), F.array(*[of(k) for k in PENALTY]))
-    issues = F.transform(F.filter("violations", lambda x: ~x["id"].isin(REPORTED)), lambda x: F.struct(
-        F.when(x["impact"].isin("critical", "serious"), "warning").otherwise("info").alias("severity"),
-        F.concat(F.lit("A11Y_"), F.upper(F.replace(x["id"], F.lit("-"), F.lit("_")))).alias("code"), F.lit("axe").alias("source"),
+    """``(url, score, counts, issues)`` from violations, an array of structs with id, impact, nodes_count and optionally help.
+
+    Violations come by impact and id. Texts are cut as a page may have made them: ids to 100 characters, help to 300.
+    """
+    has_help = "help" in results.schema["violations"].dataType.elementType.fieldNames()
+    weight = F.create_map(*[F.lit(x) for k, n in PENALTY.items() for x in (k, n)])
+    v = F.array_sort(F.transform(F.coalesce("violations", F.array().cast(results.schema["violations"].dataType)), lambda x: F.struct(
+        F.coalesce(F.array_position(F.array(*[F.lit(k) for k in PENALTY]), x["impact"]), F.lit(0)).alias("p"), F.substring(x["id"], 1, 100).alias("id"),
+        F.substring(F.coalesce(F.nullif(x["help"], F.lit("")), x["id"]) if has_help else x["id"], 1, 300).alias("help"), F.coalesce(x["nodes_count"], F.lit(0)).cast("long").alias("n"),
+    )))
+    v = F.array_sort(F.transform(v, lambda x: x.withField("p", F.when(x["p"] == 0, F.lit(len(PENALTY)).cast("long")).otherwise(x["p"].cast("long")))))
+    name = lambda x: F.element_at(F.array(*[F.lit(k) for k in PENALTY]), x["p"].cast("int"))
+    of = lambda k: F.size(F.filter("v", lambda x: name(x) == k))
+    counts = F.map_from_entries(F.array(*[F.struct(F.lit(k), of(k)) for k in PENALTY]))
+    issues = F.transform(F.filter("v", lambda x: ~x["id"].isin(REPORTED)), lambda x: F.struct(
+        F.when(x["p"] <= 2, "warning").otherwise("info").alias("severity"), F.concat(F.lit("A11Y_"), F.upper(F.replace(x["id"], F.lit("-"), F.lit("_")))).alias("code"),
+        F.concat(x["help"], F.lit(" ("), x["n"].cast("string"), F.lit(" element"), F.when(x["n"] == 1, "").otherwise("s"), F.lit(", "), name(x), F.lit(")")).alias("message"), F.lit("axe").alias("source"),
     ))
-    return results.select("url", F.greatest(F.lit(0), 100 - lost).alias("score"), counts.alias("counts"), issues.alias("issues"))
+    lost = F.aggregate("v", F.lit(0), lambda s, x: s + F.element_at(weight, name(x)))
+    return results.select("url", v.alias("v")).select("url", F.greatest(F.lit(0), 100 - lost).alias("score"), counts.alias("counts"), issues.alias("issues"))
 
 
 # ------------------------------------------------------------------ content explorer
 
 # Words that say nothing in subheadings.
-HEADING_STOP_WORDS = STOP_WORDS + ["what", "how", "why", "when", "who", "your", "you", "our", "best", "about", "more"]
+HEADING_STOP_WORDS = (
+    "the and for with you your are how what why when where who which can does from that this these those into about our all "
+    "best top not but has have will more most its their them they"
+).split()
 
 
 def content_summary(pages: DataFrame, topic: str, top: int = 15) -> dict[str, DataFrame]:
-    """Medians of words and referring domains, and in how many pages each schema type and subheading word stands.
+    """Medians of words and referring domains, and in how many fetched pages each schema type and subheading word stands.
 
-    ``pages``: url, word_count, ref_domains, schema_types (array), h2 (array). Words of the topic (also
-    without a final s) and stop words are left out.
+    ``pages``: url, word_count (null: not fetched), ref_domains, schema_types (array), h2 (array). Words of three
+    letters or more count; those of the topic (also with or without a final s) and stop words are left out.
     """
+    fetched = pages.where("word_count is not null")
     medians = pages.agg(F.bround(F.median("word_count")).cast("long").alias("median_words"), F.bround(F.median("ref_domains")).cast("long").alias("median_ref_domains"), F.count("*").alias("pages"))
-    types = pages.select("url", F.explode(F.array_distinct("schema_types")).alias("type")).groupBy("type").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "type").limit(top)
-    skip = HEADING_STOP_WORDS + [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in topic.lower().split()]
-    words = pages.select("url", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "h2")), F.lit(r"[a-z']+"), F.lit(0)))).alias("w"))
-    terms = words.select("url", stem(F.col("w")).alias("term"), "w").where((F.length("w") > 2) & ~F.col("term").isin(skip) & ~F.col("w").isin(skip)).select("url", "term").distinct()
-    return {"medians": medians, "types": types, "terms": terms.groupBy("term").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "term").limit(top)}
+    types = fetched.select("url", F.explode(F.array_distinct("schema_types")).alias("type")).groupBy("type").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "type")
+    own = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in re.findall(r"[a-z]+", topic.lower())]
+    words = fetched.select("url", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join("h2", "\n")), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("term"))
+    kept = words.where(~F.col("term").isin(HEADING_STOP_WORDS) & ~stem(F.col("term")).isin(own))
+    return {"medians": medians, "types": types, "terms": kept.groupBy("term").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "term").limit(top)}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.advice import ORPHAN_ADVICE, advice
+
 # Weights of severities for health (others 1), categories and pages.
 HEALTH_WEIGHTS = {"critical": 5.0, "warning": 2.0, "info": 0.5}
 CATEGORY_WEIGHTS = {"critical": 5.0, "warning": 2.5}
@@ -22,16 +24,17 @@ CATEGORIES = {
     "performance": ["PERF_", "LARGE_HTML", "SLOW_RESPONSE", "NO_LAZY_LOADING", "MISSING_IMG_DIMENSIONS"],
     "security": ["MISSING_HEADER_", "MIXED_CONTENT", "NO_HTTPS"],
 }
-# Weights of issue codes for priorities; all others have 2.
+# Weights of issue codes for priorities, by code; all others have 2.
 IMPACT = {
-    10: ["FETCH_ERROR", "NO_RESPONSE", "STATUS_500", "REDIRECT_LOOP"],
-    9: ["STATUS_404", "NO_HTTPS"],
-    8: ["MISSING_TITLE", "EMPTY_TITLE", "MISSING_VIEWPORT", "JS_ROBOTS_CHANGED", "GSC_NOT_INDEXED", "BACKLINK_TO_BROKEN_PAGE"],
-    7: ["NOINDEX", "DUPLICATE_CONTENT", "CWV_LCP_POOR", "CWV_INP_POOR", "CWV_CLS_POOR", "JS_CANONICAL_CHANGED"],
-    6: ["MISSING_H1", "MISSING_CANONICAL", "MULTIPLE_CANONICALS", "THIN_CONTENT", "MIXED_CONTENT", "SLOW_TTFB", "DUPLICATE_TITLE", "JS_CONTENT_DEPENDENT"],
-    5: ["MISSING_META_DESCRIPTION", "REDIRECT_CHAIN", "POSSIBLE_CSR_ONLY", "CWV_TBT_POOR", "JS_TITLE_CHANGED"],
-    4: ["MULTIPLE_H1", "MISSING_ALT", "A11Y_IMG_NO_ALT_ATTR", "A11Y_UNLABELED_FORM_FIELD", "LARGE_DOM", "MISSING_HEADER_STRICT_TRANSPORT_SECURITY", "NO_COMPRESSION", "GSC_CANONICAL_MISMATCH"],
-    3: ["NO_STRUCTURED_DATA", "RENDER_BLOCKING_CSS", "RENDER_BLOCKING_JS", "CWV_LCP_NEEDS_IMPROVEMENT", "CWV_INP_NEEDS_IMPROVEMENT", "CWV_CLS_NEEDS_IMPROVEMENT", "JS_ONLY_LINKS"],
+    "A11Y_IMG_NO_ALT_ATTR": 4, "A11Y_UNLABELED_FORM_FIELD": 4, "BACKLINK_TO_BROKEN_PAGE": 8, "CWV_CLS_NEEDS_IMPROVEMENT": 3, "CWV_CLS_POOR": 7,
+    "CWV_INP_NEEDS_IMPROVEMENT": 3, "CWV_INP_POOR": 7, "CWV_LCP_NEEDS_IMPROVEMENT": 3, "CWV_LCP_POOR": 7, "CWV_TBT_POOR": 5,
+    "DUPLICATE_CONTENT": 7, "DUPLICATE_TITLE": 6, "EMPTY_TITLE": 8, "FETCH_ERROR": 10, "GSC_CANONICAL_MISMATCH": 4,
+    "GSC_NOT_INDEXED": 8, "JS_CANONICAL_CHANGED": 7, "JS_CONTENT_DEPENDENT": 6, "JS_ONLY_LINKS": 3, "JS_ROBOTS_CHANGED": 8,
+    "JS_TITLE_CHANGED": 5, "LARGE_DOM": 4, "MISSING_ALT": 4, "MISSING_CANONICAL": 6, "MISSING_H1": 6,
+    "MISSING_HEADER_STRICT_TRANSPORT_SECURITY": 4, "MISSING_META_DESCRIPTION": 5, "MISSING_TITLE": 8, "MISSING_VIEWPORT": 8, "MIXED_CONTENT": 6,
+    "MULTIPLE_CANONICALS": 6, "MULTIPLE_H1": 4, "NOINDEX": 7, "NO_COMPRESSION": 4, "NO_HTTPS": 9,
+    "NO_RESPONSE": 10, "NO_STRUCTURED_DATA": 3, "POSSIBLE_CSR_ONLY": 5, "REDIRECT_CHAIN": 5, "REDIRECT_LOOP": 10,
+    "RENDER_BLOCKING_CSS": 3, "RENDER_BLOCKING_JS": 3, "SLOW_TTFB": 6, "STATUS_404": 9, "STATUS_500": 10, "THIN_CONTENT": 6,
 }
 QUICK_WINS = ["MISSING_TITLE", "MISSING_ALT", "MISSING_CANONICAL", "A11Y_MISSING_LANG"]
 SEVERITY_RANK = {"critical": 3, "warning": 2, "info": 1}
@@ -105,39 +108,38 @@ def issue_frequency(issues: DataFrame, *keys: str) -> DataFrame:
 
 def code_weight(code: Column) -> Column:
     """Weight of a code among priorities."""
-    out = F.lit(2)
-    for w, codes in IMPACT.items():
-        out = F.when(code.isin(codes), w).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in IMPACT.items() for x in pair]), code), F.lit(2))
 
 
-def recommendations(issues: DataFrame, key: str, texts: DataFrame | None = None) -> DataFrame:
-    """One row for each (key, code): pages, worst severity, priority, impact, effort and five example urls.
+def recommendations(issues: DataFrame, key: str, orphans: DataFrame | None = None) -> DataFrame:
+    """One row for each (key, code), by key and falling priority: pages, worst severity, priority, impact, effort, five example urls, advice.
 
-    Priority is the code's weight times the pages, at most 50. ``texts`` (code, text) adds advice; a code
-    without one keeps its least message. The five examples are the smallest urls.
+    Priority is the code's weight times the pages, at most 50. A code without advice keeps its least message.
+    The five examples are the smallest urls. ``orphans`` (key, url) adds the row ORPHAN_PAGES where there are any.
     """
     # Distinct urls first, so a code that holds much of all rows is spread; then at most five urls a group are kept.
     by_url = issues.groupBy(key, "code", "url").agg(
         F.max(_pick(F.col("severity"), SEVERITY_RANK, 0)).alias("s"), F.min("message").alias("message")
     )
+    lone = None
+    if orphans is not None:
+        lone = orphans.select(key, F.lit("ORPHAN_PAGES").alias("code"), "url", F.lit(2).alias("s"), F.lit(ORPHAN_ADVICE).alias("message")).distinct()
+        by_url = by_url.unionByName(lone)
     five = Window.partitionBy(key, "code").orderBy("url")
     totals = by_url.groupBy(key, "code").agg(F.count("*").alias("affected_pages"), F.max("s").alias("s"), F.min("message").alias("message"))
     # Row numbers up to five need no more than five rows of a group from each partition.
     first = by_url.select(key, "code", "url").withColumn("n", F.row_number().over(five)).where("n <= 5").groupBy(key, "code").agg(
         F.array_sort(F.collect_list("url")).alias("example_urls")
     )
-    w = code_weight(F.col("code"))
-    out = totals.join(first, [key, "code"]).select(
+    code = F.col("code")
+    w = F.when(code == "ORPHAN_PAGES", F.lit(IMPACT["MISSING_CANONICAL"])).otherwise(code_weight(code))
+    return totals.join(first, [key, "code"]).select(
         key, "code", F.when(F.col("s") == 3, "critical").when(F.col("s") == 2, "warning").otherwise("info").alias("severity"), "affected_pages",
         (w * F.least(F.col("affected_pages"), F.lit(50))).cast("long").alias("priority_score"),
-        F.when(w >= 7, "High").when(w >= 4, "Medium").otherwise("Low").alias("impact"),
-        F.when(F.col("code").isin(QUICK_WINS), "Quick Win").when(w >= 8, "Major").otherwise("Moderate").alias("estimated_effort"),
-        "example_urls", "message",
-    )
-    if texts is None:
-        return out.withColumnRenamed("message", "recommendation")
-    return out.join(texts.select("code", "text"), "code", "left").withColumn("recommendation", F.coalesce("text", "message", "code")).drop("text", "message")
+        F.when((w >= 7) | (code == "ORPHAN_PAGES"), "High").when(w >= 4, "Medium").otherwise("Low").alias("impact"),
+        F.when(code.isin([*QUICK_WINS, "ORPHAN_PAGES"]), "Quick Win").when(w >= 8, "Major").otherwise("Moderate").alias("estimated_effort"),
+        "example_urls", F.coalesce(advice(code), "message", "code").alias("recommendation"),
+    ).orderBy(key, F.desc("priority_score"), "code")
 
 
 def executive_summary(pages: DataFrame, issues: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,41 +14,38 @@ from auditloom.runtime import cut_lineage, spread
 
 # Length of a signature, bands, words of a run.
 LENGTH, BANDS, RUN = 128, 16, 5
-#: Pages from which the approximate way is taken.
-SWITCH = 500
+#: How far below the threshold an estimate may lie for a pair to be verified on its sets.
+MARGIN = 0.15
 
 
-def coefficients(seed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of h(x) = a x + b mod 2^32, one pair for each position, drawn from a seed."""
-    draws = [hashlib.blake2b(seed + i.to_bytes(4, "big"), digest_size=8).digest() for i in range(LENGTH)]
-    a = np.array([int.from_bytes(d[:4], "big") | 1 for d in draws], np.uint64)
-    return a, np.array([int.from_bytes(d[4:], "big") for d in draws], np.uint64)
+def _run_hashes(text: Column, size: int = RUN) -> Column:
+    return F.array_sort(F.transform(shingles(text, size), lambda s: F.xxhash64(s)))
 
 
-def signature(text: str, a: np.ndarray, b: np.ndarray, run: int = RUN) -> bytes | None:
-    """MinHash of a text's word runs (CRC-32) as little-endian 32-bit values; None without words."""
-    words = text.lower().split()
-    if not words:
-        return None
-    runs = {" ".join(words[i : i + run]) for i in range(max(len(words) - run + 1, 1))}
-    x = np.fromiter((zlib.crc32(r.encode("utf-8", "surrogatepass")) for r in runs), np.uint64, len(runs))
-    least = np.full(LENGTH, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(x), 4096):
-        least = np.minimum(least, ((x[i : i + 4096, None] * a + b) & np.uint64(0xFFFFFFFF)).min(axis=0))
-    return least.astype("<u4").tobytes()
+def least_hashes(runs: np.ndarray, seed: int) -> np.ndarray:
+    """For each of ``LENGTH`` orders of the hashed runs, the upper half of the least value."""
+    with np.errstate(over="ignore"):
+        keys = (np.arange(1, LENGTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed)
+        least = np.full(LENGTH, 0xFFFFFFFF, np.uint64)
+        for i in range(0, len(runs), 2048):
+            x = runs[i : i + 2048, None] ^ keys
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            least = np.minimum(least, (x >> np.uint64(32)).min(axis=0))
+    return least.astype("<u4")
 
 
-def signatures(df: DataFrame, key: str, text: str, seed: bytes = b"auditloom") -> DataFrame:
-    """``(key, minhash)``; null for texts without words. Signatures of one seed can be compared."""
-    a, b = coefficients(seed)
+def signatures(df: DataFrame, key: str, text: str, seed: int = 1) -> DataFrame:
+    """``(key, minhash)``: 32-bit little-endian values; null for texts without words. Signatures of one seed can be compared."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [signature(t, a, b) if t else None for t in batch.column(1).to_pylist()]
+            sets = (np.asarray(x.values.to_numpy()).view(np.uint64) if x.is_valid and len(x) else None for x in batch.column(1))
+            out = [None if s is None else least_hashes(s, seed).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "minhash"])
 
-    return spread(df.select(F.col(key).alias("key"), text)).mapInArrow(run, f"key {kind}, minhash binary").withColumnRenamed("key", key)
+    rows = spread(df.select(F.col(key).alias("key"), text)).select("key", _run_hashes(F.col(text)).alias("runs"))
+    return rows.mapInArrow(run, f"key {kind}, minhash binary").withColumnRenamed("key", key)
 
 
 def _words(sig: Column) -> Column:
@@ -87,7 +82,7 @@ def exact_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, siz
     Equal sets are collapsed. Of the runs of a set, rarest first, only the first n - ceil(t n) + 1 are joined:
     similar sets share one of them; sizes must fit. Candidates are verified on the whole sets.
     """
-    runs = F.array_sort(F.transform(shingles(F.col(text), size), lambda s: F.xxhash64(s)))
+    runs = _run_hashes(F.col(text), size)
     sets = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), runs.alias("runs")).where(F.size("runs") > 0)
     sets = cut_lineage(sets.withColumn("sid", F.xxhash64("runs")))
     reps = cut_lineage(sets.groupBy("sid").agg(F.min("k").alias("rep")).join(sets.select(F.col("k").alias("rep"), "runs"), "rep").select("rep", "runs", F.size("runs").alias("n")))
@@ -118,8 +113,18 @@ def _expand(members: DataFrame, near: DataFrame) -> DataFrame:
     return across.unionByName(equal).withColumn("similarity", F.round("similarity", 3))
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> tuple[DataFrame, str]:
-    """Pairs and the way they were found: ``exact`` up to 500 texts, ``minhash`` beyond."""
-    if df.limit(SWITCH + 1).count() <= SWITCH:
-        return exact_pairs(df, key, text, threshold), "exact"
-    return lsh_pairs(signatures(df, key, text), key, threshold), "minhash"
+def minhash_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """The pairs of ``exact_pairs`` as far as bands find them: estimates within ``MARGIN`` are verified on the sets."""
+    some = cut_lineage(lsh_pairs(signatures(df, key, text), key, threshold - MARGIN).select("a", "b"))
+    used = some.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    sets = cut_lineage(df.select(F.col(key).alias("k"), _run_hashes(F.col(text)).alias("runs")).join(used, "k", "left_semi"))
+    both = F.size(F.array_intersect("ra", "rb"))
+    return (
+        some.join(sets.select(F.col("k").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("k").alias("b"), F.col("runs").alias("rb")), "b")
+        .select("a", "b", (both / (F.size("ra") + F.size("rb") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).withColumn("similarity", F.round("similarity", 3))
+    )
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.85, way: str = "exact") -> DataFrame:
+    """Pairs by the way asked for, whatever the size: ``exact``, or ``minhash``, which may miss some."""
+    return {"exact": exact_pairs, "minhash": minhash_pairs}[way](df, key, text, threshold)

@@ -497,7 +497,7 @@ def near_duplicates_exact(spark, d):
 @query("near_duplicates_minhash")
 def near_duplicates_minhash(spark, d):
     """The same by MinHash and bands; recall is tested against the exact pairs."""
-    return similarity.lsh_pairs(similarity.signatures(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return similarity.near_duplicates(table(spark, d, "documents"), "doc_id", "text", way="minhash")
 
 
 @query("stored_signature_pairs")

@@ -48,10 +48,9 @@ def deliver_alerts(alerts: DataFrame, path: str, checkpoint: str, send: Callable
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         kind = df.schema
-        try:
-            stored = spark.read.schema(kind).parquet(path)
-        except Exception:  # nothing stored yet
-            stored = spark.createDataFrame([], kind)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        begun = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)  # any other error rises, and nothing is sent
+        stored = spark.read.schema(kind).parquet(path) if begun else spark.createDataFrame([], kind)
         fresh = new_alerts(df, stored).persist()
         fresh.write.mode("append").parquet(path)
         send(fresh)
@@ -60,73 +59,87 @@ def deliver_alerts(alerts: DataFrame, path: str, checkpoint: str, send: Callable
     return alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class AdaptiveLimit:
-    """Concurrent requests to a host: more while answers stay quick, half when they don't.
+class HostPace:
+    """How many requests a host may have under way: more while answers stay quick, half when they don't.
 
-    A window of answers is compared by its median with that of the first window: up to 1.5 times, the limit
-    grows by 4; beyond 2 times, or at a failure, it is halved. After a cut, the answers that were under
-    way count for no further cut. A wait asked for is heeded up to 60 s.
+    Answers, timed or not, fill windows. The median of the first window is the measure: a later one of more
+    than ``SLOW`` times it halves the limit, one of at most ``QUICK`` times it without a failure adds
+    ``GROWTH``. A failure halves at once, unless it may be of a request that was under way at the last cut:
+    until as many answers have come as there were requests then, failures only spoil their window. A wait
+    that is asked for is heeded up to ``LONGEST_WAIT`` seconds from the answer on.
     """
 
-    def __init__(self, limit: int = 8, least: int = 1, most: int = 64, window: int = 50):
-        self.limit, self.least, self.most, self.window = limit, least, most, window
-        self.baseline: float | None = None
-        self.seen: list[float] = []
-        self.immune, self.pause = 0, 0.0
+    # Fixed values of the rule.
+    QUICK, SLOW, GROWTH, LONGEST_WAIT = 1.5, 2.0, 4, 60.0
 
-    def record(self, latency_ms: float | None, failed: bool = False, retry_after_s: float | None = None) -> int:
+    def __init__(self, limit: int = 8, least: int = 4, most: int = 64, window: int = 50):
+        self.least = max(1, min(least, limit))
+        self.most, self.window = max(1, most), window
+        self.limit = min(max(limit, self.least), self.most)
+        self.measured, self.measure = False, None
+        self.spared = 0  # answers still to come whose failures don't cut
+        self.wait_until = 0.0
+        self.times, self.answers, self.spoilt = [], 0, False
+
+    def record(self, latency_ms: float | None, failed: bool = False, wait_s: float | None = None, at_s: float = 0.0) -> int:
         """The limit after one answer."""
-        if retry_after_s is not None and retry_after_s == retry_after_s:
-            self.pause = min(float(retry_after_s), 60.0)
-        if self.immune:
-            self.immune -= 1
-            return self.limit
-        if failed:
-            self._cut()
-        elif latency_ms is not None and latency_ms == latency_ms:
-            self.seen.append(latency_ms)
-            if len(self.seen) >= self.window:
-                m, self.seen = median(self.seen), []
-                if self.baseline is None:
-                    self.baseline = m
-                elif m > 2 * self.baseline:
-                    self._cut()
-                elif m <= 1.5 * self.baseline:
-                    self.limit = min(self.most, self.limit + 4)
+        if wait_s is not None:
+            self.wait_until = max(self.wait_until, at_s + min(wait_s, self.LONGEST_WAIT))
+        spare, self.spared = self.spared > 0, max(0, self.spared - 1)
+        if failed and not spare:
+            return self._restart(cut=True)
+        self.spoilt |= failed
+        self.times += [] if latency_ms is None else [latency_ms]
+        self.answers += 1
+        return self.limit if self.answers < self.window else self._judge()
+
+    def _judge(self) -> int:
+        middle = median(self.times) if self.times else None
+        if not self.measured:
+            self.measured, self.measure = True, middle
+            return self._restart()
+        ratio = middle / self.measure if middle is not None and self.measure else None
+        if ratio is not None and ratio > self.SLOW:
+            return self._restart(cut=True)
+        if not self.spoilt and (ratio is None or ratio <= self.QUICK):
+            self.limit = min(self.limit + self.GROWTH, self.most)
+        return self._restart()
+
+    def _restart(self, cut: bool = False) -> int:
+        if cut:
+            self.spared, self.limit = self.limit, max(self.limit // 2, self.least)
+        self.times, self.answers, self.spoilt = [], 0, False
         return self.limit
 
-    def _cut(self) -> None:
-        self.immune = self.limit
-        self.limit = max(self.least, self.limit // 2)
-        self.seen = []
-
     def dump(self) -> tuple:
         """State as plain values."""
-        return (self.limit, self.baseline, self.immune, self.pause, list(self.seen))
+        return (self.limit, self.measured, self.measure, self.spared, self.wait_until, list(self.times), self.answers, self.spoilt)
 
     @classmethod
-    def load(cls, state: tuple, **options: int) -> AdaptiveLimit:
+    def load(cls, state: tuple, **options: int) -> HostPace:
         """A controller in a dumped state."""
         c = cls(**options)
-        c.limit, c.baseline, c.immune, c.pause, c.seen = state[0], state[1], state[2], state[3], list(state[4])
+        c.limit, c.measured, c.measure, c.spared, c.wait_until, times, c.answers, c.spoilt = state
+        c.times = list(times)
         return c
 
 
-_STATE = "limit int, baseline double, immune int, pause double, seen array<double>"
-_OUT = "host string, answers long, limit int, pause double"
+_STATE = "limit int, measured boolean, measure double, spared int, wait_until double, times array<double>, answers int, spoilt boolean"
+_OUT = "host string, answers long, limit int, wait_until double"
 
 
 def adaptive_limits(events: DataFrame) -> DataFrame:
-    """A stream of ``(host, answers, limit, pause)``: each host's limit after every batch of its answers.
+    """A stream of ``(host, answers, limit, wait_until)``: each host's limit after every batch of its answers.
 
     State is a few numbers and less than one window of times a host; events of a batch are taken by ``seq``.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        c = AdaptiveLimit.load(state.get) if state.exists else AdaptiveLimit()
+        c = HostPace.load(state.get) if state.exists else HostPace()
         rows = pd.concat(list(frames)).sort_values("seq")
+        known = lambda x: None if pd.isna(x) else float(x)
         for r in rows.itertuples():
-            c.record(r.latency_ms, bool(r.failed), r.retry_after_s)
+            c.record(known(r.latency_ms), bool(r.failed) if not pd.isna(r.failed) else False, known(r.retry_after_s), 0.0 if pd.isna(r.at) else r.at.timestamp())
         state.update(c.dump())
-        yield pd.DataFrame({"host": [key[0]], "answers": [len(rows)], "limit": [c.limit], "pause": [c.pause]})
+        yield pd.DataFrame({"host": [key[0]], "answers": [len(rows)], "limit": [c.limit], "wait_until": [c.wait_until]})
 
     return events.groupBy("host").applyInPandasWithState(step, _OUT, _STATE, "update", "NoTimeout")

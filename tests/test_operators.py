@@ -45,9 +45,11 @@ def test_similarity_against_brute_force(spark):
     want = {(j, i) for i, j in want}
     df = spark.createDataFrame(list(enumerate(docs)) + [(99, None)], "k int, t string")
     assert {(r.a, r.b) for r in similarity.exact_pairs(df, "k", "t").collect()} == want
-    near = {(r.a, r.b) for r in similarity.lsh_pairs(similarity.signatures(df, "k", "t"), "k").collect()}
-    assert len(near & want) >= 0.9 * len(want) and len(near - want) <= 2
-    assert similarity.near_duplicates(df, "k", "t")[1] == "exact"
+    near = {(r.a, r.b) for r in similarity.near_duplicates(df, "k", "t", way="minhash").collect()}
+    assert len(near) >= 0.9 * len(want) and near <= want  # found ones are verified
+    assert {(r.a, r.b) for r in similarity.near_duplicates(df, "k", "t").collect()} == want
+    s = {r.k: r.minhash for r in similarity.signatures(df, "k", "t").collect()}
+    assert s[99] is None and s[60] is None and len(s[61]) == 512 and s[6] == s[5]
 
 
 def test_scores(spark):
@@ -59,6 +61,11 @@ def test_scores(spark):
     assert c[1, "security"] == 85.0 and c[1, "technical_seo"] == 82.0 and c[1, "accessibility"] == 92.5 and c[2, "content"] == 100.0
     r = {x.code: x for x in scoring.recommendations(issues, "k").collect()}
     assert (r["NO_HTTPS"].priority_score, r["MISSING_ALT"].estimated_effort, r["ODD"].impact) == (9, "Quick Win", "Low")
+    assert r["NO_HTTPS"].recommendation.startswith("Migrate") and r["ODD"].recommendation == "z"
+    more = issues.unionByName(spark.createDataFrame([(1, "/a", "warning", "A11Y_COLOR", "m")], issues.schema))
+    r = scoring.recommendations(more, "k", spark.createDataFrame([(1, "/o"), (1, "/o"), (1, "/p")], "k int, url string")).collect()
+    assert [(x.code, x.priority_score) for x in r] == [("ORPHAN_PAGES", 12), ("NO_HTTPS", 9), ("MISSING_ALT", 4), ("A11Y_COLOR", 2), ("ODD", 2)]
+    assert (r[0].severity, r[0].impact, r[0].estimated_effort, r[0].example_urls) == ("warning", "High", "Quick Win", ["/o", "/p"]) and "Accessibility section" in r[3].recommendation
     assert scoring.recommendations(issues.limit(0), "k").count() == 0
 
 
@@ -92,6 +99,12 @@ def test_ranks(spark):
     c = spark.createDataFrame([(1, 1, "ranked", 5), (2, 1, "skipped", None), (3, 1, "ranked", 12), (4, 1, "not_ranked", None), (5, 2, "ranked", 3)], kind)
     assert rows(external.rank_overview(c)) == [(1, None, 12, None), (2, 3, None, None)]
     assert {(r.id, r.kind) for r in external.rank_alerts(c).collect()} == {(3, "drop"), (3, "left_top10"), (4, "lost")}
+    table = [(4, 9, {}, {"drop"}), (4, 6, {}, set()), (4, 6, {"drop_threshold": 2}, {"drop"}), (8, 12, {}, {"drop", "left_top10"}), (8, 12, {"top10": False}, {"drop"}),
+             (5, None, {}, {"lost", "left_top10"}), (9, 3, {}, set()), (9, 3, {"gain_threshold": 5}, {"gain"}), (None, 3, {}, set())]
+    for options in ({}, {"drop_threshold": 2}, {"top10": False}, {"gain_threshold": 5}):
+        mine = [(i, old, new, kinds) for i, (old, new, o, kinds) in enumerate(table) if o == options]
+        got = external.rank_alerts(spark.createDataFrame([x for i, old, new, _ in mine for x in ((2 * i, i, "ranked", old), (2 * i + 1, i, "ranked", new))], kind), **options).collect()
+        assert {(r.keyword_id, r.kind) for r in got} == {(i, k) for i, _, _, kinds in mine for k in kinds}
     serp = spark.createDataFrame([("k", 1, "u1", "blog.me.com"), ("k", 2, "u2", "me.com"), ("k", 3, "u3", "notme.com")], "keyword string, position int, url string, domain string")
     assert rows(external.result_positions(serp, spark.createDataFrame([("me", "me.com")], "owner string, domain string"))) == [("k", "me", 1, "u1")]
 
@@ -111,6 +124,7 @@ def test_search_and_backlinks(spark):
     pages = spark.createDataFrame([("https://e.com/a", 404)], "url string, status int")
     links = spark.createDataFrame([("https://x.com/1", "https://E.com/a#q"), ("https://x.com/2", "https://e.com/a")], "url_from string, url_to string")
     assert rows(external.broken_backlinks(links, pages)) == [("https://e.com/a", 404, 2, 1)]
+    assert external.backlink_issues(links, pages).first().message == "2 backlinks from 1 domain point to this broken page. Redirect it to keep their value."
 
 
 def test_brands(spark):
@@ -119,6 +133,27 @@ def test_brands(spark):
     m = external.brand_mentions(a, b)
     assert rows(m) == [(1, "me", 5, 2, 1), (1, "rival", 26, 1, 2)]
     assert rows(external.share_of_voice(m)) == [("me", 1, 0.5), ("rival", 1, 0.5)]
+    text = "Books to Scrape (books.demo.com) beats Amazon."
+    own = spark.createDataFrame([("books.demo.com", 0, ["Books to Scrape"], "books.demo.com"), ("amazon.com", 1, ["Amazon"], "amazon.com")], "owner string, ord int, terms array<string>, domain string")
+    one = spark.createDataFrame([(7, text), (8, "")], "answer_id int, text string")
+    assert [(text[r.start : r.stop], r.owner) for r in external.highlights(one, own).orderBy("n").collect()] == [("Books to Scrape", "books.demo.com"), ("books.demo.com", "books.demo.com"), ("Amazon", "amazon.com")]
+    assert [(r.owner, r.rank, r.mentions) for r in external.brand_mentions(one, own).collect()] == [("books.demo.com", 1, 2), ("amazon.com", 2, 1)]
+
+
+def test_citations(spark):
+    r = "https://vertexaisearch.cloud.google.com/grounding-api-redirect/abc"
+    c = spark.createDataFrame([(1, 0, "https://reviews.example.com/a", None), (1, 1, "https://shop.books.demo.com/b", ""), (1, 2, r, "Books.demo.com "), (1, 3, "https://reviews.example.com/c", None),
+                               (1, 4, r, "A great page"), (1, 5, "https://x.googleusercontent.com/q", "no domain"), (2, 0, "https://notbooks.demo.com.evil.io/", None), (2, 1, "https://www.amazon.com/x", None), (2, 2, None, None)],
+                              "answer_id int, ord int, url string, title string")
+    assert [(x.answer_id, x.domain) for x in external.answer_citations(c).orderBy("answer_id", "ord").collect()] == [(1, "reviews.example.com"), (1, "shop.books.demo.com"), (1, "books.demo.com"), (2, "notbooks.demo.com.evil.io"), (2, "amazon.com")]
+    assert rows(external.own_citation(c, "books.demo.com")) == [(1, True), (2, False)]
+    assert {x.domain for x in external.cited_domains(c).collect()} == {"reviews.example.com", "shop.books.demo.com", "books.demo.com", "notbooks.demo.com.evil.io", "amazon.com"}
+
+
+def test_content_summary(spark):
+    p = spark.createDataFrame([("a", 100, None, ["Page"], ["Rare book prices", "Buying rare books"]), ("b", None, 3, ["Other"], ["Unfetched words"])], "url string, word_count int, ref_domains int, schema_types array<string>, h2 array<string>")
+    got = external.content_summary(p, "rare books")
+    assert rows(got["terms"]) == [("buying", 1), ("prices", 1)] and rows(got["types"]) == [("Page", 1)] and got["medians"].first()[:2] == (100, 3)
 
 
 def test_vitals_render_accessibility(spark):
@@ -130,9 +165,22 @@ def test_vitals_render_accessibility(spark):
     rendered = spark.createDataFrame([("u", "B", "", None, None, None, 400, ["x", "y"])], kind)
     r = external.render_comparison(raw, rendered).first()
     assert [i.code for i in r.issues] == ["JS_CONTENT_DEPENDENT", "JS_TITLE_CHANGED", "JS_ONLY_LINKS"] and r.js_only_links == ["y"]
+    assert [i.message for i in r.issues] == ["100 words in raw HTML, 400 after JavaScript", "Title changed by JavaScript: 'A' → 'B'", "1 internal link appears only after JavaScript"]
+    raw = spark.createDataFrame([("u", "Shop ", None, "x", None, None, None, [])], kind)
+    rendered = spark.createDataFrame([("u", "Shop", " ", None, None, None, 200, [f"/{i:03}" for i in range(60)])], kind)
+    r = external.render_comparison(raw, rendered).first()
+    assert [i.code for i in r.issues] == ["JS_CONTENT_DEPENDENT", "JS_H1_CHANGED", "JS_ONLY_LINKS"] and list(r.changes) == ["h1"] and (len(r.js_only_links), r.js_only_links_count) == (50, 60)
+    assert r.issues[1].message == "H1 changed by JavaScript: 'x' → (none)" and r.issues[2].message.startswith("60 internal links appear")
     x = spark.createDataFrame([("u", [("color-contrast", "serious", 2), ("label", "critical", 1)])], "url string, violations array<struct<id:string,impact:string,nodes_count:int>>")
     s = external.accessibility_summary(x).first()
     assert s.score == 83 and [i.code for i in s.issues] == ["A11Y_COLOR_CONTRAST"]
+    x = spark.createDataFrame([("u", [("button-name", "evil", 1, "h" * 400), ("b", "serious", 2, None)]), ("v", []), ("w", None)], "url string, violations array<struct<id:string,impact:string,nodes_count:int,help:string>>")
+    s = {q.url: q for q in external.accessibility_summary(x).collect()}
+    assert s["u"].score == 92 and s["u"].counts == {"critical": 0, "serious": 1, "moderate": 0, "minor": 1} and (s["v"].score, s["w"].score) == (100, 100)
+    assert [(i.severity, i.message[:3], i.message[-21:]) for i in s["u"].issues] == [("warning", "b (", "b (2 elements, serious)"[-21:]), ("info", "hhh", "hh (1 element, minor)")]
+    assert external.vitals_ratings(v).where("url = 'a'").first().issues[0].message == "LCP 2.6 s (field) — needs improvement, over 2.5 s"
+    i = spark.createDataFrame([("u", "FAIL", "Crawled", "https://e.com/a", "https://e.com/b", None), ("v", "NEUTRAL", None, "", "x", "noindex"), ("w", "PASS", "", "https://e.com/a#x", "https://E.com/a", "")], "url string, verdict string, coverage string, google_canonical string, user_canonical string, robots string")
+    assert [(q.url, q.code, q.message) for q in external.index_issues(i).collect()] == [("u", "GSC_NOT_INDEXED", "Not indexed by Google: Crawled"), ("u", "GSC_CANONICAL_MISMATCH", "Google chose https://e.com/a over your canonical https://e.com/b")]
 
 
 def test_listing(spark):
@@ -174,20 +222,34 @@ def test_sinks(spark, tmp_path):
     assert "&lt;t&gt;" in (tmp_path / "r.html").read_text()
 
 
-def test_adaptive_limit():
-    c = events.AdaptiveLimit(window=5)
-    for _ in range(5):
-        c.record(100)
-    for _ in range(5):
-        c.record(120)
-    assert c.limit == 12
-    c.record(None, failed=True)
-    assert c.limit == 6
-    for _ in range(12):
-        c.record(None, failed=True)
-    assert c.limit == 6 and c.record(None, failed=True) == 3
-    c.record(1.0, retry_after_s=900)
-    assert c.pause == 60.0
+def fed(pace, n, ms=100.0, failed=False):
+    for _ in range(n):
+        pace.record(ms, failed)
+    return pace.limit
+
+
+def test_host_pace():
+    """Growth after healthy windows, halving at failures and slow windows, spared failures, waits, dumps."""
+    p = events.HostPace(32, most=64)
+    assert fed(p, 50) == 32 and fed(p, 50) == 36 and fed(p, 50) == 40
+    assert fed(events.HostPace(32, most=34, window=10), 100) == 34 and fed(events.HostPace(8, most=8, window=10), 100) == 8
+    p = events.HostPace(32)
+    assert fed(p, 20, failed=True) == 16 and fed(p, 16) == 16 and p.record(100.0, True) == 8
+    p = events.HostPace(8)
+    for _ in range(10):
+        p.record(100.0, True)
+        fed(p, p.limit)
+    assert p.limit == 4
+    for slow, want in ((250.0, 16), (180.0, 32)):
+        p = events.HostPace(32, window=10)
+        fed(p, 10)
+        assert fed(events.HostPace.load(p.dump(), window=10), 10, slow) == want
+    assert fed(events.HostPace(32, window=10), 20, None) == 36
+    p = events.HostPace(32, window=10)
+    p.record(100.0, True)
+    assert fed(p, 10) == 16 and p.record(1.0, True) == 16 and fed(p, 9) == 16 and fed(p, 10) == 20  # a spared failure spoils its window
+    p.record(None, True, 5.0, 100.0)
+    assert p.wait_until == 105.0 and p.record(None, True, 600.0, 200.0) and p.wait_until == 260.0
 
 
 def test_streams(spark, tmp_path):
