@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import texts as X
 from auditloom.functions import urls as U
 from auditloom.operators import checks, duplicates, graph, history, listing, rules, scoring, similarity
+from auditloom.operators.advice import A11Y_ADVICE, ADVICE
 from auditloom.operators.html_facts import page_facts
 from auditloom.operators.snapshots import consecutive_audits, latest_versions
 from auditloom.sources.tables import table
@@ -207,15 +208,22 @@ def page_scores(spark, d):
     return scoring.page_scores(issues_once(spark, d), ["audit_id", "url"])
 
 
-def _weight_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN {c} IN ({', '.join(repr(x) for x in codes)}) THEN {w}" for w, codes in scoring.IMPACT.items()) + " ELSE 2 END"
+def _case(c: str, table: dict, otherwise: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"CASE {c} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in table.items()) + f" ELSE {otherwise} END"
 
 
-@query("recommendations", f"""WITH {_ISSUES}, u AS (SELECT audit_id, code, url, max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS s, min(message) AS message FROM i GROUP BY audit_id, code, url),
-g AS (SELECT audit_id, code, max(s) AS s, count(*) AS affected_pages, min(message) AS recommendation, array_to_string(list_slice(list_sort(list(url)), 1, 5), ' ') AS example_urls, {_weight_sql('code')} AS w FROM u GROUP BY audit_id, code)
-SELECT audit_id, code, CASE s WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' ELSE 'info' END AS severity, affected_pages, (w * least(affected_pages, 50))::BIGINT AS priority_score,
-  CASE WHEN w >= 7 THEN 'High' WHEN w >= 4 THEN 'Medium' ELSE 'Low' END AS impact,
-  CASE WHEN code IN ({', '.join(repr(x) for x in scoring.QUICK_WINS)}) THEN 'Quick Win' WHEN w >= 8 THEN 'Major' ELSE 'Moderate' END AS estimated_effort, example_urls, recommendation FROM g""")
+def recommendations_sql(issues: str, key: str) -> str:
+    """The SQL of ``scoring.recommendations`` over a relation of issues."""
+    advised = _case("code", ADVICE, f"CASE WHEN starts_with(code, 'A11Y_') THEN '{A11Y_ADVICE}' END")
+    return f"""u AS (SELECT {key}, code, url, max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS s, min(message) AS message FROM {issues} GROUP BY {key}, code, url),
+g AS (SELECT {key}, code, max(s) AS s, count(*) AS affected_pages, min(message) AS m, array_to_string(list_slice(list_sort(list(url)), 1, 5), ' ') AS example_urls, CASE WHEN code = 'ORPHAN_PAGES' THEN 6 ELSE {_case("code", scoring.IMPACT, "2")} END AS w FROM u GROUP BY {key}, code)
+SELECT {key}, code, CASE s WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' ELSE 'info' END AS severity, affected_pages, (w * least(affected_pages, 50))::BIGINT AS priority_score,
+  CASE WHEN w >= 7 OR code = 'ORPHAN_PAGES' THEN 'High' WHEN w >= 4 THEN 'Medium' ELSE 'Low' END AS impact,
+  CASE WHEN code IN ({', '.join(repr(x) for x in [*scoring.QUICK_WINS, 'ORPHAN_PAGES'])}) THEN 'Quick Win' WHEN w >= 8 THEN 'Major' ELSE 'Moderate' END AS estimated_effort, example_urls, coalesce({advised}, m, code) AS recommendation FROM g"""
+
+
+@query("recommendations", f"WITH {_ISSUES}, {recommendations_sql('i', 'audit_id')}")
 def recommendations(spark, d):
     return scoring.recommendations(issues_once(spark, d), "audit_id").withColumn("example_urls", F.array_join("example_urls", " "))
 
@@ -304,14 +312,21 @@ def graph_degrees(spark, d):
     return graph.degrees(_nodes(spark, d), _edges(spark, d))
 
 
-@query("graph_orphans", f"WITH {_E} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM e) AND p_partkey <> 1")
+def _some_edges(spark, d):
+    return _edges(spark, d).where("dst % 5 <> 0 and src % 7 <> 0")
+
+
+_SOME = _E + ", k AS (SELECT * FROM e WHERE dst % 5 <> 0 AND src % 7 <> 0)"
+
+
+@query("graph_orphans", f"WITH {_SOME} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM k) AND p_partkey <> 5")
 def graph_orphans(spark, d):
-    return graph.orphans(_nodes(spark, d), _edges(spark, d), 1)
+    return graph.orphans(_nodes(spark, d), _some_edges(spark, d), 5)
 
 
-@query("graph_dead_ends", f"WITH {_E} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM e)")
+@query("graph_dead_ends", f"WITH {_SOME} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM k)")
 def graph_dead_ends(spark, d):
-    return graph.dead_ends(_nodes(spark, d), _edges(spark, d))
+    return graph.dead_ends(_nodes(spark, d), _some_edges(spark, d))
 
 
 @query("graph_hubs", f"WITH {_E} SELECT src AS node, count(*) AS links FROM e GROUP BY src HAVING count(*) > 15 ORDER BY links DESC, node LIMIT 20")
@@ -443,10 +458,9 @@ def custom_rules(spark, d):
     return rules.summarize(rules.evaluate(facts, RULES), RULES).select("rule_id", "pages_checked", "pages_failed", F.array_join("example_urls", " ").alias("example_urls"))
 
 
-@query("page_listing", "SELECT page_id, url, word_count FROM (SELECT DISTINCT * FROM pages) WHERE url ILIKE '%/blog/%' AND issue_count > 0 ORDER BY word_count DESC NULLS LAST, url, page_id LIMIT 50")
+@query("page_listing", "SELECT url, word_count FROM (SELECT DISTINCT * FROM pages) WHERE url ILIKE '%/blog/%' AND issue_count > 0 ORDER BY word_count DESC NULLS LAST, url LIMIT 50")
 def page_listing(spark, d):
-    p = pages_once(spark, d).select("page_id", "url", "word_count", "issue_count")
-    return p.where(F.col("url").ilike("%/blog/%") & (F.col("issue_count") > 0)).orderBy(F.desc_nulls_last("word_count"), "url", "page_id").limit(50).select("page_id", "url", "word_count")
+    return listing.list_pages(pages_once(spark, d), text="/blog/", with_issues=True, sort="word_count", descending=True)[0].select("url", "word_count")
 
 
 @query("slowest_pages", "SELECT url, response_time_ms FROM (SELECT DISTINCT url, response_time_ms FROM pages WHERE response_time_ms >= 0 AND NOT isnan(response_time_ms)) ORDER BY response_time_ms DESC, url LIMIT 10")

@@ -42,15 +42,16 @@ def rank_overview(spark, d):
 k AS (SELECT * FROM r WHERE pid IS NOT NULL)
 SELECT id, keyword_id, 'lost' AS kind, old_position, position AS new_position FROM k WHERE old_position IS NOT NULL AND position IS NULL
 UNION ALL SELECT id, keyword_id, 'drop', old_position, position FROM k WHERE position - old_position >= 3
-UNION ALL SELECT id, keyword_id, 'left_top10', old_position, position FROM k WHERE old_position <= 10 AND position > 10
+UNION ALL SELECT id, keyword_id, 'left_top10', old_position, position FROM k WHERE old_position <= 10 AND (position IS NULL OR position > 10)
 UNION ALL SELECT id, keyword_id, 'gain', old_position, position FROM k WHERE old_position - position >= 5""")
 def rank_alerts(spark, d):
     return external.rank_alerts(_checks(spark, d), gain_threshold=5)
 
 
-@query("previous_real_check", f"""WITH {_CHECKS} SELECT id, keyword_id, status, position, last_value(CASE WHEN status <> 'skipped' THEN id END IGNORE NULLS) OVER (PARTITION BY keyword_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_id FROM c""")
+@query("previous_real_check", f"""WITH {_CHECKS}, p AS (SELECT id, keyword_id, status, position, last_value(CASE WHEN status <> 'skipped' THEN id END IGNORE NULLS) OVER (PARTITION BY keyword_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_id FROM c)
+SELECT p.*, c.position AS previous_position FROM p LEFT JOIN c ON c.id = p.previous_id""")
 def previous_real_check(spark, d):
-    return external.with_previous(_checks(spark, d)).select("id", "keyword_id", "status", "position", "previous_id")
+    return external.with_previous(_checks(spark, d)).select("id", "keyword_id", "status", "position", "previous_id", "previous_position")
 
 
 def _ranked(spark, d):
@@ -118,7 +119,9 @@ def brand_mentions(spark, d):
     return external.brand_mentions(answers, spark.createDataFrame(BRANDS, "owner string, ord int, terms array<string>")).select("answer_id", "owner")
 
 
-@query("share_of_voice")
+@query("share_of_voice", "WITH m AS (" + " UNION ALL ".join(
+    "SELECT doc_id, '{0}' AS owner FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\w\\p{{L}}\\p{{N}}\\p{{M}}-])({1})($|[^\\w\\p{{L}}\\p{{N}}\\p{{M}}-])')".format(o, "|".join(t)) for o, _, t in BRANDS
+) + "), c AS (SELECT owner, count(DISTINCT doc_id) AS answers FROM m GROUP BY owner) SELECT owner, answers, round(answers / (sum(answers) OVER ())::DOUBLE, 3) AS share FROM c")
 def share_of_voice(spark, d):
     answers = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), "text")
     return external.share_of_voice(external.brand_mentions(answers, spark.createDataFrame(BRANDS, "owner string, ord int, terms array<string>")))
@@ -133,18 +136,17 @@ def vitals_ratings(spark, d):
     return external.vitals_ratings(v).select("url", "rating")
 
 
-@query("heading_terms", """WITH w AS (SELECT DISTINCT page_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(h1, '')), '[a-z'']+'))) AS w FROM pages),
-t AS (SELECT DISTINCT page_id, CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) ELSE w END AS term FROM w WHERE length(w) > 2 AND w NOT IN ({0}))
-SELECT term, count(*) AS pages FROM t WHERE term NOT IN ({0}) GROUP BY term ORDER BY pages DESC, term LIMIT 15""".format(", ".join(f"'{w}'" for w in [*external.HEADING_STOP_WORDS, "garden"])))
+@query("heading_terms", """WITH w AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(coalesce(h1, '')), '[a-z]{{3,}}')) AS term FROM pages)
+SELECT term, count(*) AS pages FROM w WHERE term NOT IN ({0}) AND CASE WHEN length(term) > 3 AND term LIKE '%s' THEN substr(term, 1, length(term) - 1) ELSE term END <> 'garden' GROUP BY term ORDER BY pages DESC, term LIMIT 15""".format(", ".join(f"'{w}'" for w in external.HEADING_STOP_WORDS)))
 def heading_terms(spark, d):
     p = table(spark, d, "pages").groupBy("page_id").agg(F.collect_set("h1").alias("h2")).select(F.col("page_id").alias("url"), "h2", F.lit(1).alias("word_count"), F.lit(1).alias("ref_domains"), F.array(F.lit("Page")).alias("schema_types"))
-    return external.content_summary(p, "garden")["terms"]
+    return external.content_summary(p, "gardens")["terms"]
 
 
-@query("event_totals", "SELECT user_id::VARCHAR AS session_id, event_type AS kind, count(*) AS events FROM events GROUP BY 1, 2")
+@query("event_totals", "SELECT user_id::VARCHAR AS session_id, event_type AS kind, count(*) AS events, epoch_us(max(ts)) AS last_at FROM events GROUP BY 1, 2")
 def event_totals(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
-    return streams.running_totals(e).drop("last_at")
+    return streams.running_totals(e).withColumn("last_at", F.unix_micros(F.col("last_at").cast("timestamp")))
 
 
 @query("project_domains", "SELECT DISTINCT start_url, regexp_replace(regexp_replace(lower(regexp_extract(start_url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':\\d*$', ''), '^www\\.', '') AS domain FROM audits WHERE start_url IS NOT NULL")
