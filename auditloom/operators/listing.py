@@ -52,7 +52,7 @@ def sample_pages(pages: DataFrame, scores: DataFrame, start_url: str, priority:
 
     ``scores``: node, score. A report of fixed size.
     """
-    first = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("url")) if priority else F.lit(0)
+    first = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]).cast("array<string>"), F.col("url")), F.lit(0).cast("long"))
     p = pages.where(eligible(F.col("status"), F.col("content_type"))).dropDuplicates(["url"]).join(scores.withColumnRenamed("node", "url"), "url", "left")
     level = F.when(F.col("url") == start_url, 0).when(first > 0, 1).when(F.col("score").isNotNull(), 2).otherwise(3)
     return p.orderBy(level, first, F.desc_nulls_last("score"), "depth", "url").select("url", level.alias("level")).limit(limit)
@@ -71,3 +71,69 @@ def latest_in_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def summary_fields(report: DataFrame, fields: list[str]) -> DataFrame:
     """Only the allowed fields that the report has."""
     return report.select(*[f for f in fields if f in report.columns])
+
+
+def due(rows: DataFrame, schedule: str, last: str, now: Column) -> DataFrame:
+    """Rows whose daily or weekly schedule is due: never run, or the interval has passed; other schedules never are."""
+    # Hours of the schedules.
+    hours = F.when(F.col(schedule) == "daily", 24).when(F.col(schedule) == "weekly", 168)
+    waited = F.unix_micros(now) - F.unix_micros(F.col(last).cast("timestamp"))
+    return rows.where(hours.isNotNull() & (F.col(last).isNull() | (waited >= hours * F.lit(3_600_000_000))))
+
+
+def search_listing(rows: DataFrame, sort: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One window of search rows: by position from the best on, by other metrics from the largest on, ties by id."""
+    return rows.orderBy(F.asc(sort) if sort == "position" else F.desc(sort), "id").offset(offset).limit(limit)
+
+
+def ranked_listing(rows: DataFrame, rank: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One window of referring domains or links from the highest rank on, unknown ranks last, ties by id."""
+    return rows.orderBy(F.desc_nulls_last(rank), "id").offset(offset).limit(limit)
+
+
+def resolve_aliases(links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Links (src, dst) whose target is the page that its address stands for; ``aliases``: url, alias_of (final)."""
+    known = aliases.where("alias_of is not null").groupBy("url").agg(F.min("alias_of").alias("_to"))
+    return links.join(known.withColumnRenamed("url", "dst"), "dst", "left").select("src", F.coalesce("_to", "dst").alias("dst"))
+
+
+def hub_table(hubs: DataFrame, pages: DataFrame, scores: DataFrame) -> DataFrame:
+    """Hubs (node, links) with title and status of their pages and their importance, null where unknown."""
+    p = pages.select(F.col("url").alias("node"), "title", "status").dropDuplicates(["node"])
+    return hubs.join(p, "node", "left").join(scores, "node", "left").select("node", "links", "title", "status", "score")
+
+
+def broken_link_statuses(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Backlink rows with ``crawled_status``, the status of their target in the latest audit, met by normalised address."""
+    from auditloom.functions.urls import normalize_url
+
+    crawled = pages.where("status is not null").groupBy(normalize_url(F.col("url")).alias("_k")).agg(F.max("status").alias("crawled_status"))
+    return links.withColumn("_k", normalize_url(F.col("url_to"))).join(crawled, "_k", "left").drop("_k")
+
+
+def history_since(checks: DataFrame, key: str, now: Column, days: int = 90) -> DataFrame:
+    """Checks of the last ``days``, by key, time and id."""
+    return checks.where(F.col("checked_at") >= now - F.make_dt_interval(F.lit(days))).orderBy(key, "checked_at", "id")
+
+
+def biggest_moves(overview: DataFrame, n: int, key: str = "keyword_id") -> DataFrame:
+    """The ``n`` rows whose position changed most, either way, ties by key."""
+    return overview.where("change is not null and change <> 0").orderBy(F.desc(F.abs("change")), key).limit(n)
+
+
+def gap_series(checks: DataFrame, key: str = "keyword_id") -> DataFrame:
+    """Each check's position, null where it was skipped or not ranked, and the scale of its key: its worst position, at least 10."""
+    shown = F.when(F.col("status") != "skipped", F.col("position"))
+    scale = checks.groupBy(key).agg(F.greatest(F.lit(10), F.max(shown)).alias("max_position"))
+    return checks.select(key, "id", shown.alias("position")).join(scale, key)
+
+
+def not_yet_seen(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Addresses of the frontier and the sitemaps that were neither queued nor visited, once each."""
+    return found.select("url").distinct().join(seen.select("url"), "url", "left_anti")
+
+
+def severity_tally(rows: DataFrame, *keys: str) -> DataFrame:
+    """How many rows are critical, warnings and infos."""
+    n = lambda s: F.sum((F.col("severity") == s).cast("long")).alias(s)
+    return rows.groupBy(*keys).agg(n("critical"), n("warning"), n("info"))

@@ -26,7 +26,7 @@ def running_totals(events: DataFrame) -> DataFrame:
 def progress(events: DataFrame, planned: int) -> DataFrame:
     """Per session: pages done, percent of ``planned``, pages a second and seconds left."""
     done = events.where("kind = 'page_crawled'").groupBy("session_id").agg(F.count("*").alias("pages"), F.min("at").alias("began"), F.max("at").alias("last"))
-    seconds = (F.unix_micros("last") - F.unix_micros("began")) / 1e6
+    seconds = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp"))) / 1e6
     rate = F.try_divide(F.col("pages").cast("double"), seconds)
     return done.select("session_id", "pages", F.round(F.least(F.col("pages") / planned * 100, F.lit(100.0)), 1).alias("percent"), F.round(rate, 2).alias("pages_per_second"),
                        F.round(F.try_divide(F.greatest(F.lit(planned) - F.col("pages"), F.lit(0)).cast("double"), rate), 1).alias("seconds_left"))
