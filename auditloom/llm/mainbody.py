@@ -50,7 +50,8 @@ _CELL = frozenset("td th tr dt dd blockquote caption figcaption".split())
 _QUOTED = frozenset(["code", "pre", "samp", "kbd"])
 _USED = sorted(_BLOCK | _BORDER | _CELL | _QUOTED | {"a", "button", "title", "br"})
 _TOKEN = re.compile(r"<(/?)(?:(" + "|".join(_USED) + r")\b|[a-zA-Z!?])[^<>]*>", re.I)
-_CRUMB = re.compile(r"\s[»›>/|→·](?:\s|$)")
+_MARKS = "»›>/|→·"
+_CRUMB = re.compile(rf"\s[{_MARKS}](?:\s|$)")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -64,9 +65,10 @@ class Line:
 
     @property
     def weight(self) -> int:
-        if len(self.text) < 200 and self.tag in ("p", "div", "li") and len(_CRUMB.findall(self.text)) >= 2:
+        text = self.text
+        if len(text) < 200 and self.tag in ("p", "div", "li") and any(c in text for c in _MARKS) and len(_CRUMB.findall(text)) >= 2:
             return 0  # a trail of sections
-        return max(0, len(self.text) - self.linked)
+        return max(0, len(text) - self.linked)
 
 
 def _plain(parts: list[str]) -> str:
@@ -174,24 +176,26 @@ def _key(*parts: str) -> int:
 
 def _masked(text: str) -> tuple[str, int]:
     """``text`` with words that hold a capital letter as X, and the number of other words with letters."""
-    out, kept = [], 0
-    for word in text.split():
-        if word.islower() or (word.isalpha() and word.lower() == word.upper()):  # also scripts without capitals
+    words = text.split()
+    kept = 0
+    for i, word in enumerate(words):
+        if word.islower():
             kept += 1
         elif word.lower() != word:
-            word = "X"
-        out.append(word)
-    return " ".join(out), kept
+            words[i] = "X"
+        else:
+            kept += word.isalpha()  # scripts without capitals
+    return " ".join(words), kept
 
 
-def wording(line: Line) -> tuple[int, bool]:
-    """A hash of a line's wording, and whether it is exact.
+def wording(line: Line, text: str | None = None) -> tuple[int, bool]:
+    """A hash of a line's wording, and whether it is exact; ``text`` is that of the line with numbers as 0, if known.
 
     Without numbers and capitalised words (names) and by the kind of line, where ``KEPT_WORDS`` other words
     are left; else the exact tag and text, digits aside.
     """
     linked = "a" if line.linked * 2 > len(line.text) else ""
-    text = _DIGITS.sub("0", line.text)
+    text = _DIGITS.sub("0", line.text) if text is None else text
     masked, kept = _masked(text)
     if kept < KEPT_WORDS:
         return _key("exact", line.tag, linked, text), True
@@ -255,7 +259,8 @@ def _lines_of_pages(cache: DataFrame, more: list[tuple[str, str, pa.DataType]],
                     if got is None:
                         if len(known) > 50_000:
                             known.clear()
-                        got = known[of] = (x.weight, _key(x.tag, _DIGITS.sub("0", x.text)), *wording(x))
+                        bare = _DIGITS.sub("0", x.text)
+                        got = known[of] = (x.weight, _key(x.tag, bare), *wording(x, bare))
                     weight.append(got[0]), site.append(got[1] ^ hk), words.append(got[2]), exact.append(got[3])
                 urls.append(url)
                 hosts.append(hk)

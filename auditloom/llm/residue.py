@@ -97,12 +97,12 @@ _QUOTED = re.compile(r"“[^”]{0,200}”|„[^“”]{0,200}[“”]|«[^»]{0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s+(?=#\d+\s)")
 _TRACE = re.compile(r"^#?\d+\s+\S|^at [\w.$<>]+\(|\bon line \d+|^file \"[^\"]+\", line \d+")
 _PART = re.compile(r"\s+[|–—»·-]\s+")
-_NUMBER = re.compile(r"\w*\d\w*")
+_NUMBER = re.compile(r"\d\w*")
 _LISTED = re.compile("|".join(_FILLER + _MESSAGES))
 
 
 def unit_wording(text: str) -> str:
-    """A unit in lower case, single spaces and with numbers and identifiers as 0, by which near-duplicates are compared."""
+    """A unit in lower case, single spaces and with numbers, and identifiers from their first digit on, as 0, by which near-duplicates are compared."""
     return " ".join(_NUMBER.sub("0", text).lower().split())
 
 
