@@ -1,40 +1,43 @@
 """Near-duplicate pages by the generalised pigeonhole principle over their word-run sets.
 
 A page is a bit vector with one bit for each possible run of words. A Jaccard similarity of at least t
-between sets of sizes a and b means a Hamming distance of at most (1 - t) / (1 + t) * (a + b). Correlated
-bits, those that recur on much of the collection as a large site's frame does, form a band of their own
-and the others another; each band is split into partitions. With thresholds of 0 (equal) or -1 (not
-probed) that leave the pigeonhole bound intact, two near pages agree on some probed partition. Dynamic
-programming on estimated candidate counts allots the partitions to the bands.
-
-How often each partition value occurs is then counted in a sketch. Values that are empty or shared by
-many pages get the threshold -1 on pages that have no more of them than the slack; a page with more
-probes all of its own. Two near pages agree on more partitions than the slack, so on at least the slack
-plus one, less the lower of their numbers of such values, among those probed: pairs that agree on fewer
-are dropped and no near pair is lost. Candidates are verified on the exact sets. Equal sets are collapsed
-before and expanded at the end.
+between sets of sizes a and b means a Hamming distance of at most (1 - t) / (1 + t) * (a + b). Within a class
+of sizes the bits fall into partitions, some for each class, by their hash; a partition's value is that of all bits of a
+page in it. Two near pages differ in no more partitions than their distance.
+
+How many pages share each value is counted exactly. A page with more values of its own than its largest
+distance is near to none and leaves. Each of the rest gets a threshold for each of its partitions, 0 (probed for an equal
+value) or -1 (not probed): of all allotments that keep the pigeonhole bound, the one with the fewest
+candidates by those counts. As a partition costs what its count says, whatever the others get, the dynamic programme
+over them comes down to taking them in the order of their counts. Values that no other page has cost nothing and come first;
+values of a site's frame or of a template, shared by many, come last and are rarely probed. A few
+partitions more than the bound asks for are probed, and a pair must agree on so many more of them.
+Candidates are verified on the exact sets. Equal sets are collapsed before and expanded at the end.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.components import connected_components
+from auditloom.llm.components import SALTS, connected_components
 from auditloom.llm.html import latest_pages, page_html, visible_words
-from auditloom.runtime import cut_lineage, spread
+from auditloom.runtime import broadcast_if_small, cut_lineage, join_per_key, small_enough, spread, stored
 
 RUN = 5
-#: Counters of a frequency sketch (two rows of 16 bits each), the share of all sets (and their number)
-#: from which a run counts as correlated, and the pages from which a partition value is shared by many.
-SKETCH_BITS, COMMON_SHARE, COMMON_LEAST, MANY = 21, 0.02, 64, 48
-FAN_IN = 16
+#: Sizes up to which each bit is a partition of its own; above, sizes double from class to class, and the
+#: largest of a class has so many bits a partition, of which there are at least so many: enough that the
+#: partitions with bits outnumber the distance but for accidents of the hash rarer than 1 in 10 ** 15.
+SMALL, BITS, LEAST = 32, 4, 32
+#: Partitions that are probed beyond the bound.
+EXTRA = 8
+#: Repeated values, and bytes of sets, that are broadcast at most.
+VALUES_HELD, SETS_HELD = 1_000_000, 64 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -52,293 +55,139 @@ def word_runs(words: list[str], run: int = RUN) -> np.ndarray:
     """The set of word runs as sorted 64-bit hashes; fewer words than a run make the empty set."""
     if len(words) < run:
         return np.empty(0, np.int64)
-    ids = np.fromiter((zlib.crc32(b) << 32 | zlib.adler32(b) for b in map(str.encode, words, ["utf-8"] * len(words), ["surrogatepass"] * len(words))), np.uint64, len(words))
-    ids = mix(ids)
-    out = np.zeros(len(ids) - run + 1, np.uint64)
+    text = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero(text == 10)  # words hold no white space
+    starts = np.concatenate([[0], ends[:-1] + 1])
     with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int((ends - starts).max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        at = np.arange(len(text)) - np.repeat(starts, ends - starts + 1)
+        ids = mix(np.add.reduceat(mix(text.astype(np.uint64), 3) * power[at], starts))
+        out = np.zeros(len(ids) - run + 1, np.uint64)
         for k in range(run):
             out = mix(out * np.uint64(3) + ids[k : len(ids) - run + 1 + k], k)
     return np.unique(out.view(np.int64))
 
 
-def _set_hash(runs: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(mix(runs.view(np.uint64), 7).sum(keepdims=True) ^ np.uint64(len(runs)), 8).view(np.int64)[0])
-
-
-def page_sets(cache: DataFrame) -> DataFrame:
-    """``(url, sid, n, runs)`` of every page with at least one run of words; ``sid`` identifies the set."""
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, sids, sizes, sets = [], [], [], []
-            for url, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = page_html(blob.as_py())
-                runs = word_runs(visible_words(text)) if text else ()
-                if len(runs):
-                    urls.append(url)
-                    sids.append(_set_hash(runs))
-                    sizes.append(len(runs))
-                    sets.append(runs)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(urls, pa.string()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["url", "sid", "n", "runs"]
-            )
-
-    return spread(latest_pages(cache)).mapInArrow(parse, "url string, sid long, n int, runs array<long>")
+def top(n: int) -> int:
+    """The largest size of the class of ``n``."""
+    return SMALL if n <= SMALL else SMALL << math.ceil(math.log2(n / SMALL) - 1e-12)
 
 
-def _slots(runs: np.ndarray) -> np.ndarray:
-    h = mix(runs.view(np.uint64), 21)
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return np.stack([h & mask, ((h >> np.uint64(32)) & mask) + np.uint64(1 << SKETCH_BITS)]).astype(np.int64)
-
-
-_SKETCH = "block int, node int, data binary"
-
-
-def frequency_sketch(values: DataFrame) -> np.ndarray:
-    """A count-min sketch (saturating) over all values of a column of BIGINT arrays: two rows of fixed size."""
-    size, block = 2 << SKETCH_BITS, 1 << 19
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def cells(runs: np.ndarray, largest: int) -> np.ndarray:
+    """The values of all partitions that hold a bit of the set, in the class of sizes up to ``largest``."""
+    bits = runs.view(np.uint64)
+    if largest <= SMALL:
+        return mix(bits, 50).view(np.int64)
+    total = np.zeros(max(LEAST, largest // BITS), np.uint64)
+    part = (mix(bits, 31) % np.uint64(len(total))).astype(np.int64)
+    with np.errstate(over="ignore"):
+        np.add.at(total, part, mix(bits, 41))
+        held = np.bincount(part, minlength=len(total)) > 0
+        number = np.arange(len(total), dtype=np.uint64) + np.uint64(largest << 32)
+        return mix(total + mix(number, 43), 44)[held].view(np.int64)
 
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.column(0).slice(i, 512).flatten().to_numpy()
-                counts += np.bincount(_slots(part).ravel(), minlength=size) if len(part) > size // 16 else 0
-                if len(part) <= size // 16:
-                    np.add.at(counts, _slots(part).ravel(), 1)
-        counts = np.minimum(counts, 65535).astype(np.uint16)
-        node = TaskContext.get().partitionId()
-        for b in range(size // block):
-            one = counts[b * block : (b + 1) * block]
-            if one.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "node": pa.array([node], pa.int32()), "data": [zlib.compress(one, 1)]})
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.int64)
-        for data in t["data"].to_pylist():
-            total += np.frombuffer(zlib.decompress(data), np.uint16)
-        total = np.minimum(total, 65535).astype(np.uint16)
-        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "node": pa.array([t["node"][0].as_py() // FAN_IN], pa.int32()), "data": [zlib.compress(total, 1)]})
+def distance(larger: Column, smaller: Column, threshold: float) -> Column:
+    """The largest Hamming distance of a near pair of these sizes."""
+    return F.floor((larger + smaller) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
 
-    nodes = values.rdd.getNumPartitions()
-    level = values.mapInArrow(build, _SKETCH)
-    while nodes > 1:
-        level = level.groupBy("block", F.expr(f"node div {FAN_IN}").alias("g")).applyInArrow(lambda key, t: add(t), _SKETCH)
-        nodes = -(-nodes // FAN_IN)
-    out = np.zeros(size, np.uint16)
-    for row in level.toLocalIterator():
-        out[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.data), np.uint16)
-    return out
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    for batch in batches:
+        urls, sets = [], []
+        for url, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = page_html(blob.as_py())
+            runs = word_runs(visible_words(text)) if text else ()
+            if len(runs):
+                urls.append(url)
+                sets.append(runs)
+        yield urls, sets
 
-class Scheme:
-    """Size classes and the pigeonhole bound of a similarity threshold."""
 
-    def __init__(self, threshold: float):
-        self.t = threshold
-        self.tops = [1]
-        while self.tops[-1] < 1 << 31:
-            self.tops.append(max(self.tops[-1] + 1, math.floor((self.tops[-1] + 1) / threshold)))
-        self.edges = np.asarray(self.tops)
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
 
-    def of(self, n: int) -> int:
-        return int(np.searchsorted(self.edges, n))
 
-    def distance(self, k: int) -> int:
-        """The largest Hamming distance of a near pair whose larger set is in class ``k``."""
-        return math.floor((1 - self.t) / (1 + self.t) * 2 * self.tops[k] + 1e-9)
+def page_cells(cache: DataFrame, threshold: float) -> DataFrame:
+    """``(url, a, b, n, own, next)`` of every page with a run of words.
 
-    def slack(self, k: int, role: str) -> int:
-        """Partitions beyond the bound, so many may go unprobed."""
-        return 2 + self.distance(k) // (12 if role == "rich" else 4)
+    ``a`` and ``b`` are hashes of its set, ``n`` its size, ``own`` the partition values in its class, ``next`` those in the
+    following one if a near page may be of that.
+    """
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for urls, sets in _sets(batches):
+            with np.errstate(over="ignore"):
+                both = [[int(mix(mix(x.view(np.uint64), s).sum(keepdims=True) ^ np.uint64(len(x)), s + 1).view(np.int64)[0]) for x in sets] for s in (7, 17)]
+            own = [cells(x, top(len(x))) for x in sets]
+            following = [cells(x, 2 * top(len(x))) if len(x) / threshold > top(len(x)) else x[:0] for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(urls, pa.string()), *[pa.array(h, pa.int64()) for h in both], pa.array([len(x) for x in sets], pa.int32()), _lists(own), _lists(following)],
+                ["url", "a", "b", "n", "own", "next"],
+            )
 
-    def budget(self, k: int, role: str) -> int:
-        """Partitions of a class: its distance allows all but one plus the slack to differ."""
-        return self.distance(k) + 1 + self.slack(k, role)
+    return spread(latest_pages(cache)).mapInArrow(parse, "url string, a long, b long, n int, own array<long>, next array<long>")
 
-    def rich(self, k: int) -> int:
-        """Uncorrelated runs from which a page needs no others to fill its partitions."""
-        return 4 * self.budget(k, "rich")
 
-    def roles(self, k: int, uncorrelated: int) -> list[str]:
-        """As what a page is compared in a class: ``rich`` in bands, ``poor`` with all its runs in one.
+def sets_of(cache: DataFrame, urls: DataFrame) -> DataFrame:
+    """``(url, runs)``: the sets of the pages of some urls."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, sets in _sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), _lists(sets)], ["url", "runs"])
 
-        Near pages have a role in common, as their numbers of uncorrelated runs differ by no more than the distance.
-        """
-        return ["rich"] * (uncorrelated >= self.rich(k)) + ["poor"] * (uncorrelated < self.rich(k) + self.distance(k))
+    some = cache.join(broadcast_if_small(urls.select("url")), "url", "left_semi")
+    return spread(latest_pages(some)).mapInArrow(parse, "url string, runs array<long>")
 
 
-def allocate(pages: float, bands: list[tuple[float, float, float]], budget: int, slack: int) -> tuple[int, ...]:
-    """Partitions for each band, ``budget`` in all, with the fewest estimated candidates.
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: pairs of sets that agree on enough of the probed partitions; every near pair is among them, ``a`` the larger set.
 
-    A band is (mean runs of a page in it, mean pages that share a run, correlation of its runs). Dynamic
-    programming over the bands: with s runs in k partitions, each gives the pages that share one run of
-    it and then the rest; where more partitions stay empty than the slack takes, pages meet in those.
+    ``reps``: sid BIGINT (unique), n, own, next.
     """
-    def cost(size: float, df: float, corr: float, k: int) -> float:
-        if k == 0:
-            return 0.0
-        fill = size / k
-        empty = k * math.exp(-fill)
-        return k * pages * max(0.0, min(df, pages) - 1) * corr ** max(0.0, fill - 1) + (pages * pages if 2 * empty > slack else 0.0)
-
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for band in bands:
-        nxt: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (c, ks) in best.items():
-            for k in range(budget - used + 1):
-                v = c + cost(*band, k)
-                if used + k not in nxt or v < nxt[used + k][0]:
-                    nxt[used + k] = (v, (*ks, k))
-        best = nxt
-    return best[budget][1]
-
-
-class Partitioner:
-    """Partition values of a set, the same on every task."""
-
-    def __init__(self, scheme: Scheme, plan: dict[tuple[int, str], tuple[int, ...]], sketch: bytes, common: int):
-        self.scheme, self.plan, self.sketch, self.common = scheme, plan, sketch, common
-
-    def correlated(self, runs: np.ndarray) -> np.ndarray:
-        """Which runs belong to the band of correlated ones."""
-        return np.frombuffer(self.sketch, np.uint16)[_slots(runs)].min(axis=0) >= self.common
-
-    def values(self, runs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(number of class and role, slack, values, which are empty) for each class and role in which the set is compared."""
-        corr = self.correlated(runs)
-        hashed, content = mix(runs.view(np.uint64), 31), mix(runs.view(np.uint64), 41)
-        own = self.scheme.of(len(runs))
-        for k in (own, own + 1):
-            for role in self.scheme.roles(k, int((~corr).sum())):
-                out, empty = [], []
-                members = (~corr, corr) if role == "rich" else (np.ones(len(runs), bool),)
-                for band, (count, member) in enumerate(zip(self.plan[(k, role)], members, strict=True)):
-                    if not count:
-                        continue
-                    part = (hashed[member] % np.uint64(count)).astype(np.int64)
-                    total = np.zeros(count, np.uint64)
-                    with np.errstate(over="ignore"):
-                        np.add.at(total, part, content[member])
-                        tag = (k * 4 + band * 2 + (role == "rich")) << 32
-                        out.append(mix(total + mix(np.arange(count, dtype=np.uint64) + np.uint64(tag), 43), 44))
-                    empty.append(np.bincount(part, minlength=count) == 0)
-                yield k * 2 + (role == "rich"), self.scheme.slack(k, role), np.concatenate(out).view(np.int64), np.concatenate(empty)
-
-
-def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` for every two different sets of at least ``threshold`` similarity, ``a`` < ``b``.
-
-    ``sets`` has one row a set: ``sid`` BIGINT (unique), ``n`` its size, ``runs`` its sorted hashes. It is
-    read several times, so cut its lineage first.
-    """
-    spark = sets.sparkSession
-    scheme = Scheme(threshold)
-    common = int(min(60_000, max(COMMON_LEAST, COMMON_SHARE * sets.count())))
-    frequency = spark.sparkContext.broadcast(frequency_sketch(sets.select("runs")).tobytes())  # 8 MB
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(frequency.value, np.uint16)
-        sums: dict[tuple[int, str], np.ndarray] = {}
-        for batch in batches:
-            for runs in batch.column(0):
-                df = counts[_slots(runs.values.to_numpy())].min(axis=0)
-                corr = df >= common
-                row = np.array([1, (~corr).sum(), corr.sum(), df[~corr].sum(), df[corr].sum()], np.float64)
-                k = scheme.of(len(df))
-                for key in [(c, r) for c in (k, k + 1) for r in scheme.roles(c, int(row[1]))]:
-                    sums[key] = sums.get(key, 0) + row
-        yield pa.RecordBatch.from_pydict(
-            {"k": pa.array([x[0] for x in sums], pa.int32()), "role": pa.array([x[1] for x in sums], pa.string())}
-            | {f"s{i}": pa.array([v[i] for v in sums.values()], pa.float64()) for i in range(5)}
-        )
-
-    stats = (
-        sets.select("runs").mapInArrow(measure, "k int, role string, s0 double, s1 double, s2 double, s3 double, s4 double")
-        .groupBy("k", "role").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)])
-    )
-    plan = {
-        (r.k, r.role): allocate(
-            r.s0,
-            [(r.s1 / r.s0, r.s3 / max(1.0, r.s1), 0.4), (r.s2 / r.s0, r.s4 / max(1.0, r.s2), 0.95)] if r.role == "rich"
-            else [((r.s1 + r.s2) / r.s0, (r.s3 + r.s4) / max(1.0, r.s1 + r.s2), 0.6)],
-            scheme.budget(r.k, r.role), scheme.slack(r.k, r.role),
-        )
-        for r in stats.collect()  # two rows a size class
-    }
-
-    def partitioner() -> Partitioner:
-        return Partitioner(scheme, plan, frequency.value, common)
-
-    def all_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = partitioner()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                out = [v[~e] for runs in batch.column(0).slice(i, 512) for _, _, v, e in p.values(runs.values.to_numpy())]
-                flat = np.concatenate(out) if out else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], ["values"])
-
-    shared_by = spark.sparkContext.broadcast(frequency_sketch(sets.select("runs").mapInArrow(all_values, "values array<long>")).tobytes())  # 8 MB
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, counts = partitioner(), np.frombuffer(shared_by.value, np.uint16)
-        for batch in batches:
-            sigs, owner, need = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for j, runs in enumerate(batch.column(2)):
-                for tag, slack, values, empty in p.values(runs.values.to_numpy()):
-                    estimate = counts[_slots(values)].min(axis=0)
-                    many = empty | (estimate >= MANY)
-                    skipped = int(many.sum())
-                    keep = empty | (estimate > 1)  # a value that no other page has finds nothing
-                    if skipped <= slack:
-                        keep &= ~many
-                    values = values[keep]
-                    sigs.append(values)
-                    owner.append(np.full(len(values), j))
-                    # A near page agrees on more partitions than the slack, all but the skipped among those probed.
-                    need.append(np.full(len(values), tag << 16 | max(1, slack + 1 - skipped), np.int32))
-            at = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(need))], ["sig", "sid", "n", "need"]
-            )
-
-    probes = sets.select("sid", "n", "runs").mapInArrow(probe, "sig long, sid long, n int, need int")
-    left, right = (probes.select("sig", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need{x}")) for x in "ab")
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)
-    met = left.join(right, "sig").where((F.col("a") < F.col("b")) & near & (F.shiftright("needa", 16) == F.shiftright("needb", 16)))
-    agreed = met.groupBy("a", "b", F.shiftright("needa", 16).alias("tag")).agg(
-        F.count("*").alias("agreed"), F.max(F.greatest("needa", "needb").bitwiseAND(F.lit(0xFFFF))).alias("needed")
-    )
-    pairs = cut_lineage(agreed.where("agreed >= needed").select("a", "b").distinct())
-    used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = sets.join(used, "sid", "left_semi").select("sid", "n", "runs")
-    both = F.size(F.array_intersect("ra", "rb"))
-    return (
-        pairs.join(wanted.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("runs").alias("ra")), "a")
-        .join(wanted.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("runs").alias("rb")), "b")
-        .select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+    side = lambda c: reps.where(F.size(c) > 0).select("sid", "n", F.lit(c == "own").alias("own"), F.size(c).alias("held"), F.explode(c).alias("sig"))
+    values = side("own").unionByName(side("next"))
+    shared_by = cut_lineage(values.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"))
+    met = values.join(F.broadcast(shared_by) if small_enough(shared_by, VALUES_HELD) else shared_by, "sig")
+    each = Window.partitionBy("sid", "own")  # no more rows than a set has partitions
+    n = F.col("n").cast("double")
+    met = met.select(
+        "sid", "n", "own", "sig", "df", (F.col("held") - F.count("*").over(each)).alias("alone"), F.row_number().over(each.orderBy("df", "sig")).alias("order"), F.count("*").over(each).alias("shared"),
+    ).where(F.col("alone") <= distance(n / threshold, n, threshold))
+    met = cut_lineage(met)
+    most = distance(n, n, threshold)
+    probes = F.least(F.col("shared"), most + 1 + EXTRA - F.col("alone"))  # thresholds 0, in the order of their counts; the rest -1
+    left = met.where(F.col("own") & (F.col("alone") <= most) & (F.col("order") <= probes)).select(
+        "sig", F.col("sid").alias("a"), F.col("n").alias("na"), (F.col("alone") + probes - most).alias("needed")
     )
+    right = met.select("sig", F.col("sid").alias("b"), F.col("n").alias("nb"))
+    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    both = left.join(right, "sig").where(smaller & (F.col("nb") >= F.col("na") * F.lit(threshold - 1e-9)))
+    return both.groupBy("a", "b").agg(F.count("*").alias("agreed"), F.max("needed").alias("needed")).where("agreed >= needed").select("a", "b")
 
 
 def near_pages(cache: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Members ``(url, sid)`` of each distinct set and near pairs ``(a, b, similarity)`` of distinct sets.
 
     A page is the latest row of its url; null and broken blobs hold none. Pages of fewer than five words
-    have no runs and match nothing. Any number of equal pages is one set. Empty tables give no rows.
+    have no runs and match nothing. Any number of equal pages is one set; sets are told apart by 128 bits.
+    Empty tables give no rows.
     """
-    pages = cut_lineage(page_sets(cache))
-    reps = cut_lineage(
-        pages.groupBy("sid").agg(F.min("url").alias("url"))
-        .join(pages.select("url", "n", "runs"), "url").select("sid", "n", "runs")
-    )
-    return pages.select("url", "sid"), near_pairs(reps, threshold)
+    pages = stored(page_cells(cache, threshold))
+    first = cut_lineage(pages.groupBy("a", "b").agg(F.min("url").alias("url")))
+    for salt in range(SALTS):  # until no two sets share a number
+        number = F.xxhash64(F.lit(salt), "a", "b")
+        if not first.groupBy(number.alias("sid")).count().where("count > 1").limit(1).count():
+            break
+    reps = pages.join(broadcast_if_small(first.select("url")), "url", "left_semi").select(number.alias("sid"), "url", "n", "own", "next")
+    pairs = cut_lineage(candidates(reps, threshold))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = cut_lineage(reps.select("sid", "url", "n").join(broadcast_if_small(used), "sid", "left_semi"))
+    sets = stored(sets_of(cache, wanted).join(broadcast_if_small(wanted), "url").select("sid", "n", "runs"))
+    held = (wanted.agg(F.sum("n")).first()[0] or 0) * 8 <= SETS_HELD
+    side = lambda x: (F.broadcast if held else lambda y: y)(sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")))
+    both = F.size(F.array_intersect("ra", "rb"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    return pages.select("url", number.alias("sid")), near.where(F.col("similarity") >= threshold)
 
 
 def page_pairs(cache: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -350,12 +199,13 @@ def page_pairs(cache: DataFrame, threshold: float = 0.85) -> DataFrame:
     members, pairs = near_pages(cache, threshold)
     a, b = (members.select(F.col("url").alias(f"u{x}"), F.col("sid").alias(x)) for x in "ab")
     across = pairs.join(a, "a").join(b, "b").select(F.least("ua", "ub").alias("url_a"), F.greatest("ua", "ub").alias("url_b"))
-    crowd = members.groupBy("sid").count().where("count > 1").select("sid")
-    shared = members.join(crowd, "sid", "left_semi")
-    equal = (
-        shared.select(F.col("url").alias("url_a"), "sid").join(shared.select(F.col("url").alias("url_b"), "sid"), "sid")
-        .where("url_a < url_b").select("url_a", "url_b")
-    )
+    # Each page of a crowd meets a slice of the others at a time, so that a large crowd is spread over many tasks.
+    size = cut_lineage(members.groupBy("sid").agg(F.count("*").alias("k")).where("k > 1"))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("k") / 1000)).cast("int")
+    shared = join_per_key(members, size.select("sid", slices.alias("slices")), "sid")
+    left = shared.select(F.col("url").alias("url_a"), "sid", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    right = shared.select(F.col("url").alias("url_b"), "sid", F.pmod(F.xxhash64("url"), F.col("slices").cast("long")).cast("int").alias("slice"))
+    equal = left.join(right, ["sid", "slice"]).where("url_a < url_b").select("url_a", "url_b")
     return across.unionByName(equal)
 
 
@@ -375,6 +225,6 @@ def page_classes(cache: DataFrame, threshold: float = 0.85) -> DataFrame:
     )
     copies = members.groupBy("sid").agg(F.count("*").alias("copies"))
     facts = copies.join(degree, "sid", "left").join(parts.withColumnRenamed("node", "sid"), "sid", "left")
-    return members.join(facts, "sid").select(
+    return join_per_key(members, facts, "sid").select(
         "url", F.coalesce("component", "sid").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links")
     )

@@ -6,10 +6,10 @@ import random
 
 import numpy as np
 
+from auditloom.llm import mainbody, neardup
 from auditloom.llm.html import page_html, visible_words
-from auditloom.llm import mainbody
 from auditloom.llm.mainbody import body_spans, main_blocks, page_lines
-from auditloom.llm.neardup import Scheme, allocate, page_classes, page_pairs, word_runs
+from auditloom.llm.neardup import candidates, cells, page_cells, page_classes, page_pairs, top, word_runs
 from auditloom.llm.residue import grams, has_placeholder, propagate, residue_pages, simhashes, trusted_label, unit_wording
 
 T = dt.datetime(2025, 1, 1)
@@ -66,15 +66,23 @@ def test_near_pairs_lose_nothing(spark):
     assert page_pairs(cache(spark, pages).limit(0)).count() == 0
 
 
-def test_near_pairs_where_everything_is_shared(spark, monkeypatch):
-    from auditloom.llm import neardup
-
-    monkeypatch.setattr(neardup, "MANY", 3)  # nearly every value counts as shared by many
-    monkeypatch.setattr(neardup, "COMMON_LEAST", 2)
+def test_near_pairs_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "VALUES_HELD", 0)
+    monkeypatch.setattr(neardup, "SETS_HELD", 0)
     pages = near_corpus()
     assert {tuple(r) for r in page_pairs(cache(spark, pages)).collect()} == brute(pages)
 
 
+def test_thin_pages_of_one_template_are_no_candidates(spark):
+    """300 pages that share most of their runs in threes of four words, but have more own runs than the distance."""
+    rng = random.Random(6)
+    frame = " ".join(f"frame{i}" for i in range(90))
+    pages = [(f"https://t.example/{i}", f"<p>{frame}</p><p>{' '.join(f'own{rng.randrange(10**9)}' for _ in range(40))}</p>") for i in range(300)]
+    assert len(brute(pages)) == 0
+    reps = page_cells(cache(spark, pages), 0.85).where("url like 'https://t%'").selectExpr("a as sid", "n", "own", "next")
+    assert candidates(reps, 0.85).count() == 0
+
+
 def test_classes(spark):
     pages = near_corpus()
     got = {r.url: r for r in page_classes(cache(spark, pages)).collect()}
@@ -83,13 +91,18 @@ def test_classes(spark):
     assert len({r.class_id for r in got.values()}) > 50
 
 
-def test_scheme_and_allocation():
-    s = Scheme(0.85)
-    for n in range(1, 400):
-        k = s.of(n)
-        most = max(m for m in range(n, 500) if n >= 0.85 * m)
-        assert s.of(most) in (k, k + 1) and s.distance(s.of(most)) >= int((0.15 / 1.85) * (n + most))
-    assert sum(allocate(1000, [(300, 2, 0.4), (80, 500, 0.95)], 60, 5)) == 60 and allocate(1000, [(300, 2, 0.4), (80, 500, 0.95)], 60, 5)[0] > 55
+def test_classes_and_partitions():
+    """Near sets meet in a class, and every changed bit changes at most one partition."""
+    assert [top(n) for n in (1, 32, 33, 64, 65, 129)] == [32, 32, 64, 64, 128, 256]
+    rng = np.random.default_rng(3)
+    for n in (5, 32, 33, 60, 64, 65, 120, 350, 1000):
+        base = np.unique(rng.integers(-(2**62), 2**62, n))
+        for largest in (top(n), 2 * top(n)):
+            own = cells(base, largest)
+            assert len(own) == len(set(own.tolist())) > 2 * n * 0.15 / 1.85
+            k = max(1, n // 10)
+            other = np.unique(np.concatenate([base[k:], rng.integers(-(2**62), 2**62, k)]))
+            assert len(set(own.tolist()) - set(cells(other, largest).tolist())) <= 2 * k
 
 
 NAV = "<ul>" + "".join(f'<li><a href="/{x}">{x} pages</a></li>' for x in "abcde") + "</ul>"
