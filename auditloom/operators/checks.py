@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import urls as U
 
+# Severities, codes, limits and messages of the issues stand in the checks below.
 ISSUE = "struct<severity:string,code:string,message:string>"
 
 

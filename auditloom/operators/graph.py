@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.runtime import broadcast_if_small, cut_lineage
+from auditloom.runtime import broadcast_if_small, cut_lineage, join_per_key
 
 HUB_LINKS = 150
+#: Steps after which convergence is looked at.
+CHECKED = 4
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iteration
     """``(node, score)``: importance over distinct edges between known nodes; scores sum to 1.
 
     The mass of nodes without links out is spread evenly. It ends after ``iterations`` or when all scores
-    together move less than ``tolerance`` a node (None: never before). Self links count.
+    together move less than ``tolerance`` a node, looked at every ``CHECKED`` steps (None: never). Self links count.
     """
     nodes = cut_lineage(nodes.select("node").distinct())
     n = nodes.count()
@@ -71,21 +73,17 @@ def page_rank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iteration
     known = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     fan = known.groupBy("src").agg(F.count("*").alias("fan"))
     weighted = cut_lineage(known.join(fan, "src").select("src", "dst", (F.lit(1.0) / F.col("fan")).alias("w")).repartition("src"))
-    sinks = nodes.join(weighted.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
-    base = cut_lineage(nodes.join(sinks, "node", "left").select("node", F.coalesce("sink", F.lit(False)).alias("sink")))
-    rank = base.withColumn("score", F.lit(1.0 / n))
-    for i in range(iterations):
-        lost = rank.where("sink").agg(F.sum("score")).first()[0] or 0.0
+    rank = nodes.withColumn("score", F.lit(1.0 / n))
+    for i in range(1, iterations + 1):
         given = weighted.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        even = (1 - alpha) / n + alpha * lost / n
-        after = rank.select("node", "sink", F.col("score").alias("old")).join(given, "node", "left").select(
-            "node", "sink", "old", (F.lit(even) + F.lit(alpha) * F.coalesce("got", F.lit(0.0))).alias("score")
-        )
-        after = cut_lineage(after)
-        rank = after.select("node", "sink", "score")
-        if tolerance is not None and after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tolerance:
+        step = cut_lineage(rank.withColumnRenamed("score", "old").join(given, "node", "left").select("node", "old", F.coalesce("got", F.lit(0.0)).alias("got")))
+        # All scores sum to 1, so what no link gave on is what nodes without links out hold: one sum tells it.
+        even = (1 - alpha * step.agg(F.sum("got")).first()[0]) / n
+        after = step.select("node", "old", (F.lit(even) + F.lit(alpha) * F.col("got")).alias("score"))
+        rank = after.select("node", "score")
+        if tolerance is not None and i % CHECKED == 0 and after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tolerance:
             break
-    return rank.select("node", "score")
+    return rank
 
 
 def linked_groups(pairs: DataFrame) -> DataFrame:
@@ -94,7 +92,7 @@ def linked_groups(pairs: DataFrame) -> DataFrame:
     e = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut_lineage(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("group")))
     while True:
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
+        near = join_per_key(e, label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
         step = label.join(near, "node").select("node", F.least("group", "near").alias("group"), F.col("group").alias("was"))
         # Shortcut: the group of one's group.
         step = step.join(step.select(F.col("node").alias("g"), F.col("group").alias("gg")), F.col("group") == F.col("g"), "left").select(

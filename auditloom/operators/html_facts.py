@@ -19,6 +19,8 @@ from auditloom.runtime import spread
 HIDDEN = frozenset(["script", "style", "noscript"])
 HEADING_KEPT, DATA_KEPT = 100, 500
 _SKIPPED_LINKS = ("mailto:", "tel:", "javascript:", "#")
+# Resources that a page loads, with the attribute that names them; an inline font size that is too small.
+_RESOURCES = {"img": "src", "script": "src", "link": "href", "iframe": "src"}
 _SMALL = re.compile(r"font-size:\s*(?:[0-9]|1[01])px")
 _ROOTS = re.compile(r"^(root|app|__next)$")
 
@@ -77,6 +79,9 @@ def _meta(nodes: list[Node], **want: str) -> Node | None:
     return next((n for n in nodes if n.attrs.get(key, "").lower() == value), None)
 
 
+# Severities, codes, limits and messages of the issues stand where ``analyse`` raises them.
+
+
 def analyse(url: str, final_url: str, source: str, selectors: list[list] | None = None) -> dict:
     """Facts, links and issues of one page; an empty source gives empty facts and no issues."""
     issues: list[tuple[str, str, str]] = []
@@ -92,12 +97,12 @@ def analyse(url: str, final_url: str, source: str, selectors: list[list] | None
     of = lambda *tags: [n for n in nodes if n.tag in tags] if len(tags) > 1 else by.get(tags[0], [])
     metas, links, scripts = of("meta"), of("link"), of("script")
 
-    # Insecure resources, at most one for each kind
-    if urlsplit(final_url or url).scheme == "https":
-        for tag, attr in (("img", "src"), ("script", "src"), ("link", "href"), ("iframe", "src")):
-            bad = next((n.attrs[attr] for n in of(tag) if n.attrs.get(attr, "").startswith("http://")), None)
-            if bad:
-                add("warning", "MIXED_CONTENT", f"Insecure {tag} resource: {bad}")
+    # Insecure resources of a secure page: the first of each kind
+    secure = (final_url or url).lower().startswith("https:")
+    plain = {kind: [x for n in by.get(kind, ()) if (x := n.attrs.get(where, ""))[:7] == "http://"] for kind, where in _RESOURCES.items() if secure}
+    for kind, found in plain.items():
+        for x in found[:1]:
+            add("warning", "MIXED_CONTENT", f"Insecure {kind} resource: {x}")
     # Canonical
     canon = [n for n in links if "canonical" in n.attrs.get("rel", "").lower()]
     facts["canonical"] = canon[0].attrs.get("href") if canon else None

@@ -7,11 +7,11 @@ import uuid
 
 import numpy as np
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast by this library only below this many rows, counted first.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast by this library only below this many rows and bytes of texts and lists, counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -87,9 +87,22 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven small, else unchanged (a shuffled join follows)."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def _width(name: str, kind: str) -> Column | None:
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.octet_length(c)
+    if kind.startswith("array"):
+        return F.size(c) * 8 if kind in ("array<bigint>", "array<int>", "array<double>") else F.octet_length(F.to_json(c))
+    return F.octet_length(F.to_json(c)) if kind.startswith(("map", "struct")) else None
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small in rows and bytes, else unchanged (a shuffled join follows)."""
+    widths = [F.sum(F.coalesce(w, F.lit(0)).cast("long")) for n, t in df.dtypes if (w := _width(n, t)) is not None]
+    if not widths:
+        return F.broadcast(df) if small_enough(df, rows) else df
+    count, *sizes = df.limit(rows + 1).agg(F.count("*"), *widths).first()
+    return F.broadcast(df) if count <= rows and sum(x or 0 for x in sizes) <= bytes_ else df
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, share: float = 0.001, least: int = 10_000) -> DataFrame:

@@ -74,3 +74,22 @@ def test_audit_diffs(spark):
     assert {(r.url, r.change) for r in d["pages"].collect()} == {("/fresh", "added"), ("/gone", "removed")}
     assert [(r.url, r.old_status, r.new_status) for r in d["statuses"].collect()] == [("/b", 200, 404)]
     assert d["scores"].first().change == -4.5
+
+
+def test_heavy_keys_are_joined_apart(spark):
+    """Keys of many rows, few rows and no partner, and an empty side, against a plain join."""
+    from auditloom.runtime import join_per_key
+
+    many = spark.createDataFrame([(0, i) for i in range(400)] + [(i, i) for i in range(1, 40)] + [(None, 1)], "k int, v int")
+    one = spark.createDataFrame([(i, f"x{i}") for i in range(0, 60, 2)], "k int, name string")
+    for least in (10, 10_000):
+        assert sorted(map(tuple, join_per_key(many, one, "k", least=least).collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+    assert join_per_key(many.limit(0), one, "k").count() == join_per_key(many, one.limit(0), "k", least=10).count() == 0
+
+
+def test_sides_are_broadcast_by_rows_and_bytes(spark):
+    from auditloom.runtime import broadcast_if_small
+
+    df = spark.createDataFrame([("x" * 1000, [1, 2])] * 20, "t string, a array<bigint>")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().logical().toString() or "broadcast" in d._jdf.queryExecution().logical().toString()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, rows=19)) and not hinted(broadcast_if_small(df, bytes_=10_000))
