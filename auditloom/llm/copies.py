@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from auditloom.runtime import cut_lineage
 
-#: Bits a record in the filter, hash functions, and the largest filter that is broadcast. With more
-#: records than the bound serves well, more singletons are called possible repeats; results stay exact.
+#: Bits a record in the filter, hash functions, and the largest filter that is broadcast. More records take
+#: several filters, one for each range of hashes, and a pass over the 16-byte hashes for each.
 BITS_PER_RECORD, HASHES, MAX_FILTER_BYTES = 16, 3, 64 << 20
 SLICE_BYTES, FAN_IN = 1 << 20, 16
 #: A group of copies above this share of all records is joined by broadcast; at most 1 / share exist.
@@ -170,7 +171,10 @@ def collapse_copies(
     )
     hashed = cut_lineage(hashed)
     records = hashed.count()
-    probed = cut_lineage(possible_repeats(hashed, records, max_bytes))
+    # One filter for each range of hashes, so that none outgrows its bound whatever the number of records.
+    ranges = max(1, -(-records * BITS_PER_RECORD // (8 * max_bytes)))
+    each = [possible_repeats(hashed.where(F.pmod(F.shiftrightunsigned("h1", 32), F.lit(ranges)) == r), -(-records // ranges), max_bytes) for r in range(ranges)]
+    probed = cut_lineage(reduce(DataFrame.unionByName, each))
     single = probed.where("not possible").select("id", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
     # Exact grouping of the possible repeats; first by id too, so that a hot group is spread over all tasks.
     distinct = probed.where("possible").select("scope", "h1", "h2", "id").distinct()

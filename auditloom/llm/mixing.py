@@ -82,8 +82,12 @@ def mix_documents(documents: DataFrame, targets: DataFrame, vocabulary: str | No
     cells = pool.groupBy("mix_name", "source", "lang", "kind").agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
-    lang_all = {r.lang: float(r.n) for r in sized.groupBy("lang").agg(F.sum("tokens").alias("n")).limit(MAX_CELLS).collect()}
-    kind_all = {r.kind: float(r.n) for r in sized.groupBy("kind").agg(F.sum("tokens").alias("n")).limit(MAX_CELLS).collect()}
+    # Languages and topics of the mixes only, which the check above bounds; their tokens over all documents.
+    def over_all(name: str) -> dict[str, float]:
+        used = F.broadcast(spark.createDataFrame([(x,) for x in {c[name] for c in cells}], f"{name} string"))
+        return {r[name]: float(r.n) for r in sized.join(used, name).groupBy(name).agg(F.sum("tokens").alias("n")).collect()}
+
+    lang_all, kind_all = over_all("lang"), over_all("kind")
     rates: list[tuple] = []
     size: dict[tuple[str, str], float] = {}
     for mix in sorted({g.mix_name for g in goals}):
@@ -163,3 +167,14 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         .select("mix_name", "source", "target_share", (zero("tokens") / F.coalesce("all", F.lit(1))).alias("actual_share"),
                 zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_uses").alias("most_uses"))
     )
+
+
+def mix_marginals(mixed: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(mix_name, dimension, value, tokens, share)``: tokens of each language (``lang``) and topic (``doc_kind``) in each mix.
+
+    A null language or topic is ``?``. Empty mixes give no rows.
+    """
+    facts = documents.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(c, F.lit("?")).alias("value")) for c in ("lang", "doc_kind")])).alias("x")).select("doc_id", "x.*").distinct()
+    sums = mixed.join(facts, "doc_id").groupBy("mix_name", "dimension", "value").agg(F.sum(F.col("tokens").cast("long") * F.col("uses")).alias("tokens"))
+    whole = sums.groupBy("mix_name", "dimension").agg(F.sum("tokens").alias("all"))
+    return sums.join(whole, ["mix_name", "dimension"]).select("mix_name", "dimension", "value", "tokens", F.round(F.col("tokens") / F.col("all"), 4).alias("share"))

@@ -37,7 +37,7 @@ SMALL, BITS, LEAST = 32, 4, 32
 #: Partitions that are probed beyond the bound.
 EXTRA = 8
 #: Repeated values, and bytes of sets, that are broadcast at most.
-VALUES_HELD, SETS_HELD = 1_000_000, 64 << 20
+VALUES_HELD, SETS_HELD = 500_000, 24 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -184,9 +184,10 @@ def near_pages(cache: DataFrame, threshold: float = 0.85) -> tuple[DataFrame, Da
     wanted = cut_lineage(reps.select("sid", "url", "n").join(broadcast_if_small(used), "sid", "left_semi"))
     sets = stored(sets_of(cache, wanted).join(broadcast_if_small(wanted), "url").select("sid", "n", "runs"))
     held = (wanted.agg(F.sum("n")).first()[0] or 0) * 8 <= SETS_HELD
-    side = lambda x: (F.broadcast if held else lambda y: y)(sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")))
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}"))
     both = F.size(F.array_intersect("ra", "rb"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    # Held sets meet the pairs where those met the sets of the other side, so no set is moved for each of its pairs.
+    near = pairs.join(side("a").hint("merge"), "a").join(F.broadcast(side("b")) if held else side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
     return pages.select("url", number.alias("sid")), near.where(F.col("similarity") >= threshold)
 
 

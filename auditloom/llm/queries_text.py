@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from auditloom.llm.encoding import misread_documents
 from auditloom.llm.mainbody import main_blocks
-from auditloom.llm.mixing import mix_documents, mix_shares
+from auditloom.llm.mixing import mix_documents, mix_marginals, mix_shares
 from auditloom.llm.packing import pack, packing_report
 from auditloom.llm.residue import residue_pages
 from auditloom.llm.tokens import with_tokens
@@ -36,6 +38,40 @@ def p8_report(spark, d):
     return packing_report(p8_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+def p8_placed(spark, d):
+    """For each spec: texts placed, containers over capacity, texts split though they fit, and pieces that don't follow one another."""
+    specs = table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").distinct()
+    packed = cut_lineage(p8_containers(spark, d))
+    full = packed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("held")).join(specs, "spec_id")
+    over = full.groupBy("spec_id").agg(F.sum((F.col("held") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    text = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("last")).join(specs, "spec_id")
+    split = (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))
+    kept = text.groupBy("spec_id").agg(F.count("*").alias("documents"), F.sum(split.cast("long")).alias("split"), F.sum((F.col("last") != F.col("tokens")).cast("long")).alias("broken"))
+    return kept.join(over, "spec_id").select("spec_id", "documents", "overfull", "split", "broken")
+
+
+P8_PLACED_SQL = "SELECT spec_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split, 0::BIGINT AS broken FROM (SELECT DISTINCT spec_id FROM pack_specs)"
+
+
+def p9_marginals(spark, d):
+    """Shares of languages and topics in each mix beside those in all documents, in tokens."""
+    return mix_marginals(p9_mixes(spark, d), table(spark, d, "documents"))
+
+
+def p9_uses(spark, d):
+    """For each mix and source that has texts: texts used more often than allowed, and used through two documents."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets").groupBy("mix_name", "source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
+    mixed = cut_lineage(p9_mixes(spark, d))
+    texts = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"))
+    used = mixed.join(texts, "doc_id").join(targets, ["mix_name", "source"])
+    over = used.groupBy("mix_name", "source").agg(F.sum((F.col("uses") > F.col("repeats")).cast("long")).alias("overused"))
+    twice = used.groupBy("mix_name", "t").agg(F.count("*").alias("n"), F.min("source").alias("source")).groupBy("mix_name", "source").agg(F.sum((F.col("n") > 1).cast("long")).alias("twice"))
+    return over.join(twice, ["mix_name", "source"], "left").select("mix_name", "source", "overused", F.coalesce("twice", F.lit(0).cast("long")).alias("twice"))
+
+
+P9_USES_SQL = "SELECT DISTINCT mix_name, source, 0::BIGINT AS overused, 0::BIGINT AS twice FROM mix_targets JOIN documents USING (source) WHERE text <> '' AND target_share > 0 AND max_repeats > 0"
+
+
 def p9_mixes(spark, d):
     """The documents of each mix and how often each is used."""
     return mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -61,7 +97,10 @@ QUERIES = {
     "p7_reasons": (p7_reasons, None),
     "p8_containers": (p8_containers, None),
     "p8_report": (p8_report, None),
+    "p8_placed": (p8_placed, P8_PLACED_SQL),
     "p9_mixes": (p9_mixes, None),
+    "p9_uses": (p9_uses, P9_USES_SQL),
+    "p9_marginals": (p9_marginals, None),
     "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_restored": (p10_restored, None),

@@ -14,6 +14,7 @@ from auditloom.llm.copies import canonical_address, collapse_copies, repeat_filt
 from auditloom.llm.percentiles import exact_percentiles, page_parts, value_parts
 
 import numpy as np
+import pyarrow as pa
 
 
 def rows(df):
@@ -92,6 +93,17 @@ def test_union_find():
     assert dict(zip(x.tolist(), y.tolist())) == {n: g for n, g in brute_groups([e for e in edges if e[0] != e[1]]).items() if n != g}
 
 
+def test_forests_are_shrunk_a_logarithmic_number_of_times(monkeypatch):
+    """A forest that stays large is not gone over again with every batch."""
+    calls = []
+    monkeypatch.setattr(C, "MAX_TASK_EDGES", 100)
+    monkeypatch.setattr(C, "union_find", lambda a, b: (calls.append(len(a)), union_find(a, b))[1])
+    n = 20_000
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array(range(i + 1, i + 51))], ["a", "b"]) for i in range(0, n, 50))
+    out = pa.Table.from_batches(C._forest(batches))
+    assert out.num_rows == n and set(out["b"].to_pylist()) == {0} and len(calls) <= 12 and sum(calls) <= 5 * n
+
+
 def test_components_in_bounded_partitions(spark, monkeypatch):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(1000, 1200)]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditloom.llm import encoding as E
-from auditloom.llm.mixing import mix_documents, mix_shares, rake
+from auditloom.llm.mixing import mix_documents, mix_marginals, mix_shares, rake
 from auditloom.llm.packing import pack, packing_report, sum_of_squares
 from auditloom.llm.tokens import encoder, with_tokens
 
@@ -120,6 +120,10 @@ def test_mixing(spark):
     for s, share, cap in (("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3)):
         assert abs(got["m", s].actual_share - share) < 0.01 and got["m", s].most_uses <= cap
     assert got["gap", "absent"].actual_share == 0 and got["gap", "mid"].actual_share == 1.0 and got["none", "absent"].tokens == 0
+    marks = mix_marginals(mixed.where("mix_name = 'm'"), df).collect()
+    for dimension, values in (("lang", {"en", "de", "?"}), ("doc_kind", {"note", "?"})):
+        own = {r.value: r.share for r in marks if r.dimension == dimension}
+        assert set(own) == values and abs(sum(own.values()) - 1) < 0.001 and max(own.values()) < 1.5 / len(values)
     ids = {r.doc_id for r in mixed.collect()}
     assert not ids & {2000, 2001, 2002, 2003} or 5 not in ids
     assert mix_documents(df.limit(0), targets).count() == 0 and mix_documents(df, targets.limit(0)).count() == 0
