@@ -287,8 +287,11 @@ class Lines:
         self.weight, self.wording, self.site = (self.flat(n) for n in ("weight", "wording", "site"))
         self.hk = np.repeat(batch.column("hk").to_numpy(), self.sizes)
 
+    def column(self, name: str) -> pa.Array:
+        return self._lists[name].flatten()
+
     def flat(self, name: str) -> np.ndarray:
-        return self._lists[name].flatten().to_numpy(zero_copy_only=False)
+        return self.column(name).to_numpy(zero_copy_only=False)
 
     def inside(self, frame: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Lines with text in the main body, given sorted keys of frame lines and wordings known as such."""

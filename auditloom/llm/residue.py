@@ -192,7 +192,7 @@ def _units_of(lines: Lines, inside: np.ndarray) -> pa.RecordBatch:
     keep = np.flatnonzero(inside & (chars > 0))
     tops = np.diff(lines.batch.column("top").offsets.to_numpy())
     page = np.concatenate([lines.page[keep], np.repeat(np.arange(lines.batch.num_rows), tops)])
-    words = lines.flat("words")[keep].tolist() + lines.flat("top").tolist()
+    words = lines.column("words").take(pa.array(keep)).to_pylist() + lines.column("top").to_pylist()
     each = {w: i for i, w in enumerate(dict.fromkeys(words))}
     at = np.array([each[w] for w in words], np.int64)
     ids = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in each], np.int64)
