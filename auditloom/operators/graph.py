@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.runtime import broadcast_if_small, cut_lineage, join_per_key
+from auditloom.runtime import broadcast_if_small, cut_lineage, discard, join_per_key, stored
 
 HUB_LINKS = 150
 #: Steps after which convergence is looked at.
@@ -73,10 +73,13 @@ def page_rank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, iteration
     known = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     fan = known.groupBy("src").agg(F.count("*").alias("fan"))
     weighted = cut_lineage(known.join(fan, "src").select("src", "dst", (F.lit(1.0) / F.col("fan")).alias("w")).repartition("src"))
-    rank = nodes.withColumn("score", F.lit(1.0 / n))
+    rank, step = nodes.withColumn("score", F.lit(1.0 / n)), None
     for i in range(1, iterations + 1):
+        before = step
         given = weighted.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        step = cut_lineage(rank.withColumnRenamed("score", "old").join(given, "node", "left").select("node", "old", F.coalesce("got", F.lit(0.0)).alias("got")))
+        step = stored(rank.withColumnRenamed("score", "old").join(given, "node", "left").select("node", "old", F.coalesce("got", F.lit(0.0)).alias("got")))
+        if before is not None:
+            discard(before)  # nothing reads the step before last
         # All scores sum to 1, so what no link gave on is what nodes without links out hold: one sum tells it.
         even = (1 - alpha * step.agg(F.sum("got")).first()[0]) / n
         after = step.select("node", "old", (F.lit(even) + F.lit(alpha) * F.col("got")).alias("score"))
