@@ -37,7 +37,7 @@ SMALL, BITS, LEAST = 32, 4, 32
 #: Partitions that are probed beyond the bound.
 EXTRA = 8
 #: Repeated values, and bytes of sets, that are broadcast at most.
-VALUES_HELD, SETS_HELD = 500_000, 24 << 20
+VALUES_HELD, SETS_HELD = 1_000_000, 24 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
