@@ -66,7 +66,9 @@ def p9_uses(spark, d):
     used = mixed.join(texts, "doc_id").join(targets, ["mix_name", "source"])
     over = used.groupBy("mix_name", "source").agg(F.sum((F.col("uses") > F.col("repeats")).cast("long")).alias("overused"))
     twice = used.groupBy("mix_name", "t").agg(F.count("*").alias("n"), F.min("source").alias("source")).groupBy("mix_name", "source").agg(F.sum((F.col("n") > 1).cast("long")).alias("twice"))
-    return over.join(twice, ["mix_name", "source"], "left").select("mix_name", "source", "overused", F.coalesce("twice", F.lit(0).cast("long")).alias("twice"))
+    every = targets.where("share > 0 and repeats > 0").join(documents.where("text <> ''").select("source").distinct(), "source").select("mix_name", "source")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.join(over, ["mix_name", "source"], "left").join(twice, ["mix_name", "source"], "left").select("mix_name", "source", zero("overused"), zero("twice"))
 
 
 P9_USES_SQL = "SELECT DISTINCT mix_name, source, 0::BIGINT AS overused, 0::BIGINT AS twice FROM mix_targets JOIN documents USING (source) WHERE text <> '' AND target_share > 0 AND max_repeats > 0"
