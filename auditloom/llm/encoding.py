@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.runtime import cut_lineage, spread
+from auditloom.runtime import cut_lineage, join_per_key, spread, stored
 
 # Pairs of true and wrong encoding, and how often the text was misread.
 PAIRS: list[tuple[str, str, int]] = [
@@ -34,10 +34,13 @@ PAIRS: list[tuple[str, str, int]] = [
     ("iso8859-5", "cp1251", 1), ("cp1251", "mac_roman", 1), ("cp1250", "mac_roman", 1),
 ]
 LOST = "�"
-#: States: 0 clean, 1.. pairs, last lost. Character pairs kept by the model (the most frequent).
+#: States: 0 clean, 1.. pairs, last lost. Character pairs held by every task besides those of the pages (the most frequent); others are joined.
 STATES, MAX_BIGRAMS = len(PAIRS) + 2, 200_000
 _FLOOR = math.log(1e-8)
 _ASCII = 1 << 7
+_LOW, _PAIR = (1 << 21) - 1, 1 << 42
+#: Distinct characters and pairs that a task counts before it hands them on.
+_COUNTED = 1 << 19
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\xa0]+|[\r\n]+")
 _SHORT_QUOTE = re.compile(r"\"[^\"\n]{1,12}\"|“[^”\n]{1,12}”|‘[^’\n]{1,12}’|«[^»\n]{1,12}»|„[^“”\n]{1,12}[“”]|'[^'\n]{1,12}'")
 
@@ -57,6 +60,8 @@ def _page(codec: str) -> tuple[list[str], dict[str, int]]:
 
 
 _PAGES = {c: _page(c) for c in {w for _, w, _ in PAIRS} | {t for t, _, _ in PAIRS if t != "utf-8"}}
+#: Characters of any page, 522: misread text is written in them, so only the clean state can know a pair beyond them.
+_PAGE_CODES = np.array(sorted({ord(c) for chars, _ in _PAGES.values() for c in chars} | set(range(_ASCII))), np.int64)
 
 
 def misread(text: str, pair: tuple[str, str, int]) -> str | None:
@@ -105,13 +110,21 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def character_counts(texts: DataFrame) -> dict[int, int]:
+def character_counts(texts: DataFrame) -> tuple[dict[int, int], dict[int, int], DataFrame | None]:
     """Counts over all texts of single characters (code point) and of pairs with a character beyond ASCII.
 
-    A pair is coded as (first << 21 | second) + (1 << 42). All characters and the ``MAX_BIGRAMS`` most frequent pairs are kept.
+    A pair is coded as (first << 21 | second) + (1 << 42). Returned are the counts that every task holds: all
+    characters, all pairs of page characters and the ``MAX_BIGRAMS`` most frequent others; then the sums of the
+    remaining pairs by last byte of the first and first byte of the second character in UTF-8 (coded as a pair
+    with these bytes), which is all that the misread states take from them; and the remaining pairs themselves,
+    a table ``(code, n)``, or None if there are none. Pairs with a lost character are left out, no state uses them.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = defaultdict(int)
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
+
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for i in range(0, len(rows), 64):
@@ -120,25 +133,84 @@ def character_counts(texts: DataFrame) -> dict[int, int]:
                     continue
                 a, b = c[:-1], c[1:]
                 special = (a >= _ASCII) | (b >= _ASCII)
-                pairs = (a[special] << 21 | b[special]) + (1 << 42)
+                pairs = (a[special] << 21 | b[special]) + _PAIR
                 for keys in (c, pairs):
                     k, n = np.unique(keys, return_counts=True)
                     for x, y in zip(k.tolist(), n.tolist(), strict=True):
                         total[x] += y
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
+                if len(total) > _COUNTED:
+                    yield counted()
+                    total.clear()
+        yield counted()
 
     counts = cut_lineage(texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    single = F.col("code") < 1 << 42
-    often = counts.where(~single).orderBy(F.desc("n"), "code").limit(MAX_BIGRAMS)
-    return {r.code: r.n for r in counts.where(single).collect() + often.collect()}  # there are 1.1 million code points
+    a, b = F.shiftright("code", 21).bitwiseAND(_LOW), F.col("code").bitwiseAND(_LOW)
+    single, lost = F.col("code") < _PAIR, (a == ord(LOST)) | (b == ord(LOST))
+    pages = ", ".join(map(str, _PAGE_CODES.tolist()))
+    inner = F.expr(f"(shiftright(code, 21) & {_LOW}) IN ({pages}) AND (code & {_LOW}) IN ({pages})")
+    held = _as_dict(counts.where(single | inner))
+    others = counts.where(~single & ~inner & ~lost)
+    often = _as_dict(others.orderBy(F.desc("n"), "code").limit(MAX_BIGRAMS))
+    held.update(often)
+    if len(often) < MAX_BIGRAMS:
+        return held, {}, None
+    if often:
+        code, n = max(often.items(), key=lambda x: (-x[1], x[0]))  # the last one held
+        others = others.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("code") > code)))
+    last = F.when(a < _ASCII, a).otherwise(a.bitwiseAND(0x3F).bitwiseOR(0x80))
+    first = F.when(b < _ASCII, b).when(b < 0x800, F.shiftright(b, 6) + 0xC0).when(b < 0x10000, F.shiftright(b, 12) + 0xE0).otherwise(F.shiftright(b, 18) + 0xF0)
+    sums = _as_dict(others.groupBy((F.shiftleft(last, 21).bitwiseOR(first) + _PAIR).alias("code")).agg(F.sum("n").alias("n")))
+    return held, sums, others if sums else None
+
+
+def _as_dict(counts: DataFrame) -> dict[int, int]:
+    found = counts.toArrow()
+    return dict(zip(found["code"].to_pylist(), found["n"].to_pylist(), strict=True))
+
+
+def _unpaired(counts: dict[int, int]) -> dict[tuple[int, int], int]:
+    return {((k - _PAIR) >> 21, k & _LOW): n for k, n in counts.items() if k >= _PAIR}
+
+
+def _beginning(byte: int) -> int:
+    """A character whose first byte in UTF-8 is ``byte``."""
+    if byte < 0xE0:
+        return byte if byte < _ASCII else (byte & 0x1F) << 6
+    return max(0x800, (byte & 0x0F) << 12) if byte < 0xF0 else max(0x10000, (byte & 0x07) << 18)
+
+
+def _clean(n: int, first: int) -> float:
+    """Log-probability in the clean state of a pair counted ``n`` times, its first character ``first`` times."""
+    return max(_FLOOR, math.log(n / max(first, n)))
+
+
+def _sorted(values: dict[int, float], kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array(list(values), np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.array(list(values.values()), kind)[order]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` the sorted array ``known`` holds."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 class Model:
     """Emission log-probabilities of every known character pair in every state."""
 
-    def __init__(self, counts: dict[int, int]):
-        single = {k: n for k, n in counts.items() if k < 1 << 42}
-        pairs = {((k - (1 << 42)) >> 21, (k - (1 << 42)) & ((1 << 21) - 1)): n for k, n in counts.items() if k >= 1 << 42}
+    def __init__(self, counts: dict[int, int], sums: dict[int, int] | None = None):
+        single = {k: n for k, n in counts.items() if k < _PAIR}
+        pairs, beyond, pages = {}, {}, set(_PAGE_CODES.tolist())
+        for (a, b), n in _unpaired(counts).items():
+            (pairs if a in pages and b in pages else beyond)[(a, b)] = n
+        # Of pairs beyond the pages, a misread state takes the last byte of the first and the first byte of the second character.
+        classes = defaultdict(int, _unpaired(sums or {}))
+        for (a, b), n in beyond.items():
+            if not any(c == ord(LOST) or 0xD800 <= c < 0xE000 for c in (a, b)):
+                classes[chr(a).encode()[-1], chr(b).encode()[0]] += n
+        rest = [((a, _beginning(b)), n) for (a, b), n in classes.items()]  # U+0080 to U+00BF end in the byte of their own number
         self._forward: dict[tuple[int, int], str | None] = {}
         self._purge(single, pairs)
         rows: dict[tuple[int, int], np.ndarray] = {}
@@ -146,11 +218,8 @@ class Model:
         def put(state: int, ab: tuple[int, int], p: float) -> None:
             if ab not in rows:
                 rows[ab] = np.full(STATES, _FLOOR, np.float32)
-            rows[ab][state] = max(_FLOOR, math.log(p))
+            rows[ab][state] = max(_FLOOR, p)
 
-        for (a, b), n in pairs.items():
-            if a != ord(LOST) and b != ord(LOST):
-                put(0, (a, b), n / max(single.get(a, 0), n))
         for s, pair in enumerate(PAIRS, 1):
             seen: dict[tuple[int, int], float] = defaultdict(float)
             context: dict[int, float] = defaultdict(float)
@@ -159,7 +228,7 @@ class Model:
                 if f:
                     for c in f:
                         context[ord(c)] += n
-            for (a, b), n in pairs.items():
+            for (a, b), n in [*pairs.items(), *(rest if pair[0] == "utf-8" else ())]:
                 fa, fb = self._fwd(s, a), self._fwd(s, b)
                 if fa and fb and (fa != chr(a) or fb != chr(b) or a < _ASCII or b < _ASCII):
                     seen[(ord(fa[-1]), ord(fb[0]))] += n
@@ -169,18 +238,46 @@ class Model:
                     seen[(ord(x), ord(y))] += n
             for ab, n in seen.items():
                 if (ab[0] >= _ASCII or ab[1] >= _ASCII) and n > 0:
-                    put(s, ab, min(1.0, n / max(context.get(ab[0], 0.0), n)))
+                    put(s, ab, math.log(min(1.0, n / max(context.get(ab[0], 0.0), n))))
+        others: dict[int, float] = {}
+        for (a, b), n in [*pairs.items(), *beyond.items()]:
+            if a != ord(LOST) and b != ord(LOST):
+                p = _clean(n, single.get(a, 0))
+                if (a, b) in rows:
+                    put(0, (a, b), p)
+                else:
+                    others[a << 21 | b] = p
         keys = np.array([a << 21 | b for a, b in rows], np.int64)
         order = np.argsort(keys)
-        self.use(keys[order], np.array(list(rows.values()), np.float32).reshape(-1, STATES)[order])
+        self.use(keys[order], np.array(list(rows.values()), np.float32).reshape(-1, STATES)[order], _sorted(others))
         del self._forward
 
-    def use(self, keys: np.ndarray, table: np.ndarray) -> Model:
-        """Take over tables made elsewhere."""
-        self.keys, self.table = keys, table
+    def use(self, keys: np.ndarray, table: np.ndarray, clean: tuple[np.ndarray, np.ndarray]) -> Model:
+        """Take over tables made elsewhere: of the pairs that a misread state knows, and those that only the clean one does."""
+        self.keys, self.table, self.clean = keys, table, clean
+        known = np.concatenate([keys, clean[0]])
+        order = np.argsort(known, kind="stable")
+        self.values = [(known[order], np.concatenate([table[:, 0], clean[1]])[order])]
         self.gain = np.maximum(0, table[:, 1:].max(axis=1) - table[:, 0]) if len(keys) else np.zeros(0, np.float32)
         return self
 
+    def knowing(self, others: dict[int, float]) -> Model:
+        """This model with clean log-probabilities of further pairs."""
+        more = Model.__new__(Model)
+        more.keys, more.table, more.gain, more.values = self.keys, self.table, self.gain, [*self.values, _sorted(others)]
+        return more
+
+    def unknown(self, text: str) -> np.ndarray:
+        """The pairs of ``text`` with a character beyond ASCII whose clean log-probability may stand outside this model."""
+        codes = _codes(text)
+        a, b = codes[:-1], codes[1:]
+        outside = ~_among(codes, _PAGE_CODES)
+        keep = (outside[:-1] | outside[1:]) & (a != ord(LOST)) & (b != ord(LOST))
+        key = np.unique(a[keep] << 21 | b[keep])
+        for known, _ in self.values:
+            key = key[~_among(key, known)]
+        return key
+
     def _fwd(self, s: int, code: int) -> str | None:
         k = (s, code)
         if k not in self._forward:
@@ -218,10 +315,21 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             out[hit] = self.table[at[hit]]
-        lost = (key & ((1 << 21) - 1) == ord(LOST)) | (key >> 21 == ord(LOST))
+            out[~hit, 0] = self.clean_emissions(key[~hit])
+        lost = (key & _LOW == ord(LOST)) | (key >> 21 == ord(LOST))
         out[lost, STATES - 1] = math.log(0.02)
         return out
 
+    def clean_emissions(self, key: np.ndarray) -> np.ndarray:
+        """Log-probabilities of pairs in the clean state."""
+        out = np.full(len(key), _FLOOR, np.float32)
+        for known, value in self.values:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[at] == key
+                out[hit] = value[at[hit]]
+        return out
+
     def suspects(self, text: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Which of the stretches of ``text`` could leave the clean state at all, given what each step gains."""
         codes = _codes("\n" + text + "\n")
@@ -239,7 +347,10 @@ class Model:
 
     def score(self, text: str) -> tuple[float, float]:
         """Sum of clean log-probabilities over the special pairs and the share of known ones."""
-        e = self.emissions(_codes("\n" + text + "\n"))[:, 0]
+        codes = _codes("\n" + text + "\n")
+        a, b = codes[:-1], codes[1:]
+        special = (a >= _ASCII) | (b >= _ASCII)
+        e = self.clean_emissions(a[special] << 21 | b[special])
         return float(e.sum()), float((e > _FLOOR).mean()) if len(e) else 1.0
 
 
@@ -359,11 +470,11 @@ def label(sentences: list[str], model: Model) -> list[list[int]]:
     return found
 
 
-def mend_all(texts: list[str], model: Model) -> list[tuple[list[str], str]]:
-    """For each text the states of its misread sentences, and the text with those restored that can be."""
-    texts = [mark_losses(x) for x in texts]
-    whole, base, owner, begins, ends = [], 0, [], [], []
+def suspect_sentences(texts: list[str], model: Model) -> list[tuple[int, int, int]]:
+    """``(text, begin, end)`` of the sentences that could leave the clean state."""
+    whole, base, owner, begins, ends, bases = [], 0, [], [], [], []
     for k, text in enumerate(texts):
+        bases.append(base)
         if text.isascii():
             continue
         at = 0
@@ -377,24 +488,42 @@ def mend_all(texts: list[str], model: Model) -> list[tuple[list[str], str]]:
         whole.append(text)
         base += len(text) + 1
     joined = "\n".join(whole)
-    some = [i for i in model.suspects(joined, np.array(begins, np.int64), np.array(ends, np.int64)).tolist() if not joined[begins[i] : ends[i]].isascii()]
-    pieces = [joined[begins[i] : ends[i]] for i in some]
+    some = model.suspects(joined, np.array(begins, np.int64), np.array(ends, np.int64)).tolist()
+    return [(owner[i], begins[i] - bases[owner[i]], ends[i] - bases[owner[i]]) for i in some if not joined[begins[i] : ends[i]].isascii()]
+
+
+def mend_all(texts: list[str], model: Model) -> list[tuple[list[str], str]]:
+    """For each text the states of its misread sentences, and the text with those restored that can be."""
+    texts = [mark_losses(x) for x in texts]
+    some = suspect_sentences(texts, model)
+    pieces = [texts[k][begin:end] for k, begin, end in some]
     mended: dict[int, list[tuple[int, int, str, str]]] = {}
-    for i, piece, states in zip(some, pieces, label(pieces, model) if pieces else [], strict=True):
+    for (k, begin, end), piece, states in zip(some, pieces, label(pieces, model) if pieces else [], strict=True):
         found = mend_sentence(piece, states, model) if states else None
         if found:
-            mended.setdefault(owner[i], []).append((begins[i], ends[i], *found))
-    out, base = [], 0
+            mended.setdefault(k, []).append((begin, end, *found))
+    out = []
     for k, text in enumerate(texts):
         parts, at = [], 0
         for begin, end, _, new in mended.get(k, ()):
-            parts += [text[at : begin - base], new]
-            at = end - base
+            parts += [text[at:begin], new]
+            at = end
         out.append(([x[2] for x in mended.get(k, ())], "".join([*parts, text[at:]])))
-        base += 0 if text.isascii() else len(text) + 1
     return out
 
 
+def pairs_wanted(texts: list[str], model: Model) -> list[list[int]]:
+    """For each text the pairs that ``mend_all`` may ask ``model`` for in vain, those of every possible repair included."""
+    texts = [mark_losses(x) for x in texts]
+    out: list[set[int]] = [set() for _ in texts]
+    for k, begin, end in suspect_sentences(texts, model):
+        piece = texts[k][begin:end]
+        repairs = (reread(piece, pair) for pair in PAIRS)
+        forms = {piece, *(x.replace(LOST, "") for x in repairs if x is not None)}
+        out[k].update(model.unknown("".join(f"\n{x}\n" for x in forms)).tolist())
+    return [sorted(x) for x in out]
+
+
 def mend(text: str, model: Model) -> tuple[list[str], str]:
     """States of the misread sentences of ``text``, and the text with those restored that can be."""
     return mend_all([text], model)[0]
@@ -406,28 +535,78 @@ def misread_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     ``states`` names the encoding pairs found (true>wrong x times, or ``lost``), ``restored`` is the text
     with the inverse transforms applied, ``lost`` counts sentences that can't be restored. Null and empty
     texts are clean; repeated rows give repeated results; texts of any length are read whole; an empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns are ignored. Pairs of characters beyond those held by every task
+    (``character_counts``) are joined to the texts under suspicion that need them, so all pairs count.
     """
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null and text <> ''")
     texts = spread(texts)
-    model = Model(character_counts(texts.select("text")))
-    shared = documents.sparkSession.sparkContext.broadcast((model.keys, model.table))
+    counts, sums, rest = character_counts(texts.select("text"))
+    model = Model(counts, sums)
+    shared = documents.sparkSession.sparkContext.broadcast((model.keys, model.table, model.clean))
+    result = f"id {texts.schema['id'].dataType.simpleString()}, states array<string>, restored string, lost int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model).use(*shared.value)
         for batch in batches:
-            keep, states, restored, lost = [], [], [], []
+            keep, found = [], []
             for start in range(0, batch.num_rows, 256):
-                for i, (found, whole) in enumerate(mend_all(batch.column(1).slice(start, 256).to_pylist(), own), start):
-                    if found:
+                mended = mend_all(batch.column(1).slice(start, 256).to_pylist(), own)
+                keep += [i for i, x in enumerate(mended, start) if x[0]]
+                found += [x for x in mended if x[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *_columns(found)], ["id", "states", "restored", "lost"])
+
+    if rest is None:
+        return texts.mapInArrow(run, result)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As ``run``, but texts that need a pair which isn't held are passed on with the pairs they want."""
+        own = Model.__new__(Model).use(*shared.value)
+        for batch in batches:
+            keep, found, texts, wanted = [], [], [], []
+            for start in range(0, batch.num_rows, 256):
+                some = batch.column(2).slice(start, 256).to_pylist()
+                open_ = pairs_wanted(some, own)
+                settled = iter(mend_all([x for x, codes in zip(some, open_, strict=True) if not codes], own))
+                for i, (text, codes) in enumerate(zip(some, open_, strict=True), start):
+                    mended = ([], "") if codes else next(settled)
+                    if codes or mended[0]:
                         keep.append(i)
-                        states.append(sorted(set(found)))
-                        restored.append(whole)
-                        lost.append(found.count("lost"))
+                        found.append(mended)
+                        texts.append(text if codes else None)
+                        wanted.append([x + _PAIR for x in codes] or None)
+            at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(states, pa.list_(pa.string())), pa.array(restored, pa.string()), pa.array(lost, pa.int32())],
-                ["id", "states", "restored", "lost"],
+                [batch.column(0).take(at), batch.column(1).take(at), *_columns(found), pa.array(texts, pa.string()), pa.array(wanted, pa.list_(pa.int64()))],
+                ["row", "id", "states", "restored", "lost", "text", "wanted"],
             )
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, states array<string>, restored string, lost int")
+    singles = _sorted({k: n for k, n in counts.items() if k < _PAIR}, np.int64)
+    firsts = documents.sparkSession.sparkContext.broadcast(singles)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.__new__(Model).use(*shared.value)
+        codes, times = firsts.value
+        for batch in batches:
+            keep, found = [], []
+            for start in range(0, batch.num_rows, 256):
+                pairs = dict(zip(*(x.to_pylist() for x in batch.column(2).slice(start, 256).flatten().flatten()), strict=True))
+                first = times[np.searchsorted(codes, [(k - _PAIR) >> 21 for k in pairs])].tolist()
+                more = own.knowing({k - _PAIR: _clean(n, m) for (k, n), m in zip(pairs.items(), first, strict=True)})
+                mended = mend_all(batch.column(1).slice(start, 256).to_pylist(), more)
+                keep += [i for i, x in enumerate(mended, start) if x[0]]
+                found += [x for x in mended if x[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *_columns(found)], ["id", "states", "restored", "lost"])
+
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    sifted = stored(numbered.mapInArrow(sift, f"row long, {result}, text string, wanted array<long>"))
+    pending = sifted.where("wanted is not null")
+    counted = join_per_key(pending.select("row", F.explode("wanted").alias("code")), rest, "code")
+    counted = counted.groupBy("row").agg(F.collect_list(F.struct("code", "n")).alias("pairs"))
+    finished = pending.select("row", "id", "text").join(counted, "row", "left").select("id", "text", "pairs").mapInArrow(finish, result)
+    return sifted.where("wanted is null").select("id", "states", "restored", "lost").unionByName(finished)
+
+
+def _columns(found: list[tuple[list[str], str]]) -> list[pa.Array]:
+    """Columns ``states``, ``restored`` and ``lost`` of texts that ``mend_all`` mended."""
+    states, restored = [sorted(set(x)) for x, _ in found], [x for _, x in found]
+    return [pa.array(states, pa.list_(pa.string())), pa.array(restored, pa.string()), pa.array([x.count("lost") for x, _ in found], pa.int32())]

@@ -209,3 +209,45 @@ def test_misread_documents(spark):
     assert restored >= 0.95 * len(truth)
     assert {9001, 9002} <= set(got) and got[9001].lost == 1
     assert E.misread_documents(df.limit(0)).count() == 0
+
+
+def worded(n, letters, seed, first=20000):
+    """Sentences of made-up words of ``letters``, some misread as UTF-8 in another encoding."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(120)]
+    out, truth = [], {}
+    for i in range(first, first + n):
+        parts = [" ".join(rng.choice(words) for _ in range(8)) + "." for _ in range(3)]
+        if i % 7 == 0:
+            truth[i] = " ".join(parts)
+            parts[1] = E.misread(parts[1], rng.choice([p for p in E.PAIRS if p[0] == "utf-8"]))
+        out.append((i, " ".join(parts)))
+    return out, truth
+
+
+@pytest.mark.parametrize("held", [0, 7, 500])
+def test_pairs_that_no_task_holds_count_as_well(spark, monkeypatch, held):
+    """Results, and the model, are those of all pairs whatever is held."""
+    docs = corpus(300, 1)[0] + worded(200, "αβγδεζηθικλμνξοπρστυφχψω", 2)[0] + worded(200, [chr(0xAC00 + 37 * i) for i in range(60)], 3, 21000)[0]
+    docs += docs[-9:] + [(9001, "Die Gr��e der �berschrift wurde ge�ndert."), (9003, None), (9004, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    every, sums, rest = E.character_counts(df.select("text"))
+    assert sums == {} and rest is None
+    whole, results = E.Model(every), rows(E.misread_documents(df))
+    assert len(results) > 60
+    monkeypatch.setattr(E, "MAX_BIGRAMS", held)
+    monkeypatch.setattr(E, "_COUNTED", 40)
+    assert rows(E.misread_documents(df)) == results
+    some, sums, rest = E.character_counts(df.select("text"))
+    assert {**some, **{r.code: r.n for r in rest.collect()}} == every and len(every) > len(some)
+    model = E.Model(some, sums)
+    assert (model.keys == whole.keys).all() and (model.table == whole.table).all()
+
+
+def test_rare_pairs_beside_more_frequent_ones_than_are_held(spark):
+    rng = np.random.default_rng(4)
+    filler = ["".join(map(chr, x)) for x in 0x4E00 + rng.integers(0, 520, (400, 7000))]
+    docs, truth = worded(28, [chr(0xAC00 + 20 * i) for i in range(500)], 5)
+    df = spark.createDataFrame(docs + list(enumerate(filler)), "doc_id long, text string")
+    got = {r.id: r.restored for r in E.misread_documents(df).collect()}
+    assert set(got) == set(truth) and sum(got[i] == t for i, t in truth.items()) >= 0.9 * len(truth)
